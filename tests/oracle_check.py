@@ -73,8 +73,8 @@ def compare(spark, name, q, sql, sf_dir, con):
         if sc != dc:
             out["cols"] = (sc, dc)
         else:
-            diff = [(a, b) for a, b in zip(sr, dr) if a != b][:2]
-            out["diff"] = diff
+            diff = [(a, b) for a, b in zip(sr, dr) if a != b][:1]
+            out["diff"] = repr(diff)[:700]
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("evaluation",)
+_MODULES = ("evaluation", "textq")
 
 
 def _load():

@@ -221,16 +221,17 @@ def extraction_counts(manifest: DataFrame) -> DataFrame:
 
 
 # W17
-def global_row_number(df: DataFrame, order_col: str, name: str = "row_number") -> DataFrame:
+def global_row_number(df: DataFrame, order_col, name: str = "row_number") -> DataFrame:
     """1-based row number over a unique sort key without a one-task window.
 
     The data is range-partitioned on the key; each partition numbers its
     rows locally, and a per-partition offset (one row per partition, so
     bounded by the partition count and safe to broadcast) is added.
     """
-    ranged = df.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id())
+    keys = [order_col] if isinstance(order_col, str) else list(order_col)
+    ranged = df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn(
-        "_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
+        "_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
