@@ -179,15 +179,18 @@ def _out_schema(df: DataFrame, keys) -> str:
     return ", ".join(f"{k} {types[k]}" for k in keys) + ", token_idx bigint, pick_rank int"
 
 
-def run_grouped(df: DataFrame, keys, fn: Callable, cols=("vec",), k_col: str = "k") -> DataFrame:
+def run_grouped(df: DataFrame, keys, fn: Callable, cols=("vec",), k_col: str = "k",
+                order_col: str = "token_idx") -> DataFrame:
     """Apply ``fn(matrix, extra_columns..., k) -> picked row positions`` to
-    every group (rows sorted by ``token_idx``); emit (keys, token_idx, pick_rank)."""
+    every group (rows sorted by ``order_col``, then ``token_idx``); emit
+    (keys, token_idx, pick_rank)."""
     keys = list(keys)
-    use = [*keys, "token_idx", *cols, k_col]
+    use = [*keys, "token_idx", *cols, k_col] + ([order_col] if order_col != "token_idx" else [])
     schema = _out_schema(df, keys)
 
     def apply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token_idx", "ascending")])
+        sort_keys = [(order_col, "ascending")] + ([("token_idx", "ascending")] if order_col != "token_idx" else [])
+        table = table.sort_by(sort_keys)
         n = table.num_rows
         tok = table.column("token_idx").to_numpy()
         kv = int(table.column(k_col)[0].as_py()) if n else 0
@@ -245,11 +248,15 @@ def _iterate(df: DataFrame, keys, state: dict, carry, order, update) -> DataFram
     return st.where(F.col("pick_rank").isNotNull()).select(*keys, "token_idx", "pick_rank")
 
 
-def iterative_maxmin(df: DataFrame, keys) -> DataFrame:
+def iterative_maxmin(df: DataFrame, keys, order_col: str = "token_idx") -> DataFrame:
     """Exact distributed V2: state = running max similarity to the picks
-    (null before the first pick, so the first pick is the lowest token)."""
+    (null before the first pick, so the first pick is the first row in
+    ``order_col`` order; ties later go to the earlier row too)."""
+    if order_col not in df.columns:
+        raise ValueError(f"missing order column {order_col}")
+
     def order():
-        return F.struct(F.coalesce(F.col("_run"), F.lit(float("-inf"))), F.col("token_idx"))
+        return F.struct(F.coalesce(F.col("_run"), F.lit(float("-inf"))), F.col(order_col), F.col("token_idx"))
 
     def update():
         return {"_run": F.greatest(F.col("_run"), dot("vec", "_p.vec"))}
@@ -257,11 +264,12 @@ def iterative_maxmin(df: DataFrame, keys) -> DataFrame:
     small = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("k").alias("_k"))
     everything = df.join(small.where(F.col("_n") <= F.col("_k")).select(*keys), list(keys), "left_semi")
     rest = df.join(small.where(F.col("_n") > F.col("_k")).select(*keys), list(keys), "left_semi")
-    picked = _iterate(rest, keys, {"_run": F.lit(None).cast("double")}, ["vec"], order, update)
+    carry = ["vec"] + ([order_col] if order_col != "token_idx" else [])
+    picked = _iterate(rest, keys, {"_run": F.lit(None).cast("double")}, carry, order, update)
     # groups with n <= k keep every row, ranked by token order (rare at this size)
     from pyspark.sql import Window
     all_rows = everything.select(*keys, "token_idx", (F.row_number().over(
-        Window.partitionBy(*keys).orderBy("token_idx")) - 1).cast("int").alias("pick_rank"))
+        Window.partitionBy(*keys).orderBy(order_col, "token_idx")) - 1).cast("int").alias("pick_rank"))
     return picked.unionByName(all_rows)
 
 
@@ -292,16 +300,26 @@ def iterative_dpp(df: DataFrame, keys, rel_col: str = "relevance") -> DataFrame:
                     ["vec", "_r", "_c", "_d2"], order, update)
 
 
+def largest_group(df: DataFrame, keys) -> int:
+    """Row count of the largest group (a partial aggregate; one small action)."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(r or 0)
+
+
 def dispatch_by_size(df: DataFrame, keys, small: Callable[[DataFrame], DataFrame],
-                     large: Callable[[DataFrame], DataFrame], max_group: int = MAX_GROUP) -> DataFrame:
+                     large: Callable[[DataFrame], DataFrame], max_group: int = MAX_GROUP,
+                     largest: int | None = None) -> DataFrame:
     """Run ``small`` on groups up to ``max_group`` rows (one task each) and
-    ``large`` (distributed, exact) on the rest."""
+    ``large`` (distributed, exact) on the rest.  ``largest`` (an upper bound
+    of the group size known to the caller) skips the size check."""
     keys = list(keys)
+    if largest is not None and largest <= max_group:
+        return small(df)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
     sized = df.join(sizes, keys)
     big = sized.where(F.col("_gn") > max_group).drop("_gn")
     small_out = small(sized.where(F.col("_gn") <= max_group).drop("_gn"))
-    if big.isEmpty():
+    if largest is None and sizes.where(F.col("_gn") > max_group).isEmpty():
         return small_out
     return small_out.unionByName(large(big))
 
@@ -313,7 +331,8 @@ def _with_k(df: DataFrame, k) -> DataFrame:
     return df.withColumn("k", F.lit(int(k)) if isinstance(k, int) else F.col(k))
 
 
-def diverse_maxmin(df: DataFrame, keys, k, normalise: bool = True, max_group: int = MAX_GROUP) -> DataFrame:
+def diverse_maxmin(df: DataFrame, keys, k, normalise: bool = True, max_group: int = MAX_GROUP,
+                   largest: int | None = None) -> DataFrame:
     """V2 per group; rows in ``token_idx`` order, start at the first row."""
     d = _with_k(df, k)
     if normalise:
@@ -322,7 +341,7 @@ def diverse_maxmin(df: DataFrame, keys, k, normalise: bool = True, max_group: in
     def small(x):
         return run_grouped(x, keys, lambda m, kk: maxmin_diverse(m, kk, 0))
 
-    return dispatch_by_size(d, keys, small, lambda x: iterative_maxmin(x, keys), max_group)
+    return dispatch_by_size(d, keys, small, lambda x: iterative_maxmin(x, keys), max_group, largest)
 
 
 def diverse_maxmin_seeded(df: DataFrame, keys, k, seed: int = 42, normalise: bool = True) -> DataFrame:
@@ -340,14 +359,14 @@ def diverse_maxmin_seeded(df: DataFrame, keys, k, seed: int = 42, normalise: boo
 
 
 def diverse_text_guided(df: DataFrame, keys, k, weight_col: str = "weight", normalise: bool = True,
-                        max_group: int = MAX_GROUP) -> DataFrame:
+                        max_group: int = MAX_GROUP, largest: int | None = None) -> DataFrame:
     """V4 per group with per-row starting weights."""
     d = _with_k(df, k)
     if normalise:
         d = d.withColumn("vec", l2_normalise("vec"))
     return dispatch_by_size(
         d, keys, lambda x: run_grouped(x, keys, lambda m, w, kk: text_guided(m, w, kk), cols=("vec", weight_col)),
-        lambda x: iterative_text_guided(x, keys, weight_col), max_group)
+        lambda x: iterative_text_guided(x, keys, weight_col), max_group, largest)
 
 
 def dedup_tokens(df: DataFrame, keys, target, normalise: bool = True) -> DataFrame:
@@ -358,12 +377,13 @@ def dedup_tokens(df: DataFrame, keys, target, normalise: bool = True) -> DataFra
     return run_grouped(d, keys, lambda m, kk: dedup_even_odd(m, kk))
 
 
-def dpp_select(df: DataFrame, keys, k, rel_col: str = "relevance", max_group: int = MAX_GROUP) -> DataFrame:
+def dpp_select(df: DataFrame, keys, k, rel_col: str = "relevance", max_group: int = MAX_GROUP,
+               largest: int | None = None) -> DataFrame:
     """V13 per group; ``vec`` is L2-normalised here."""
     d = _with_k(df, k).withColumn("vec", l2_normalise("vec"))
     return dispatch_by_size(
         d, keys, lambda x: run_grouped(x, keys, lambda m, r, kk: dpp_map(m, r, kk), cols=("vec", rel_col)),
-        lambda x: iterative_dpp(x, keys, rel_col), max_group)
+        lambda x: iterative_dpp(x, keys, rel_col), max_group, largest)
 
 
 def cluster_select(df: DataFrame, keys, k, seed: int = 42) -> DataFrame:

@@ -1,10 +1,12 @@
 """Per-group scores over token tables.
 
-Group statistics (min, max, sums, means) are aggregates joined back on the
-group key rather than unordered windows: the aggregate is partial before
-the shuffle, so a group holding a large share of all rows is reduced
-map-side and never buffered whole in one task, and AQE may broadcast the
-(one row per group) statistics or split a skewed join partition.
+Group statistics (min, max, sums) attached to every row are unordered
+window aggregates over the group key: one hash shuffle on the key, and
+every later window on the same key reuses that partitioning (no further
+exchange).  Joining a DataFrame with its own aggregate instead would copy
+the whole upstream plan at every step (exponential plan growth when such
+steps are chained).  Statistics that end in one row per group are plain
+``groupBy`` aggregates (partial before the shuffle).
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ ENTROPY_EPS = 1e-10
 RELEVANCE_EPS = 1e-6
 
 
-def join_group_stats(df: DataFrame, keys, *aggs: Column) -> DataFrame:
+def join_group_stats(df: DataFrame, keys, **aggs: Column) -> DataFrame:
+    """Attach per-group aggregates ``name=expr`` to every row of the group."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(df.groupBy(*keys).agg(*aggs), keys, "inner")
+    w = Window.partitionBy(*keys)
+    return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
 
 
 # W2
 def minmax_norm(df: DataFrame, keys, col: str, out: str, eps: float = MINMAX_EPS) -> DataFrame:
-    s = join_group_stats(df, keys, F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    s = join_group_stats(df, keys, _mn=F.min(col), _mx=F.max(col))
     return s.withColumn(out, (F.col(col) - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(eps))) \
         .drop("_mn", "_mx")
 
@@ -37,9 +41,9 @@ def minmax_norm(df: DataFrame, keys, col: str, out: str, eps: float = MINMAX_EPS
 # W3
 def softmax(df: DataFrame, keys, col: str, out: str) -> DataFrame:
     """Stable softmax of ``col`` inside each group."""
-    m = join_group_stats(df, keys, F.max(col).alias("_mx"))
+    m = join_group_stats(df, keys, _mx=F.max(col))
     e = m.withColumn("_e", F.exp(F.col(col) - F.col("_mx")))
-    s = join_group_stats(e, keys, F.sum("_e").alias("_se"))
+    s = join_group_stats(e, keys, _se=F.sum("_e"))
     return s.withColumn(out, F.col("_e") / F.col("_se")).drop("_mx", "_e", "_se")
 
 
@@ -68,7 +72,7 @@ def query_relevance(tokens: DataFrame, text_tokens: DataFrame) -> DataFrame:
     """``-mean_t cos(token, text)``, then ``(x - min + 1e-6) / (max - min)`` per group."""
     sims = text_image_similarity(tokens, text_tokens, normalise=True)
     rel = sims.groupBy("group_id", "token_idx").agg((-F.avg("sim")).alias("_r"))
-    s = join_group_stats(rel, "group_id", F.min("_r").alias("_mn"), F.max("_r").alias("_mx"))
+    s = join_group_stats(rel, "group_id", _mn=F.min("_r"), _mx=F.max("_r"))
     return s.select("group_id", "token_idx",
                     ((F.col("_r") - F.col("_mn") + F.lit(RELEVANCE_EPS)) / (F.col("_mx") - F.col("_mn"))).alias("relevance"))
 
@@ -168,7 +172,7 @@ def entropy_keep_ratio(scores: DataFrame, col: str = "cls_score", base: float =
 def entropy_scores(attn: DataFrame, lam: float = 0.1) -> DataFrame:
     """Attention (group, t_idx, token_idx, a): normalise each token column
     over the text rows, entropy per token, score = -lambda * H."""
-    s = join_group_stats(attn, ["group_id", "token_idx"], F.sum("a").alias("_cs"))
+    s = join_group_stats(attn, ["group_id", "token_idx"], _cs=F.sum("a"))
     p = F.greatest(F.col("a") / (F.col("_cs") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
     h = s.groupBy("group_id", "token_idx").agg((-F.sum(p * F.log(p))).alias("_h"))
     return h.select("group_id", "token_idx", (F.lit(-lam) * F.col("_h")).alias("entropy_score"))
@@ -179,7 +183,7 @@ def entropy_scores_headmean(attn: DataFrame, lam: float = 0.1) -> DataFrame:
     """Average the rows first, then one entropy over the tokens: a single
     scalar per group."""
     m = attn.groupBy("group_id", "token_idx").agg(F.avg("a").alias("_m"))
-    s = join_group_stats(m, "group_id", F.sum("_m").alias("_t"))
+    s = join_group_stats(m, "group_id", _t=F.sum("_m"))
     p = F.greatest(F.col("_m") / (F.col("_t") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
     return s.groupBy("group_id").agg((F.lit(-lam) * -F.sum(p * F.log(p))).alias("entropy_score"))
 
