@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("evaluation", "textq")
+_MODULES = ("evaluation", "textq", "vectorq")
 
 
 def _load():

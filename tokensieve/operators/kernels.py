@@ -417,3 +417,83 @@ def kmeans_assign(df: DataFrame, keys, k, seed: int = 42) -> DataFrame:
         return pa.table(out)
 
     return d.select(*keys, "token_idx", "vec", "k", "_u").groupBy(*keys).applyInArrow(apply, schema)
+
+
+# ----------------------------------------------------------------------------
+# Per-token summary of within-group similarities (no pair rows emitted)
+# ----------------------------------------------------------------------------
+PAIR_BLOCK = 2048
+
+
+def _block_summary(x: np.ndarray, y: np.ndarray, x_ids: np.ndarray, y_ids: np.ndarray):
+    """For each row of x: max and sum of similarity to rows of y with another id."""
+    mx = np.full(x.shape[0], -np.inf)
+    sm = np.zeros(x.shape[0])
+    cnt = np.zeros(x.shape[0], dtype=np.int64)
+    for s in range(0, y.shape[0], PAIR_BLOCK):
+        sim = x @ y[s:s + PAIR_BLOCK].T
+        same = x_ids[:, None] == y_ids[None, s:s + PAIR_BLOCK]
+        sm += np.where(same, 0.0, sim).sum(axis=1)
+        cnt += (~same).sum(axis=1)
+        mx = np.maximum(mx, np.where(same, -np.inf, sim).max(axis=1, initial=-np.inf))
+    return mx, sm, cnt
+
+
+def pairwise_summary(df: DataFrame, keys, max_group: int = MAX_GROUP, tile: int = 4096) -> DataFrame:
+    """Cosine similarity of every token to every other token of its group,
+    reduced per token to ``max_sim`` and ``mean_sim``.
+
+    Groups up to ``max_group`` rows: one blocked NumPy pass per group.
+    Larger groups: tokens are hashed into tiles of about ``tile`` rows and
+    every (tile, tile) block is one task, so no task holds more than two
+    tiles; partial (max, sum, count) per token are then aggregated.
+    """
+    keys = list(keys)
+    d = df.select(*keys, "token_idx", l2_normalise("vec").alias("vec"))
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", token_idx bigint, max_sim double, sum_sim double, n_pairs bigint"
+
+    def whole(table: pa.Table) -> pa.Table:
+        x = _vec_matrix(table.column("vec"))
+        ids = table.column("token_idx").to_numpy()
+        mx, sm, cnt = _block_summary(x, x, ids, ids)
+        return _summary_table(table, keys, ids, mx, sm, cnt)
+
+    def block(table: pa.Table) -> pa.Table:
+        side = table.column("_side").to_numpy(zero_copy_only=False)
+        left = table.filter(pa.array(side == "L"))
+        right = table.filter(pa.array(side == "R"))
+        lx, rx = _vec_matrix(left.column("vec")), _vec_matrix(right.column("vec"))
+        lids, rids = left.column("token_idx").to_numpy(), right.column("token_idx").to_numpy()
+        if left.num_rows == 0 or right.num_rows == 0:
+            return _summary_table(left, keys, lids, np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64))
+        mx, sm, cnt = _block_summary(lx, rx, lids, rids)
+        return _summary_table(left, keys, lids, mx, sm, cnt)
+
+    def small(x: DataFrame) -> DataFrame:
+        return x.groupBy(*keys).applyInArrow(whole, schema)
+
+    def large(x: DataFrame) -> DataFrame:
+        sized = x.join(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+        nt = F.ceil(F.col("_n") / F.lit(tile)).cast("int")
+        t = sized.withColumn("_nt", nt).withColumn("_tile", F.pmod(F.xxhash64("token_idx"), F.col("_nt")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))
+        lft = t.select(*keys, "token_idx", "vec", F.col("_tile").alias("_a"), other.alias("_b"), F.lit("L").alias("_side"))
+        rgt = t.select(*keys, "token_idx", "vec", other.alias("_a"), F.col("_tile").alias("_b"), F.lit("R").alias("_side"))
+        parts = lft.unionByName(rgt).groupBy(*keys, "_a", "_b").applyInArrow(block, schema)
+        return parts.groupBy(*keys, "token_idx").agg(F.max("max_sim").alias("max_sim"), F.sum("sum_sim").alias("sum_sim"),
+                                                    F.sum("n_pairs").alias("n_pairs"))
+
+    out = dispatch_by_size(d, keys, small, large, max_group)
+    return out.where(F.col("n_pairs") > 0).select(*keys, "token_idx", "max_sim",
+                                                 (F.col("sum_sim") / F.col("n_pairs")).alias("mean_sim"))
+
+
+def _summary_table(table, keys, ids, mx, sm, cnt) -> pa.Table:
+    n = len(ids)
+    out = {c: pa.array([table.column(c)[0].as_py()] * n if n else [], table.schema.field(c).type) for c in keys}
+    out["token_idx"] = pa.array(ids, pa.int64())
+    out["max_sim"] = pa.array(mx, pa.float64())
+    out["sum_sim"] = pa.array(sm, pa.float64())
+    out["n_pairs"] = pa.array(cnt, pa.int64())
+    return pa.table(out)

@@ -119,7 +119,7 @@ def adaptive_keep_ratio(scores: DataFrame, col: str = "cls_score", base: float =
     The sorted-score steps use a window over the group ordered by score;
     counts, mean and sample std are plain aggregates.
     """
-    w = Window.partitionBy("group_id").orderBy(F.desc(col), F.asc("token_idx"))
+    w = Window.partitionBy("group_id").orderBy(F.desc("s"), F.asc("token_idx"))
     s = scores.select("group_id", "token_idx", F.col(col).alias("s"))
     s = s.withColumn("_pos", F.row_number().over(w) - 1) \
         .withColumn("_cum", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
