@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("evaluation", "textq", "vectorq", "flows")
+_MODULES = ("evaluation", "textq", "vectorq", "flows", "semq")
 
 
 def _load():

@@ -19,9 +19,12 @@ from __future__ import annotations
 import re
 from typing import Callable, Iterable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip_label
 from .evaluate import global_row_number
@@ -67,43 +70,24 @@ class EchoPredictor:
         return out
 
 
-def _infer_distinct(df: DataFrame, fields: list[str], template: str, predictor: Predictor,
-                    choices, out_col: str, strip_labels: bool) -> DataFrame:
-    """Distinct field tuples -> predictor (Arrow batches) -> (fields..., answer)."""
-    keyed = df.select(*[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)])
-    if strip_labels:
-        str_cols = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-        keyed = keyed.select(*[
-            (strip_label(F.col(f"_f{i}"), f) if f in str_cols else F.col(f"_f{i}")).alias(f"_f{i}")
-            for i, f in enumerate(fields)
-        ]).select("*", *[F.col(f"_f{i}").alias(f"_k{i}") for i in range(len(fields))])
-    else:
-        keyed = keyed.select("*", *[F.col(f"_f{i}").alias(f"_k{i}") for i in range(len(fields))])
-    distinct = keyed.select(*[f"_f{i}" for i in range(len(fields))]).distinct()
+def _answer_batches(fields: list[str], template: str, predictor: Predictor, choices, out_col: str):
+    """mapInArrow body: predictor over whole Arrow batches of field tuples."""
     names = list(fields)
     ch = list(choices) if choices is not None else None
 
     def run(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(len(names))]
-            records = [dict(zip(names, vals)) for vals in zip(*cols)] if names else [{} for _ in range(b.num_rows)]
+            records = [dict(zip(names, vals)) for vals in zip(*cols)]
             answers = predictor(records, template, ch) if records else []
             if len(answers) != len(records):
                 raise ValueError(f"predictor returned {len(answers)} answers for {len(records)} rows")
             yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(len(names))] + [pa.array([None if a is None else str(a) for a in answers],
-                                                                     pa.string())],
-                names=[f"_f{i}" for i in range(len(names))] + [out_col],
-            )
+                [b.column(i) for i in range(len(names))]
+                + [pa.array([None if a is None else str(a) for a in answers], pa.string())],
+                names=[f"_k{i}" for i in range(len(names))] + [out_col])
 
-    schema = distinct.schema.add(out_col, "string")
-    answered = distinct.mapInArrow(run, schema)
-    return keyed, answered
-
-
-def _join_back(df_keyed: DataFrame, answered: DataFrame, n: int) -> DataFrame:
-    cond = [df_keyed[f"_k{i}"].eqNullSafe(answered[f"_f{i}"]) for i in range(n)]
-    return df_keyed.join(answered, cond, "left")
+    return run
 
 
 # U2 / U3
@@ -111,7 +95,8 @@ def batch_infer(df: DataFrame, template: str, predictor: Predictor, out_col: str
                 choices=None, strip_labels: bool = False) -> DataFrame:
     """Add ``out_col`` = the predictor's answer for each row's template fields.
 
-    Each distinct field tuple is inferred once; answers are joined back.
+    Each distinct field tuple is inferred once (``distinct`` is a partial
+    aggregate before its shuffle); answers are joined back null-safely.
     """
     fields = [f for f in template_fields_py(template) if f]
     missing = [f for f in fields if f not in df.columns]
@@ -120,14 +105,16 @@ def batch_infer(df: DataFrame, template: str, predictor: Predictor, out_col: str
     if not fields:
         raise ValueError("template names no column")
     n = len(fields)
-    tagged = df.select("*", *[F.col(f).alias(f"_k{i}") for i, f in enumerate(fields)])
-    keyed, answered = _infer_distinct(df, fields, template, predictor, choices, out_col, strip_labels)
-    if strip_labels:
-        str_cols = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-        tagged = df.select("*", *[(strip_label(F.col(f), f) if f in str_cols else F.col(f)).alias(f"_k{i}")
-                                  for i, f in enumerate(fields)])
-    out = _join_back(tagged, answered, n)
-    return out.select(*df.columns, out_col)
+    str_cols = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    keys = [(strip_label(F.col(f), f) if strip_labels and f in str_cols else F.col(f)).alias(f"_k{i}")
+            for i, f in enumerate(fields)]
+    tagged = df.select("*", *keys)
+    distinct = tagged.select(*[f"_k{i}" for i in range(n)]).distinct()
+    out_schema = StructType(list(distinct.schema.fields) + [StructField(out_col, StringType())])
+    answered = distinct.mapInArrow(_answer_batches(fields, template, predictor, choices, out_col), out_schema)
+    answered = answered.select(*[F.col(f"_k{i}").alias(f"_a{i}") for i in range(n)], out_col)
+    cond = [tagged[f"_k{i}"].eqNullSafe(answered[f"_a{i}"]) for i in range(n)]
+    return tagged.join(answered, cond, "left").select(*df.columns, out_col)
 
 
 sem_map = batch_infer
@@ -145,16 +132,13 @@ def sem_filter(df: DataFrame, template: str, predictor: Predictor, strip_labels:
 
 
 def register_sem_map_udf(spark, name: str, predictor: Predictor, template: str):
-    """Register ``name(col, ...)`` as a SQL function (Arrow-batched pandas UDF)
-    answering ``template`` for the given field values."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
+    """Register ``name(named_struct(field, value, ...))`` as a SQL function
+    (Arrow-batched pandas UDF) answering ``template`` for the field values."""
     fields = [f for f in template_fields_py(template) if f]
 
     @pandas_udf("string")
-    def _udf(*cols: pd.Series) -> pd.Series:
-        records = [dict(zip(fields, vals)) for vals in zip(*[c.tolist() for c in cols])]
+    def _udf(s: pd.DataFrame) -> pd.Series:
+        records = [dict(zip(fields, vals)) for vals in zip(*[s[f].tolist() for f in fields])]
         return pd.Series(predictor(records, template, None), dtype="object")
 
     spark.udf.register(name, _udf)
