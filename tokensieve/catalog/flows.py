@@ -84,7 +84,7 @@ _QRES = duckdb_with("questions", "responses", "configs") + _COUNTS + f"""
         FROM q JOIN configs c ON true JOIN cnt ON cnt.config_id = c.config_id AND cnt.group_id = q.group_id
         LEFT JOIN responses r ON r.question_id = q.question_id)
 , qr AS (SELECT *, CASE WHEN api_success THEN {yes_no(_CONTENT)} ELSE '' END AS predicted_answer,
-           pruned_token * 1e-4 AS prune_time,
+           pruned_token / 3000.0 AS prune_time,
            CASE WHEN api_success THEN length(content) / 1000.0 ELSE 0.0 END AS api_call_time FROM j)
 , qr2 AS (SELECT *, api_success AND coalesce(predicted_answer = lower(trim(answer, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), false) AS is_correct FROM qr)
 """

@@ -19,8 +19,9 @@ from ..sources.tables import TOKENS_PER_IMAGE
 from . import pruners as P
 
 G = "group_id"
-# Fixed values of the cost model used for prune time (seconds per output token).
-PRUNE_SECONDS_PER_TOKEN = 1e-4
+# Cost model for prune time: output tokens pruned per second (its inverse is
+# a repeating decimal, so averages never sit exactly on a rounding tie).
+PRUNE_TOKENS_PER_SECOND = 3000.0
 
 
 def pruned_counts(selection: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def question_results(questions: DataFrame, responses: DataFrame, counts: DataFra
     return j.select(
         "config_id", "keep_ratio", "recovery_ratio", "question_id", "image_id", G, "pruned_token", "api_success",
         pred.alias("predicted_answer"), "answer",
-        (F.col("pruned_token") * F.lit(PRUNE_SECONDS_PER_TOKEN)).alias("prune_time"),
+        (F.col("pruned_token") / F.lit(PRUNE_TOKENS_PER_SECOND)).alias("prune_time"),
         F.when(F.col("api_success"), F.length("content") / 1000.0).otherwise(F.lit(0.0)).alias("api_call_time"),
     ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("answer"), "lower"))
 
