@@ -438,3 +438,27 @@ def q_extraction_counts(spark, sf):
 SELECT question_id FROM questions WHERE question IS NOT NULL AND length(question) > 0""")
 def q_non_empty_questions(spark, sf):
     return E.non_empty_questions(tb.questions(spark, sf)).select("question_id")
+
+
+# ------------------------------------------------------------------ F23
+@register("result_record", duckdb_with("eval_log") + ", " + EVAL_RESULTS + """
+SELECT test_number, round(embed_time, 6) AS embed_time, round(api_call_time, 6) AS api_call_time,
+  round(total_time, 6) AS total_time, api_success,
+  CASE WHEN api_success THEN generated_text ELSE '' END AS generated_text,
+  CASE WHEN api_success THEN predicted_answer ELSE '' END AS predicted_answer,
+  api_success AND is_correct AS is_correct,
+  CASE WHEN api_success THEN '' ELSE 'Failed to get response' END AS error_message,
+  576 AS original_token, CASE WHEN api_success THEN pruned_token ELSE 0 END AS pruned_token,
+  'pruned_embeddings' AS method FROM results""")
+def q_result_record(spark, sf):
+    r = eval_results(spark, sf)
+    return r.select("test_number", *[F.round(c, 6).alias(c) for c in ("embed_time", "api_call_time", "total_time")],
+                    *K.result_record_columns())
+
+
+# ------------------------------------------------------------------ A17
+@register("answer_value_set", duckdb_with("mc_items") + f"""
+SELECT idx, {gc_sql('answers')} AS answer_values FROM mc_items""")
+def q_answer_value_set(spark, sf):
+    m = tb.mc_items(spark, sf)
+    return m.select("idx", T.guided_choices("answers").alias("answer_values"))

@@ -115,3 +115,20 @@ def write_payload_files(files: DataFrame, out_dir: str) -> None:
                 fh.write(bytes(r["payload"]))
 
     files.select("file_name", "payload").foreachPartition(_write)
+
+
+# F23
+def result_record_columns(original_tokens: int = 576, method: str = "pruned_embeddings"):
+    """Record fields with the reference's defaults: failed calls keep empty
+    text, false correctness, 0 tokens and an error message."""
+    ok = F.col("api_success")
+    return [
+        ok.alias("api_success"),
+        F.when(ok, F.col("generated_text")).otherwise(F.lit("")).alias("generated_text"),
+        F.when(ok, F.col("predicted_answer")).otherwise(F.lit("")).alias("predicted_answer"),
+        (ok & F.col("is_correct")).alias("is_correct"),
+        F.when(ok, F.lit("")).otherwise(F.lit("Failed to get response")).alias("error_message"),
+        F.lit(original_tokens).alias("original_token"),
+        F.when(ok, F.col("pruned_token")).otherwise(F.lit(0)).alias("pruned_token"),
+        F.lit(method).alias("method"),
+    ]
