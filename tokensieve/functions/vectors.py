@@ -30,9 +30,14 @@ def norm(a) -> Column:
 
 # V1
 def l2_normalise(a, eps: float = NORM_EPS) -> Column:
-    """``x / max(||x||, eps)`` element-wise."""
-    n = F.greatest(norm(a), F.lit(eps))
-    return F.transform(_c(a), lambda x: x / n)
+    """``x / max(||x||, eps)`` element-wise.
+
+    The sum of squares is folded once (left to right, same as ``dot(a, a)``)
+    and handed to the ``finish`` lambda, so the norm is not re-evaluated for
+    every element."""
+    a = _c(a)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x,
+                       lambda s: F.transform(a, lambda x: x / F.greatest(F.sqrt(s), F.lit(eps))))
 
 
 def scale(a, s) -> Column:

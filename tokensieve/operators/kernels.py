@@ -212,6 +212,13 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a selection (ids only) to the session's checkpoint folder once,
+    so a Python kernel feeding several consumers runs once and its result
+    survives executor loss; the partitioning is kept for later joins."""
+    return _checkpoint(df)
+
+
 def _iterate(df: DataFrame, keys, state: dict, carry, order, update) -> DataFrame:
     """Generic exact distributed greedy loop over all groups at once.
 

@@ -82,9 +82,9 @@ def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, c
         return df.join(F.broadcast(_cfg_df(df, cfg)), "level_id")
 
     sel = S.sort_selected(selected_by_level, [G, "level_id"])
-    sel = per_config(sel).select(*SELECTION_COLS)
-    full = per_config(full_by_level).select(*SELECTION_COLS)
-    out = sel.unionByName(full)
+    out = per_config(sel).select(*SELECTION_COLS)
+    if full_by_level is not None:
+        out = out.unionByName(per_config(full_by_level).select(*SELECTION_COLS))
     if recovery_by_level is not None:
         rec = per_config(recovery_by_level)
         rk = F.greatest(F.least((F.col("recovery_ratio") * F.col("n")).cast("int"),
@@ -108,8 +108,11 @@ def _level_tokens(tokens: DataFrame, lv: list[dict], score: str = "cls_score") -
     return _budget(t)
 
 
-def _full_rows(t: DataFrame) -> DataFrame:
-    """Early exit: keep >= n -> every token, in order, no recovery."""
+def _full_rows(t: DataFrame, lv: list[dict]) -> DataFrame | None:
+    """Early exit: keep >= n -> every token, in order, no recovery (only
+    possible for a keep ratio >= 1, so otherwise not planned)."""
+    if all(level["keep_ratio"] < 1.0 for level in lv):
+        return None
     f = t.where(F.col("keep") >= F.col("n"))
     return S.sort_selected(f, [G, "level_id"]).select(
         G, "level_id", "token_idx", F.lit("all").alias("stage"), F.col("position").alias("rank"), "position")
@@ -122,30 +125,29 @@ def _important(part: DataFrame) -> DataFrame:
 
 def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, start: str,
                     max_group: int, largest: int | None = None) -> DataFrame:
-    """V8 rule: remaining <= diverse -> all of them; above ``threshold`` ->
-    sample first (uniform 4x / weighted 3x), then max-min among the sample
-    (in sample order); otherwise max-min over all remaining (index order)."""
+    """V8 rule: above ``threshold`` remaining tokens, sample first (uniform
+    4x / weighted 3x) and run max-min among the sample (in sample order);
+    otherwise max-min over all remaining tokens (index order).  (``remaining
+    <= diverse`` only happens when keep >= n, handled as keep-all.)  A
+    branch that cannot occur for the largest group is not planned."""
     keys = [G, "level_id"]
     rem = rem.withColumn("_rn", F.col("n") - F.col("imp"))
-    take_all = rem.where(F.col("_rn") <= F.col("div")).select(
-        G, "level_id", "token_idx", F.lit("diverse").alias("stage"),
-        (F.col("token_idx") * 0).cast("int").alias("rank"))
-    take_all = S.sort_selected(take_all, keys).select(G, "level_id", "token_idx", "stage",
-                                                     F.col("position").alias("rank"))
     cand = rem.where(F.col("_rn") > F.col("div")).withColumn("vec", l2_normalise("vec"))
-    big = cand.where(F.col("_rn") > threshold)
-    factor = UNIFORM_FACTOR if sample == "uniform" else WEIGHTED_FACTOR
-    m = F.least(F.col("div") * factor, F.col("_rn"))
-    big = big.withColumn("_m", m)
-    if sample == "uniform":
-        big = S.uniform_sample(big, keys, "_m", seed, "_ord")
-    else:
-        big = S.weighted_sample(big.withColumn("_w", F.lit(1.0)), keys, "_w", "_m", seed, "_ord").drop("_w")
-    big = big.withColumn("k", F.least(F.col("div"), F.col("_m"))).withColumn("_ord", F.col("_ord").cast("bigint"))
-    small = cand.where(F.col("_rn") <= threshold).withColumn("_ord", F.col("token_idx").cast("bigint")) \
-        .withColumn("k", F.col("div"))
-    both = big.select(*keys, "token_idx", "vec", "k", "_ord").unionByName(
-        small.select(*keys, "token_idx", "vec", "k", "_ord"))
+    parts = []
+    if largest is None or largest > threshold:
+        big = cand.where(F.col("_rn") > threshold)
+        factor = UNIFORM_FACTOR if sample == "uniform" else WEIGHTED_FACTOR
+        big = big.withColumn("_m", F.least(F.col("div") * factor, F.col("_rn")))
+        if sample == "uniform":
+            big = S.uniform_sample(big, keys, "_m", seed, "_ord")
+        else:
+            big = S.weighted_sample(big.withColumn("_w", F.lit(1.0)), keys, "_w", "_m", seed, "_ord").drop("_w")
+        big = big.withColumn("k", F.least(F.col("div"), F.col("_m"))).withColumn("_ord", F.col("_ord").cast("bigint"))
+        parts.append(big.select(*keys, "token_idx", "vec", "k", "_ord"))
+    small = cand.where(F.col("_rn") <= threshold) if parts else cand
+    small = small.withColumn("_ord", F.col("token_idx").cast("bigint")).withColumn("k", F.col("div"))
+    parts.append(small.select(*keys, "token_idx", "vec", "k", "_ord"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if start == "seeded":
         from ..functions.vectors import uniform
         both = both.withColumn("_u", uniform(seed + 1, *[F.col(c) for c in keys], F.col("token_idx")))
@@ -160,8 +162,7 @@ def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, star
             both, keys, lambda x: K.run_grouped(x, keys, lambda mat, kk: K.maxmin_diverse(mat, kk, 0),
                                                 order_col="_ord"),
             lambda x: K.iterative_maxmin(x, keys, order_col="_ord"), max_group, largest)
-    picks = picks.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
-    return take_all.unionByName(picks)
+    return picks.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
 
 
 def _recovery(level_tokens: DataFrame, selected: DataFrame, text_tokens: DataFrame) -> DataFrame:
@@ -194,14 +195,14 @@ def prune_attention_diverse(tokens: DataFrame, text_tokens: DataFrame, configs:
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
     t = _level_tokens(tokens, lv)
-    full = _full_rows(t)
+    full = _full_rows(t, lv)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp"))
     div = _diverse_maxmin(rem, presample_threshold, seed, "uniform", "first", max_group,
                           K.largest_group(tokens, [G]))
-    selected = imp.unionByName(div)
-    rec = _recovery(t, selected, text_tokens)
+    selected = K.materialise(imp.unionByName(div))
+    rec = _recovery(t, selected, text_tokens) if any(c["recovery_ratio"] > 0 for c in cfg) else None
     return _finish(selected, rec, cfg, full)
 
 
@@ -215,33 +216,39 @@ def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, conf
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
     t = _level_tokens(tokens, lv)
-    full = _full_rows(t)
+    full = _full_rows(t, lv)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp"))
     guided = F.col("text_guidance_weight") > 0
     largest = K.largest_group(tokens, [G])
-    plain = _diverse_maxmin(rem.where(~guided), presample_threshold, seed, "uniform",
-                            "seeded" if seeded_start else "first", K.MAX_GROUP, largest)
-    g = rem.where(guided).withColumn("_rn", F.col("n") - F.col("imp"))
-    if text_scores is not None:
-        g = g.join(text_scores.select(G, "token_idx", "text_score"), [G, "token_idx"], "left")
-        ts = F.coalesce(F.col("text_score"), F.lit(1.0))
-    else:
-        ts = F.lit(1.0)
-    g = g.withColumn("weight", F.lit(TEXT_WEIGHT_BASE) + F.lit(TEXT_WEIGHT_SLOPE) * ts)
-    g_all = S.sort_selected(g.where(F.col("_rn") <= F.col("div")), [G, "level_id"]).select(
-        G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("position").alias("rank"))
-    g_big = g.where((F.col("_rn") > F.col("div")) & (F.col("_rn") > presample_threshold))
-    g_big_sel = _diverse_maxmin(g_big.drop("_rn", "weight"), presample_threshold, seed, "weighted",
-                                "seeded" if seeded_start else "first", K.MAX_GROUP, largest)
-    g_small = g.where((F.col("_rn") > F.col("div")) & (F.col("_rn") <= presample_threshold)) \
-        .withColumn("vec", l2_normalise("vec")).withColumn("k", F.col("div"))
-    g_small_sel = K.run_grouped(g_small, [G, "level_id"], lambda m, w, kk: K.text_guided(m, w, kk),
-                                cols=("vec", "weight")).select(
-        G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
-    selected = imp.unionByName(plain).unionByName(g_all).unionByName(g_big_sel).unionByName(g_small_sel)
-    rec = _recovery(t, selected, text_tokens)
+    parts = [imp]
+    if any(level["text_guidance_weight"] <= 0 for level in lv):
+        parts.append(_diverse_maxmin(rem.where(~guided), presample_threshold, seed, "uniform",
+                                     "seeded" if seeded_start else "first", K.MAX_GROUP, largest))
+    if any(level["text_guidance_weight"] > 0 for level in lv):
+        g = rem.where(guided).withColumn("_rn", F.col("n") - F.col("imp"))
+        if text_scores is not None:
+            g = g.join(text_scores.select(G, "token_idx", "text_score"), [G, "token_idx"], "left")
+            ts = F.coalesce(F.col("text_score"), F.lit(1.0))
+        else:
+            ts = F.lit(1.0)
+        g = g.withColumn("weight", F.lit(TEXT_WEIGHT_BASE) + F.lit(TEXT_WEIGHT_SLOPE) * ts)
+        if largest > presample_threshold:
+            g_big = g.where((F.col("_rn") > F.col("div")) & (F.col("_rn") > presample_threshold))
+            parts.append(_diverse_maxmin(g_big.drop("_rn", "weight"), presample_threshold, seed, "weighted",
+                                         "seeded" if seeded_start else "first", K.MAX_GROUP, largest))
+            g = g.where(F.col("_rn") <= presample_threshold)
+        g_small = g.where(F.col("_rn") > F.col("div")).withColumn("vec", l2_normalise("vec")) \
+            .withColumn("k", F.col("div"))
+        parts.append(K.run_grouped(g_small, [G, "level_id"], lambda m, w, kk: K.text_guided(m, w, kk),
+                                   cols=("vec", "weight")).select(
+            G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank")))
+    selected = parts[0]
+    for p_ in parts[1:]:
+        selected = selected.unionByName(p_)
+    selected = K.materialise(selected)
+    rec = _recovery(t, selected, text_tokens) if any(c["recovery_ratio"] > 0 for c in cfg) else None
     return _finish(selected, rec, cfg, full)
 
 
@@ -268,7 +275,7 @@ def prune_multi_query(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
     t = _level_tokens(tokens, lv)
-    full = _full_rows(t)
+    full = _full_rows(t, lv)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     fused = fuse_queries(text_tokens)
@@ -278,12 +285,10 @@ def prune_multi_query(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     rem_t = softmax(rem.where(has_text), [G, "level_id"], "_ts", "_pt")
     w = F.col("text_guidance_weight")
     rem_t = rem_t.withColumn("_final", w * F.col("_pt") + (F.lit(1.0) - w) * F.col("cls_score"))
-    rem_n = rem_t.withColumn("_rn", F.col("n") - F.col("imp"))
-    all_rem = S.sort_selected(rem_n.where(F.col("_rn") <= F.col("div")), [G, "level_id"]).select(
-        G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("position").alias("rank"))
-    samp = S.weighted_sample(rem_n.where(F.col("_rn") > F.col("div")), [G, "level_id"], "_final", "div", seed, "rank")
+    # (remaining <= diverse only when keep >= n, handled as keep-all)
+    samp = S.weighted_sample(rem_t, [G, "level_id"], "_final", "div", seed, "rank")
     div = samp.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), "rank")
-    selected = imp.unionByName(all_rem).unionByName(div)
+    selected = imp.unionByName(div)
     # recovery
     pruned = part.join(selected.select(G, "level_id", "token_idx"), [G, "level_id", "token_idx"], "left_anti") \
         .join(fused, G, "left")
@@ -310,7 +315,7 @@ def prune_dpp(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     t = _sized(tokens).join(rel, [G, "token_idx"])
     t = _budget(_explode(t, lv, {"level_id": "int", "keep_ratio": "double", "important_ratio": "double",
                                  "text_guidance_weight": "double"}))
-    full = _full_rows(t)
+    full = _full_rows(t, lv)
     part = t.where(F.col("keep") < F.col("n"))
     picks = K.dpp_select(part.select(G, "level_id", "token_idx", "vec", "relevance", F.col("keep").alias("kk")),
                          [G, "level_id"], "kk", max_group=max_group, largest=K.largest_group(tokens, [G]))

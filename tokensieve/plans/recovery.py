@@ -69,7 +69,7 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     rows = P._config_rows(configs)
     lv, cfg = P._levels(rows)
     lt = P._level_tokens(t, lv, score="hybrid_score")
-    full = P._full_rows(lt)
+    full = P._full_rows(lt, lv)
     part = lt.where(F.col("keep") < F.col("n"))
     imp = P._important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp")).withColumn("vec", l2_normalise("vec")) \
@@ -77,6 +77,6 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     div = K.run_grouped(rem, [G, "level_id"], lambda m, w, kk: K.text_guided(m, w, kk),
                         cols=("vec", "hybrid_score")).select(
         G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
-    selected = imp.unionByName(div)
+    selected = K.materialise(imp.unionByName(div))
     rec = P._recovery(lt, selected, text_tokens)
     return P._finish(selected, rec, cfg, full)
