@@ -225,12 +225,15 @@ def is_correct(predicted, answer, fold: str = "upper") -> Column:
 def response_content(response_json) -> Column:
     """``choices[0].message.content`` if present, else the whole response."""
     j = _c(response_json)
-    return F.coalesce(F.get_json_object(j, "$.choices[0].message.content"), j)
+    obj = F.ltrim(j).startswith("{")          # plain text skips the JSON parser
+    return F.coalesce(F.when(obj, F.get_json_object(j, "$.choices[0].message.content")), j)
 
 
 def has_choices(response_json) -> Column:
     """Stricter success rule: the response holds a non-empty ``choices`` list."""
-    return F.coalesce(F.get_json_object(_c(response_json), "$.choices[0]").isNotNull(), F.lit(False))
+    j = _c(response_json)
+    return F.coalesce(F.when(F.ltrim(j).startswith("{"), F.get_json_object(j, "$.choices[0]").isNotNull()),
+                      F.lit(False))
 
 
 def json_string(c) -> Column:
