@@ -643,3 +643,89 @@ SELECT config_id, group_id, token_idx, 'all' AS stage,
 FROM tokens, configs""")
 def q_no_prune(spark, sf):
     return P.no_prune(tb.tokens(spark, sf), tb.configs(spark))
+
+
+# ------------------------------------------------------------------ recursive-CTE oracles for greedy kernels
+# One row per token carries the mutable state; each step picks per group with
+# a window (lowest token on ties, as the kernels do) and updates every row.
+_REC_K = 12
+
+def _rec_maxmin_sql(k: int, start_key: str = "0", source: str | None = None, order: str = "token_idx") -> str:
+    """Max-min greedy; the first pick minimises ``start_key`` (ties: ``order``)."""
+    src = source or f"SELECT group_id, token_idx, {NORM} AS v, {start_key} AS u, token_idx AS o FROM tokens"
+    return (_T.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, nv AS ({src})
+, st(step, group_id, token_idx, v, u, o, run, rk) AS (
+    SELECT 0, group_id, token_idx, v, u, o, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER) FROM nv
+    UNION ALL
+    SELECT step + 1, group_id, token_idx, v, u, o,
+           CASE WHEN run IS NULL THEN list_dot_product(v, pv) ELSE greatest(run, list_dot_product(v, pv)) END,
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM st
+          WINDOW w AS (PARTITION BY group_id ORDER BY rk IS NOT NULL, coalesce(run, -1e308),
+                       CASE WHEN run IS NULL THEN u END, o
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < {k})
+SELECT group_id, token_idx, rk AS pick_rank FROM st WHERE step = {k} AND rk IS NOT NULL""")
+
+
+def _rec_text_guided_sql(k: int) -> str:
+    return (_T.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, nv AS (SELECT group_id, token_idx, {NORM} AS v, cls_score AS w FROM tokens)
+, st(step, group_id, token_idx, v, s, rk) AS (
+    SELECT 0, group_id, token_idx, v, w, CAST(NULL AS INTEGER) FROM nv
+    UNION ALL
+    SELECT step + 1, group_id, token_idx, v,
+           s - 0.8 * list_dot_product(v, pv),
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM st
+          WINDOW w AS (PARTITION BY group_id ORDER BY rk IS NOT NULL, s DESC, token_idx
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < {k})
+SELECT group_id, token_idx, rk AS pick_rank FROM st WHERE step = {k} AND rk IS NOT NULL""")
+
+
+def _rec_dpp_sql(k: int) -> str:
+    kn = NORM.replace("vec", "k.vec")
+    tn = NORM.replace("vec", "t.vec")
+    return (_T.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, r0 AS (SELECT k.group_id, k.token_idx, -avg(list_dot_product({kn}, {tn})) AS r
+         FROM tokens k JOIN text_tokens t ON k.group_id = t.group_id GROUP BY ALL)
+, rel AS (SELECT group_id, token_idx, (r - min(r) OVER (PARTITION BY group_id) + 1e-6) /
+            (max(r) OVER (PARTITION BY group_id) - min(r) OVER (PARTITION BY group_id)) AS rel FROM r0)
+, nv AS (SELECT t.group_id, t.token_idx, {NORM.replace("vec", "t.vec")} AS v, rel.rel
+         FROM tokens t JOIN rel USING (group_id, token_idx))
+, st(step, group_id, token_idx, v, rel, d2, c, rk) AS (
+    SELECT 0, group_id, token_idx, v, rel, rel * rel * list_dot_product(v, v), CAST([] AS DOUBLE[]), CAST(NULL AS INTEGER) FROM nv
+    UNION ALL
+    SELECT step + 1, group_id, token_idx, v, rel,
+           d2 - e * e, list_append(c, e),
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, (prel * list_dot_product(v, pv) * rel
+                     - CASE WHEN len(c) = 0 THEN 0.0 ELSE list_dot_product(pc, c) END) / sqrt(greatest(pd2, 1e-12)) AS e
+          FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok,
+                       first_value(rel) OVER w AS prel, first_value(c) OVER w AS pc, first_value(d2) OVER w AS pd2 FROM st
+                WINDOW w AS (PARTITION BY group_id ORDER BY rk IS NOT NULL, d2 DESC, token_idx
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))
+    WHERE step < {k})
+SELECT group_id, token_idx, rk AS pick_rank FROM st WHERE step = {k} AND rk IS NOT NULL""")
+
+
+SQL["diverse_maxmin"] = _rec_maxmin_sql(_REC_K)
+SQL["diverse_maxmin_seeded"] = _rec_maxmin_sql(_REC_K, V.uniform_sql_duckdb(42, "group_id", "token_idx"))
+
+
+def _rec_recover_diverse_sql(k: int) -> str:
+    """Top ``2k`` pruned tokens by the W13 score, then ``k`` max-min
+    picks among them in score order (start = best score)."""
+    w13 = SQL["recover_topk"]
+    chain = w13[:w13.rindex("\nSELECT group_id, token_idx, rank, round")]
+    body = _rec_maxmin_sql(k, source=f"""SELECT r.group_id, r.token_idx, {NORM.replace("vec", "t.vec")} AS v, 0 AS u,
+        r.rank AS o FROM r JOIN tokens t USING (group_id, token_idx) WHERE r.rank < {2 * k}""")
+    recursive = body[body.index("\n, nv AS"):].replace("rk AS pick_rank FROM st", "rk AS rank FROM st")
+    return chain.replace("WITH ", "WITH RECURSIVE ", 1) + recursive
+
+
+SQL["recover_diverse"] = _rec_recover_diverse_sql(5)
+SQL["diverse_text_guided"] = _rec_text_guided_sql(_REC_K)
+SQL["dpp_map"] = _rec_dpp_sql(_REC_K)
