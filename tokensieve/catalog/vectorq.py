@@ -432,7 +432,7 @@ _U = V.uniform_sql_duckdb(42, "group_id", "token_idx")
 
 
 @register("weighted_sample", _T + f"""
-, k AS (SELECT *, -ln({_U}) / cls_score AS key FROM tokens)
+, k AS (SELECT *, CASE WHEN cls_score > 0 THEN -ln({_U}) / cls_score ELSE 'inf'::DOUBLE END AS key FROM tokens)
 , r AS (SELECT *, (row_number() OVER (PARTITION BY group_id ORDER BY key, token_idx) - 1)::INTEGER AS sample_rank FROM k)
 SELECT group_id, token_idx, sample_rank FROM r WHERE sample_rank < 8""")
 def q_weighted_sample(spark, sf):
@@ -781,3 +781,101 @@ WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), k
 
 
 SQL["prune_attention_diverse"] = _rec_c1_sql(20)
+
+
+# ------------------------------------------------------------------ C5 oracle (keep 0.25, no recovery)
+def _rec_c5_sql() -> str:
+    kn = NORM.replace("vec", "k.vec")
+    tn = NORM.replace("vec", "t.vec")
+    head = duckdb_with("tokens", "text_tokens").replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + f"""
+, r0 AS (SELECT k.group_id, k.token_idx, -avg(list_dot_product({kn}, {tn})) AS r
+         FROM tokens k JOIN text_tokens t ON k.group_id = t.group_id GROUP BY ALL)
+, rel AS (SELECT group_id, token_idx, (r - min(r) OVER (PARTITION BY group_id) + 1e-6) /
+            (max(r) OVER (PARTITION BY group_id) - min(r) OVER (PARTITION BY group_id)) AS rel FROM r0)
+, gn AS (SELECT group_id, count(*)::INTEGER AS n FROM tokens GROUP BY 1)
+, nv AS (SELECT t.group_id, t.token_idx, {NORM.replace("vec", "t.vec")} AS v, rel.rel,
+           least(CAST(trunc(0.25 * gn.n) AS INTEGER), gn.n) AS kk, gn.n
+         FROM tokens t JOIN rel USING (group_id, token_idx) JOIN gn USING (group_id))
+, st(step, group_id, token_idx, v, rel, kk, d2, c, rk) AS (
+    SELECT 0, group_id, token_idx, v, rel, kk, rel * rel * list_dot_product(v, v), CAST([] AS DOUBLE[]), CAST(NULL AS INTEGER)
+    FROM nv WHERE kk < n
+    UNION ALL
+    SELECT step + 1, group_id, token_idx, v, rel, kk, d2 - e * e, list_append(c, e),
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, (prel * list_dot_product(v, pv) * rel
+                     - CASE WHEN len(c) = 0 THEN 0.0 ELSE list_dot_product(pc, c) END) / sqrt(greatest(pd2, 1e-12)) AS e
+          FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok,
+                       first_value(rel) OVER w AS prel, first_value(c) OVER w AS pc, first_value(d2) OVER w AS pd2 FROM st
+                WINDOW w AS (PARTITION BY group_id ORDER BY rk IS NOT NULL, d2 DESC, token_idx
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))
+    WHERE step < kk)
+SELECT 0 AS config_id, group_id, token_idx, 'dpp' AS stage, rk AS rank,
+       (row_number() OVER (PARTITION BY group_id ORDER BY token_idx) - 1)::INTEGER AS position
+FROM st WHERE step = kk AND rk IS NOT NULL"""
+
+
+SQL["prune_dpp"] = _rec_c5_sql()
+
+
+# ------------------------------------------------------------------ C6 oracle (12-config grid)
+SQL["prune_entropy"] = duckdb_with("tokens", "text_tokens", "configs") + """
+, d AS (SELECT k.group_id, t.t_idx, k.token_idx, list_dot_product(k.vec, t.vec) AS d
+        FROM tokens k JOIN text_tokens t ON k.group_id = t.group_id)
+, e AS (SELECT *, exp(d - max(d) OVER (PARTITION BY group_id, t_idx)) AS e FROM d)
+, attn AS (SELECT group_id, t_idx, token_idx, e / sum(e) OVER (PARTITION BY group_id, t_idx) AS a FROM e)
+, pc AS (SELECT *, greatest(a / (sum(a) OVER (PARTITION BY group_id, token_idx) + 1e-10), 1e-10) AS p FROM attn)
+, es AS (SELECT group_id, token_idx, -0.1 * -sum(p * ln(p)) AS es FROM pc GROUP BY ALL)
+, gn AS (SELECT group_id, count(*)::INTEGER AS n FROM tokens GROUP BY 1)
+, t AS (SELECT es.*, gn.n, (row_number() OVER (PARTITION BY es.group_id ORDER BY es.es DESC, es.token_idx) - 1)::INTEGER AS score_rank
+        FROM es JOIN gn USING (group_id))
+, kb AS (SELECT c.config_id, c.recovery_ratio, t.*, least(CAST(trunc(c.keep_ratio * t.n) AS INTEGER), t.n) AS keep FROM configs c, t)
+, att AS (SELECT group_id, token_idx, sum(a) AS rs FROM attn GROUP BY ALL)
+, pr AS (SELECT kb.*, att.rs FROM kb JOIN att USING (group_id, token_idx) WHERE score_rank >= keep)
+, rr AS (SELECT *, (row_number() OVER (PARTITION BY config_id, group_id ORDER BY rs DESC, token_idx) - 1)::INTEGER AS rank FROM pr)
+SELECT config_id, group_id, token_idx, 'important' AS stage, score_rank AS rank, score_rank AS position FROM kb WHERE score_rank < keep
+UNION ALL
+SELECT DISTINCT config_id, group_id, CAST(NULL AS BIGINT), 'summary', 0, keep FROM pr
+UNION ALL
+SELECT config_id, group_id, token_idx, 'recovered', rank, (keep + 1 + rank)::INTEGER FROM rr
+WHERE rank < greatest(least(CAST(trunc(recovery_ratio * n) AS INTEGER), n - keep), 0)"""
+
+
+# ------------------------------------------------------------------ C4 oracle (keep .05, recovery .1, text weight .5 / 1 / 0)
+def _c4_sql() -> str:
+    u = V.uniform_sql_duckdb(42, "group_id", "level_id", "token_idx")
+    fused = SQL["multi_query_fusion"]
+    chain = fused[:fused.rindex("\nSELECT group_id, list(round(v, 6)")].replace("WITH ", "WITH ", 1)
+    return chain + f"""
+, fz AS (SELECT group_id, list(v ORDER BY p) AS fused FROM (SELECT group_id, p, sum(x) AS v FROM f GROUP BY ALL) GROUP BY 1)
+, lv AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE, 0), (1, 1.0::DOUBLE, 1), (2, 0.0::DOUBLE, 2)) v(level_id, w, config_id))
+, gn AS (SELECT group_id, count(*)::INTEGER AS n FROM tokens GROUP BY 1)
+, t AS (SELECT k.*, gn.n, (row_number() OVER (PARTITION BY k.group_id ORDER BY k.cls_score DESC, k.token_idx) - 1)::INTEGER AS score_rank
+        FROM tokens k JOIN gn USING (group_id))
+, kb AS (SELECT t.*, lv.level_id, lv.w, lv.config_id, least(CAST(trunc(0.05 * t.n) AS INTEGER), t.n) AS keep FROM t, lv)
+, kb2 AS (SELECT *, CAST(trunc(keep * 0.6) AS INTEGER) AS imp FROM kb WHERE keep < n)
+, imp AS (SELECT config_id, group_id, level_id, token_idx, 'important' AS stage, score_rank AS rank FROM kb2 WHERE score_rank < imp)
+, rem AS (SELECT kb2.*, CASE WHEN fz.fused IS NOT NULL THEN list_dot_product(fz.fused, kb2.vec) END AS ts
+          FROM kb2 LEFT JOIN fz USING (group_id) WHERE score_rank >= imp)
+, rem2 AS (SELECT *, exp(ts - max(ts) OVER (PARTITION BY group_id, level_id)) AS ets FROM rem)
+, rem3 AS (SELECT *, CASE WHEN ts IS NOT NULL THEN w * ets / sum(ets) OVER (PARTITION BY group_id, level_id) + (1.0 - w) * cls_score
+                     ELSE cls_score END AS fin FROM rem2)
+, samp AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY
+              CASE WHEN fin > 0 THEN -ln({u}) / fin ELSE 'inf'::DOUBLE END, token_idx) - 1)::INTEGER AS rank FROM rem3)
+, div AS (SELECT config_id, group_id, level_id, token_idx, 'diverse' AS stage, rank FROM samp WHERE rank < keep - imp)
+, sel AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY token_idx) - 1)::INTEGER AS position
+          FROM (SELECT * FROM imp UNION ALL SELECT * FROM div))
+, pruned AS (SELECT k.*, fz.fused FROM kb2 k LEFT JOIN fz USING (group_id) ANTI JOIN sel s USING (group_id, level_id, token_idx))
+, pa AS (SELECT *, CASE WHEN fused IS NOT NULL THEN list_dot_product(fused, vec) END AS a FROM pruned)
+, pb AS (SELECT *, exp(a - max(a) OVER (PARTITION BY group_id, level_id)) AS ea,
+               exp(cls_score - max(cls_score) OVER (PARTITION BY group_id, level_id)) AS ec FROM pa)
+, pc AS (SELECT *, CASE WHEN fused IS NOT NULL THEN w * ea / sum(ea) OVER (PARTITION BY group_id, level_id)
+                      + (1.0 - w) * ec / sum(ec) OVER (PARTITION BY group_id, level_id) ELSE cls_score END AS sc FROM pb)
+, rr AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY sc DESC, token_idx) - 1)::INTEGER AS rank FROM pc)
+SELECT config_id, group_id, token_idx, stage, rank, position FROM sel
+UNION ALL
+SELECT config_id, group_id, token_idx, 'recovered', rank, (keep + rank)::INTEGER FROM rr
+WHERE rank < greatest(least(CAST(trunc(0.1 * n) AS INTEGER), n - keep), 0)"""
+
+
+SQL["prune_multi_query"] = _c4_sql()

@@ -74,7 +74,8 @@ def query_relevance(tokens: DataFrame, text_tokens: DataFrame) -> DataFrame:
     rel = sims.groupBy("group_id", "token_idx").agg((-F.avg("sim")).alias("_r"))
     s = join_group_stats(rel, "group_id", _mn=F.min("_r"), _mx=F.max("_r"))
     return s.select("group_id", "token_idx",
-                    ((F.col("_r") - F.col("_mn") + F.lit(RELEVANCE_EPS)) / (F.col("_mx") - F.col("_mn"))).alias("relevance"))
+                    ((F.col("_r") - F.col("_mn") + F.lit(RELEVANCE_EPS))
+                     / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0))).alias("relevance"))
 
 
 # A18

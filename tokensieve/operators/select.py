@@ -74,7 +74,8 @@ def weighted_sample(df: DataFrame, keys, weight: str, m, seed: int = 42, out: st
     ``-ln(u) / w`` with a seeded uniform ``u``; keep ranks below ``m``."""
     ks = _keys(keys)
     u = uniform(seed, *[F.col(c) for c in ks], F.col("token_idx"))
-    d = df.withColumn("_key", -F.log(u) / F.col(weight))
+    # zero / missing weight: never drawn before a positive one (key +inf)
+    d = df.withColumn("_key", F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)).otherwise(F.lit(float("inf"))))
     w = Window.partitionBy(*ks).orderBy(F.asc("_key"), F.asc("token_idx"))
     d = d.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
     mm = F.lit(int(m)) if isinstance(m, int) else F.col(m)

@@ -280,11 +280,12 @@ def prune_multi_query(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     imp = _important(part)
     fused = fuse_queries(text_tokens)
     rem = part.where(F.col("score_rank") >= F.col("imp")).join(fused, G, "left")
-    has_text = F.col("fused").isNotNull()
-    rem = rem.withColumn("_ts", F.when(has_text, dot("fused", "vec")))
-    rem_t = softmax(rem.where(has_text), [G, "level_id"], "_ts", "_pt")
+    rem = rem.withColumn("_ts", F.when(F.col("fused").isNotNull(), dot("fused", "vec")))
+    rem_t = softmax(rem, [G, "level_id"], "_ts", "_pt")      # null for groups without questions
     w = F.col("text_guidance_weight")
-    rem_t = rem_t.withColumn("_final", w * F.col("_pt") + (F.lit(1.0) - w) * F.col("cls_score"))
+    rem_t = rem_t.withColumn("_final", F.when(F.col("_pt").isNotNull(),
+                                              w * F.col("_pt") + (F.lit(1.0) - w) * F.col("cls_score"))
+                             .otherwise(F.col("cls_score")))
     # (remaining <= diverse only when keep >= n, handled as keep-all)
     samp = S.weighted_sample(rem_t, [G, "level_id"], "_final", "div", seed, "rank")
     div = samp.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), "rank")
