@@ -879,3 +879,71 @@ WHERE rank < greatest(least(CAST(trunc(0.1 * n) AS INTEGER), n - keep), 0)"""
 
 
 SQL["prune_multi_query"] = _c4_sql()
+
+
+# ------------------------------------------------------------------ C2 oracle (threshold 20, text weight 0 / 0.5)
+def _c2_sql(threshold: int = 20, seed: int = 42) -> str:
+    u = V.uniform_sql_duckdb(seed, "group_id", "level_id", "token_idx")
+    head = duckdb_with("tokens", "text_tokens").replace("WITH ", "WITH RECURSIVE ", 1)
+    grid = ", ".join(f"({i}, {k}::DOUBLE, {r}::DOUBLE, {w}::DOUBLE)" for i, (k, r, w) in enumerate(
+        (k, r, w) for k in tb.KEEP_RATIOS for r in tb.RECOVERY_RATIOS for w in (0.0, 0.5)))
+    return head + f"""
+, configs AS (SELECT * FROM (VALUES {grid}) v(config_id, keep_ratio, recovery_ratio, w))
+, lvl AS (SELECT keep_ratio, w, (dense_rank() OVER (ORDER BY keep_ratio, w) - 1)::INTEGER AS level_id
+          FROM (SELECT DISTINCT keep_ratio, w FROM configs))
+, gn AS (SELECT group_id, count(*)::INTEGER AS n FROM tokens GROUP BY 1)
+, t AS (SELECT k.group_id, k.token_idx, k.vec, gn.n,
+          (row_number() OVER (PARTITION BY k.group_id ORDER BY k.cls_score DESC, k.token_idx) - 1)::INTEGER AS score_rank
+        FROM tokens k JOIN gn USING (group_id))
+, tl AS (SELECT t.*, l.level_id, l.w, least(CAST(trunc(l.keep_ratio * t.n) AS INTEGER), t.n) AS keep FROM t, lvl l)
+, tb AS (SELECT *, CAST(trunc(keep * 0.6) AS INTEGER) AS imp FROM tl)
+, part AS (SELECT *, keep - imp AS div, n - imp AS rn FROM tb WHERE keep < n)
+, imp AS (SELECT group_id, level_id, token_idx, 'important' AS stage, score_rank AS rank FROM part WHERE score_rank < imp)
+, rem AS (SELECT * FROM part WHERE score_rank >= imp AND rn > div)
+, samp AS (SELECT *, CASE WHEN rn > {threshold} THEN (row_number() OVER (PARTITION BY group_id, level_id ORDER BY
+               CASE WHEN w > 0 THEN -ln({u}) ELSE {u} END, token_idx) - 1) ELSE token_idx END AS o,
+             CASE WHEN rn > {threshold} THEN least(div * CASE WHEN w > 0 THEN 3 ELSE 4 END, rn) END AS m FROM rem)
+, nv AS (SELECT group_id, level_id, token_idx, {NORM} AS v, div AS kk, o FROM samp
+         WHERE (m IS NOT NULL AND o < m) OR (m IS NULL AND w <= 0))
+, st(step, group_id, level_id, token_idx, v, kk, o, run, rk) AS (
+    SELECT 0, group_id, level_id, token_idx, v, kk, o, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER) FROM nv
+    UNION ALL
+    SELECT step + 1, group_id, level_id, token_idx, v, kk, o,
+           CASE WHEN run IS NULL THEN list_dot_product(v, pv) ELSE greatest(run, list_dot_product(v, pv)) END,
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM st
+          WINDOW w AS (PARTITION BY group_id, level_id ORDER BY rk IS NOT NULL, coalesce(run, -1e308), o
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < kk)
+, gv AS (SELECT group_id, level_id, token_idx, {NORM} AS v, div AS kk FROM samp WHERE m IS NULL AND w > 0)
+, tg(step, group_id, level_id, token_idx, v, kk, s, rk) AS (
+    SELECT 0, group_id, level_id, token_idx, v, kk, 1.0::DOUBLE, CAST(NULL AS INTEGER) FROM gv
+    UNION ALL
+    SELECT step + 1, group_id, level_id, token_idx, v, kk, s - 0.8 * list_dot_product(v, pv),
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM tg
+          WINDOW w AS (PARTITION BY group_id, level_id ORDER BY rk IS NOT NULL, s DESC, token_idx
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < kk)
+, div AS (SELECT group_id, level_id, token_idx, 'diverse' AS stage, rk AS rank FROM st WHERE step = kk AND rk IS NOT NULL
+          UNION ALL
+          SELECT group_id, level_id, token_idx, 'diverse', rk FROM tg WHERE step = kk AND rk IS NOT NULL)
+, sel AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY token_idx) - 1)::INTEGER AS position
+          FROM (SELECT * FROM imp UNION ALL SELECT * FROM div))
+, pruned AS (SELECT p.* FROM part p ANTI JOIN sel s USING (group_id, level_id, token_idx))
+, d AS (SELECT p.group_id, p.level_id, p.token_idx, t.t_idx, list_dot_product(p.vec, t.vec) AS a
+        FROM pruned p JOIN text_tokens t ON p.group_id = t.group_id)
+, e AS (SELECT *, exp(a - max(a) OVER (PARTITION BY group_id, level_id, t_idx)) AS e FROM d)
+, sc AS (SELECT group_id, level_id, token_idx, avg(e / s) AS sc
+         FROM (SELECT *, sum(e) OVER (PARTITION BY group_id, level_id, t_idx) AS s FROM e) GROUP BY ALL)
+, rr AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY sc DESC, token_idx) - 1)::INTEGER AS rank FROM sc)
+, cfg AS (SELECT c.config_id, c.recovery_ratio, l.level_id FROM configs c JOIN lvl l USING (keep_ratio, w))
+, kn AS (SELECT DISTINCT group_id, level_id, n, keep FROM part)
+SELECT c.config_id, s.group_id, s.token_idx, s.stage, s.rank, s.position FROM sel s JOIN cfg c USING (level_id)
+UNION ALL
+SELECT c.config_id, r.group_id, r.token_idx, 'recovered', r.rank, (kn.keep + r.rank)::INTEGER
+FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id)
+WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0)"""
+
+
+SQL["prune_attention_textweighted"] = _c2_sql(20)
