@@ -30,10 +30,9 @@ def config_sweep(items: DataFrame, configs: DataFrame) -> DataFrame:
     inlined as a literal array and exploded next to each item (a Generate
     in the same stage, no join and no shuffle).
     """
-    n = configs.count()
-    if n > MAX_INLINE_CONFIGS:
-        raise ValueError(f"configuration grid has {n} rows (> {MAX_INLINE_CONFIGS}); join it instead")
-    rows = configs.collect()
+    rows = configs.limit(MAX_INLINE_CONFIGS + 1).collect()
+    if len(rows) > MAX_INLINE_CONFIGS:
+        raise ValueError(f"configuration grid has more than {MAX_INLINE_CONFIGS} rows; join it instead")
     fields = configs.schema.fields
     structs = [
         F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows

@@ -208,8 +208,16 @@ def run_grouped(df: DataFrame, keys, fn: Callable, cols=("vec",), k_col: str = "
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir``.  The input is
+    persisted first so the eager count and the checkpoint write compute it
+    once (a Python kernel is not re-run), then released."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist(blocking=False)
 
 
 def materialise(df: DataFrame) -> DataFrame:

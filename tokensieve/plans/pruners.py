@@ -37,10 +37,11 @@ SELECTION_COLS = ("config_id", G, "token_idx", "stage", "rank", "position")
 
 
 def _config_rows(configs: DataFrame) -> list[dict]:
-    n = configs.count()
-    if n > MAX_INLINE_CONFIGS:
-        raise ValueError(f"configuration grid has {n} rows (> {MAX_INLINE_CONFIGS})")
-    return [r.asDict() for r in configs.collect()]
+    """The grid as a list (one small job); its size is checked."""
+    rows = configs.limit(MAX_INLINE_CONFIGS + 1).collect()
+    if len(rows) > MAX_INLINE_CONFIGS:
+        raise ValueError(f"configuration grid has more than {MAX_INLINE_CONFIGS} rows; join it instead")
+    return [r.asDict() for r in rows]
 
 
 def _explode(df: DataFrame, rows: list[dict], fields: dict, alias: str = "_lv") -> DataFrame:
