@@ -947,3 +947,78 @@ WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), k
 
 
 SQL["prune_attention_textweighted"] = _c2_sql(20)
+
+
+# ------------------------------------------------------------------ C3 oracle (12-config grid, hybrid weight 0.5)
+def _c3_sql() -> str:
+    head = duckdb_with("tokens", "text_tokens", "configs").replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + f"""
+, ts AS (SELECT k.group_id, k.token_idx, max(list_dot_product(k.vec, t.vec)) AS text_score
+         FROM tokens k JOIN text_tokens t ON k.group_id = t.group_id GROUP BY ALL)
+, hj AS (SELECT k.group_id, k.token_idx, k.vec, k.cls_score, ts.text_score FROM tokens k JOIN ts USING (group_id, token_idx))
+, hy AS (SELECT *, 0.5 * (cls_score - min(cls_score) OVER w) / (max(cls_score) OVER w - min(cls_score) OVER w + 1e-8)
+           + 0.5 * (text_score - min(text_score) OVER w) / (max(text_score) OVER w - min(text_score) OVER w + 1e-8) AS h
+         FROM hj WINDOW w AS (PARTITION BY group_id))
+, gn AS (SELECT group_id, count(*)::INTEGER AS n FROM hy GROUP BY 1)
+, lvl AS (SELECT keep_ratio, important_ratio, (dense_rank() OVER (ORDER BY keep_ratio, important_ratio) - 1)::INTEGER AS level_id
+          FROM (SELECT DISTINCT keep_ratio, important_ratio FROM configs))
+, t AS (SELECT hy.*, gn.n, (row_number() OVER (PARTITION BY hy.group_id ORDER BY hy.h DESC, hy.token_idx) - 1)::INTEGER AS score_rank
+        FROM hy JOIN gn USING (group_id))
+, tl AS (SELECT t.*, l.level_id, l.important_ratio, least(CAST(trunc(l.keep_ratio * t.n) AS INTEGER), t.n) AS keep FROM t, lvl l)
+, tb AS (SELECT *, CAST(trunc(keep * important_ratio) AS INTEGER) AS imp FROM tl)
+, part AS (SELECT *, keep - imp AS div FROM tb WHERE keep < n)
+, imp AS (SELECT group_id, level_id, token_idx, 'important' AS stage, score_rank AS rank FROM part WHERE score_rank < imp)
+, gv AS (SELECT group_id, level_id, token_idx, {NORM} AS v, div AS kk, h FROM part WHERE score_rank >= imp)
+, tg(step, group_id, level_id, token_idx, v, kk, s, rk) AS (
+    SELECT 0, group_id, level_id, token_idx, v, kk, h, CAST(NULL AS INTEGER) FROM gv
+    UNION ALL
+    SELECT step + 1, group_id, level_id, token_idx, v, kk, s - 0.8 * list_dot_product(v, pv),
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM tg
+          WINDOW w AS (PARTITION BY group_id, level_id ORDER BY rk IS NOT NULL, s DESC, token_idx
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < kk)
+, div AS (SELECT group_id, level_id, token_idx, 'diverse' AS stage, rk AS rank FROM tg WHERE step = kk AND rk IS NOT NULL)
+, sel AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY token_idx) - 1)::INTEGER AS position
+          FROM (SELECT * FROM imp UNION ALL SELECT * FROM div))
+, pruned AS (SELECT p.* FROM part p ANTI JOIN sel s USING (group_id, level_id, token_idx))
+, d AS (SELECT p.group_id, p.level_id, p.token_idx, t.t_idx, list_dot_product(p.vec, t.vec) AS a
+        FROM pruned p JOIN text_tokens t ON p.group_id = t.group_id)
+, e AS (SELECT *, exp(a - max(a) OVER (PARTITION BY group_id, level_id, t_idx)) AS e FROM d)
+, sc AS (SELECT group_id, level_id, token_idx, avg(e / s) AS sc
+         FROM (SELECT *, sum(e) OVER (PARTITION BY group_id, level_id, t_idx) AS s FROM e) GROUP BY ALL)
+, rr AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY sc DESC, token_idx) - 1)::INTEGER AS rank FROM sc)
+, cfg AS (SELECT c.config_id, c.recovery_ratio, l.level_id FROM configs c JOIN lvl l USING (keep_ratio, important_ratio))
+, kn AS (SELECT DISTINCT group_id, level_id, n, keep FROM part)
+SELECT c.config_id, s.group_id, s.token_idx, s.stage, s.rank, s.position FROM sel s JOIN cfg c USING (level_id)
+UNION ALL
+SELECT c.config_id, r.group_id, r.token_idx, 'recovered', r.rank, (kn.keep + r.rank)::INTEGER
+FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id)
+WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0)"""
+
+
+SQL["prune_text_guided"] = _c3_sql()
+
+
+# ------------------------------------------------------------------ V5 oracle (target 12): one list of survivors per group
+def _v5_sql(target: int = 12) -> str:
+    head = _T.replace("WITH ", "WITH RECURSIVE ", 1)
+    return head + f"""
+, g AS (SELECT group_id, list({NORM} ORDER BY token_idx) AS vs, list(token_idx ORDER BY token_idx) AS ids
+        FROM tokens GROUP BY 1)
+, st(group_id, vs, ids, rem) AS (
+    SELECT group_id, vs, ids, range(len(ids)) FROM g
+    UNION ALL
+    SELECT group_id, vs, ids,
+           list_concat(list_transform(list_slice(srt, r + 1, len(srt)), lambda x: x.e), od)
+    FROM (SELECT *, list_sort(list_transform(ev, lambda e, i: {{'nb': -coalesce(list_max(
+                 list_transform(od, lambda o: list_dot_product(vs[e + 1], vs[o + 1]))), 0.0), 'i': i, 'e': e}})) AS srt
+          FROM (SELECT *, least(2, len(rem) - {target}) AS r,
+                       list_slice(rem, 1, len(rem), 2) AS ev, list_slice(rem, 2, len(rem), 2) AS od FROM st))
+    WHERE len(rem) > {target})
+, fin AS (SELECT group_id, ids, rem FROM st WHERE len(rem) <= {target})
+SELECT group_id, ids[rem[p] + 1] AS token_idx, (p - 1)::INTEGER AS pick_rank
+FROM (SELECT *, unnest(range(1, len(rem) + 1)) AS p FROM fin)"""
+
+
+SQL["dedup_even_odd"] = _v5_sql(12)
