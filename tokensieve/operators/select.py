@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, uniform
+from .groupwise import group_rank
 from .scores import softmax
 
 
@@ -19,10 +20,11 @@ def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def rank_desc(df: DataFrame, keys, score: str, out: str = "score_rank") -> DataFrame:
-    """0-based rank by descending score; ties -> lower ``token_idx`` first."""
-    w = Window.partitionBy(*_keys(keys)).orderBy(F.desc(score), F.asc("token_idx"))
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+def rank_desc(df: DataFrame, keys, score: str, out: str = "score_rank", largest: int | None = 0) -> DataFrame:
+    """0-based rank by descending score; ties -> lower ``token_idx`` first.
+    ``largest``: a bound of the group size (``None`` = unknown -> the plan
+    that spreads a hot group over many tasks)."""
+    return group_rank(df, keys, [F.desc(score), F.asc("token_idx")], out, largest)
 
 
 # W1
@@ -52,10 +54,9 @@ def union_stages(*stages: DataFrame) -> DataFrame:
 
 
 # O2
-def sort_selected(selected: DataFrame, keys) -> DataFrame:
+def sort_selected(selected: DataFrame, keys, largest: int | None = 0) -> DataFrame:
     """Output position = ascending token order of the selected set."""
-    w = Window.partitionBy(*_keys(keys)).orderBy("token_idx")
-    return selected.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
+    return group_rank(selected, keys, [F.asc("token_idx")], "position", largest)
 
 
 # O3
@@ -69,25 +70,25 @@ def append_recovered(sorted_sel: DataFrame, recovered: DataFrame, keys) -> DataF
 
 
 # V6
-def weighted_sample(df: DataFrame, keys, weight: str, m, seed: int = 42, out: str = "sample_rank") -> DataFrame:
+def weighted_sample(df: DataFrame, keys, weight: str, m, seed: int = 42, out: str = "sample_rank",
+                    largest: int | None = 0) -> DataFrame:
     """Weighted sampling without replacement (Efraimidis-Spirakis): rank by
     ``-ln(u) / w`` with a seeded uniform ``u``; keep ranks below ``m``."""
     ks = _keys(keys)
     u = uniform(seed, *[F.col(c) for c in ks], F.col("token_idx"))
     # zero / missing weight: never drawn before a positive one (key +inf)
     d = df.withColumn("_key", F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)).otherwise(F.lit(float("inf"))))
-    w = Window.partitionBy(*ks).orderBy(F.asc("_key"), F.asc("token_idx"))
-    d = d.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    d = group_rank(d, ks, [F.asc("_key"), F.asc("token_idx")], out, largest)
     mm = F.lit(int(m)) if isinstance(m, int) else F.col(m)
     return d.where(F.col(out) < mm).drop("_key")
 
 
 # V7
-def uniform_sample(df: DataFrame, keys, m, seed: int = 42, out: str = "sample_rank") -> DataFrame:
+def uniform_sample(df: DataFrame, keys, m, seed: int = 42, out: str = "sample_rank",
+                   largest: int | None = 0) -> DataFrame:
     ks = _keys(keys)
-    u = uniform(seed, *[F.col(c) for c in ks], F.col("token_idx"))
-    w = Window.partitionBy(*ks).orderBy(u, F.asc("token_idx"))
-    d = df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    d = df.withColumn("_u", uniform(seed, *[F.col(c) for c in ks], F.col("token_idx")))
+    d = group_rank(d, ks, [F.asc("_u"), F.asc("token_idx")], out, largest).drop("_u")
     mm = F.lit(int(m)) if isinstance(m, int) else F.col(m)
     return d.where(F.col(out) < mm)
 

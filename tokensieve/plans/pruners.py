@@ -23,7 +23,8 @@ from ..functions.vectors import dot, l2_normalise
 from ..operators import kernels as K
 from ..operators import select as S
 from ..operators.evaluate import MAX_INLINE_CONFIGS
-from ..operators.scores import join_group_stats, mean_vector, query_relevance, softmax
+from ..operators.groupwise import group_softmax, group_stats
+from ..operators.scores import mean_vector, query_relevance, softmax
 
 G = "group_id"
 # The reference's pre-sampling threshold and sample factors.
@@ -70,19 +71,19 @@ def _budget(df: DataFrame) -> DataFrame:
     return df.withColumn("keep", keep).withColumn("imp", imp).withColumn("div", keep - imp)
 
 
-def _sized(tokens: DataFrame) -> DataFrame:
-    return join_group_stats(tokens, G, n=F.count(F.lit(1))).withColumn("n", F.col("n").cast("int"))
+def _sized(tokens: DataFrame, largest: int | None) -> DataFrame:
+    return group_stats(tokens, G, largest, n=F.count(F.lit(1))).withColumn("n", F.col("n").cast("int"))
 
 
 def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, cfg: list[dict],
-            full_by_level: DataFrame) -> DataFrame:
+            full_by_level: DataFrame, largest: int | None = None) -> DataFrame:
     """Level results -> per-config selection rows."""
     lvl_fields = {"config_id": "int", "level_id": "int", "recovery_ratio": "double"}
 
     def per_config(df):
         return df.join(F.broadcast(_cfg_df(df, cfg)), "level_id")
 
-    sel = S.sort_selected(selected_by_level, [G, "level_id"])
+    sel = S.sort_selected(selected_by_level, [G, "level_id"], largest)
     out = per_config(sel).select(*SELECTION_COLS)
     if full_by_level is not None:
         out = out.unionByName(per_config(full_by_level).select(*SELECTION_COLS))
@@ -102,20 +103,21 @@ def _cfg_df(df: DataFrame, cfg: list[dict]) -> DataFrame:
                                  "config_id int, level_id int, recovery_ratio double")
 
 
-def _level_tokens(tokens: DataFrame, lv: list[dict], score: str = "cls_score") -> DataFrame:
-    t = S.rank_desc(_sized(tokens), G, score, "score_rank")
+def _level_tokens(tokens: DataFrame, lv: list[dict], score: str = "cls_score",
+                  largest: int | None = None) -> DataFrame:
+    t = S.rank_desc(_sized(tokens, largest), G, score, "score_rank", largest)
     t = _explode(t, lv, {"level_id": "int", "keep_ratio": "double", "important_ratio": "double",
                          "text_guidance_weight": "double"})
     return _budget(t)
 
 
-def _full_rows(t: DataFrame, lv: list[dict]) -> DataFrame | None:
+def _full_rows(t: DataFrame, lv: list[dict], largest: int | None = None) -> DataFrame | None:
     """Early exit: keep >= n -> every token, in order, no recovery (only
     possible for a keep ratio >= 1, so otherwise not planned)."""
     if all(level["keep_ratio"] < 1.0 for level in lv):
         return None
     f = t.where(F.col("keep") >= F.col("n"))
-    return S.sort_selected(f, [G, "level_id"]).select(
+    return S.sort_selected(f, [G, "level_id"], largest).select(
         G, "level_id", "token_idx", F.lit("all").alias("stage"), F.col("position").alias("rank"), "position")
 
 
@@ -140,9 +142,10 @@ def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, star
         factor = UNIFORM_FACTOR if sample == "uniform" else WEIGHTED_FACTOR
         big = big.withColumn("_m", F.least(F.col("div") * factor, F.col("_rn")))
         if sample == "uniform":
-            big = S.uniform_sample(big, keys, "_m", seed, "_ord")
+            big = S.uniform_sample(big, keys, "_m", seed, "_ord", largest)
         else:
-            big = S.weighted_sample(big.withColumn("_w", F.lit(1.0)), keys, "_w", "_m", seed, "_ord").drop("_w")
+            big = S.weighted_sample(big.withColumn("_w", F.lit(1.0)), keys, "_w", "_m", seed, "_ord",
+                                    largest).drop("_w")
         big = big.withColumn("k", F.least(F.col("div"), F.col("_m"))).withColumn("_ord", F.col("_ord").cast("bigint"))
         parts.append(big.select(*keys, "token_idx", "vec", "k", "_ord"))
     small = cand.where(F.col("_rn") <= threshold) if parts else cand
@@ -166,25 +169,26 @@ def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, star
     return picks.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
 
 
-def _recovery(level_tokens: DataFrame, selected: DataFrame, text_tokens: DataFrame) -> DataFrame:
+def _recovery(level_tokens: DataFrame, selected: DataFrame, text_tokens: DataFrame,
+              largest: int | None = None) -> DataFrame:
     """W13 on the pruned tokens of each (group, level)."""
     part = level_tokens.where(F.col("keep") < F.col("n"))
     pruned = part.join(selected.select(G, "level_id", "token_idx"), [G, "level_id", "token_idx"], "left_anti")
-    ranked = _recover_ranked(pruned, text_tokens)
+    ranked = _recover_ranked(pruned, text_tokens, largest)
     sizes = part.select(G, "level_id", "n", "keep").distinct()
     return ranked.join(sizes, [G, "level_id"]).select(
         G, "level_id", "token_idx", F.lit("recovered").alias("stage"), "rank", "n", "keep")
 
 
-def _recover_ranked(pruned: DataFrame, text_tokens: DataFrame) -> DataFrame:
+def _recover_ranked(pruned: DataFrame, text_tokens: DataFrame, largest: int | None = None) -> DataFrame:
     keys = [G, "level_id"]
     j = pruned.alias("p").join(text_tokens.alias("t"), F.col(f"p.{G}") == F.col(f"t.{G}"))
     sims = j.select(F.col(f"p.{G}").alias(G), F.col("p.level_id").alias("level_id"),
                     F.col("p.token_idx").alias("token_idx"), F.col("t.t_idx").alias("t_idx"),
                     dot(F.col("p.vec"), F.col("t.vec")).alias("_a"))
-    sm = softmax(sims, [*keys, "t_idx"], "_a", "_p")
+    sm = group_softmax(sims, [*keys, "t_idx"], "_a", "_p", largest)
     sc = sm.groupBy(*keys, "token_idx").agg(F.avg("_p").alias("recovery_score"))
-    return S.rank_desc(sc, keys, "recovery_score", "rank")
+    return S.rank_desc(sc, keys, "recovery_score", "rank", largest)
 
 
 # C1
@@ -195,16 +199,16 @@ def prune_attention_diverse(tokens: DataFrame, text_tokens: DataFrame, configs:
     text-attention recovery (W13) appended after the sorted selection."""
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
-    t = _level_tokens(tokens, lv)
-    full = _full_rows(t, lv)
+    largest = K.largest_group(tokens, [G])
+    t = _level_tokens(tokens, lv, largest=largest)
+    full = _full_rows(t, lv, largest)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp"))
-    div = _diverse_maxmin(rem, presample_threshold, seed, "uniform", "first", max_group,
-                          K.largest_group(tokens, [G]))
+    div = _diverse_maxmin(rem, presample_threshold, seed, "uniform", "first", max_group, largest)
     selected = K.materialise(imp.unionByName(div))
-    rec = _recovery(t, selected, text_tokens) if any(c["recovery_ratio"] > 0 for c in cfg) else None
-    return _finish(selected, rec, cfg, full)
+    rec = _recovery(t, selected, text_tokens, largest) if any(c["recovery_ratio"] > 0 for c in cfg) else None
+    return _finish(selected, rec, cfg, full, largest)
 
 
 # C2
@@ -216,13 +220,13 @@ def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, conf
     the reference); above the threshold a weighted 3x sample then max-min."""
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
-    t = _level_tokens(tokens, lv)
-    full = _full_rows(t, lv)
+    largest = K.largest_group(tokens, [G])
+    t = _level_tokens(tokens, lv, largest=largest)
+    full = _full_rows(t, lv, largest)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp"))
     guided = F.col("text_guidance_weight") > 0
-    largest = K.largest_group(tokens, [G])
     parts = [imp]
     if any(level["text_guidance_weight"] <= 0 for level in lv):
         parts.append(_diverse_maxmin(rem.where(~guided), presample_threshold, seed, "uniform",
@@ -249,8 +253,8 @@ def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, conf
     for p_ in parts[1:]:
         selected = selected.unionByName(p_)
     selected = K.materialise(selected)
-    rec = _recovery(t, selected, text_tokens) if any(c["recovery_ratio"] > 0 for c in cfg) else None
-    return _finish(selected, rec, cfg, full)
+    rec = _recovery(t, selected, text_tokens, largest) if any(c["recovery_ratio"] > 0 for c in cfg) else None
+    return _finish(selected, rec, cfg, full, largest)
 
 
 # V14
@@ -275,35 +279,36 @@ def prune_multi_query(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     ``w*softmax(text) + (1-w)*softmax(cls)`` (CLS only without questions)."""
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
-    t = _level_tokens(tokens, lv)
-    full = _full_rows(t, lv)
+    largest = K.largest_group(tokens, [G])
+    t = _level_tokens(tokens, lv, largest=largest)
+    full = _full_rows(t, lv, largest)
     part = t.where(F.col("keep") < F.col("n"))
     imp = _important(part)
     fused = fuse_queries(text_tokens)
     rem = part.where(F.col("score_rank") >= F.col("imp")).join(fused, G, "left")
     rem = rem.withColumn("_ts", F.when(F.col("fused").isNotNull(), dot("fused", "vec")))
-    rem_t = softmax(rem, [G, "level_id"], "_ts", "_pt")      # null for groups without questions
+    rem_t = group_softmax(rem, [G, "level_id"], "_ts", "_pt", largest)   # null for groups without questions
     w = F.col("text_guidance_weight")
     rem_t = rem_t.withColumn("_final", F.when(F.col("_pt").isNotNull(),
                                               w * F.col("_pt") + (F.lit(1.0) - w) * F.col("cls_score"))
                              .otherwise(F.col("cls_score")))
     # (remaining <= diverse only when keep >= n, handled as keep-all)
-    samp = S.weighted_sample(rem_t, [G, "level_id"], "_final", "div", seed, "rank")
+    samp = S.weighted_sample(rem_t, [G, "level_id"], "_final", "div", seed, "rank", largest)
     div = samp.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), "rank")
     selected = imp.unionByName(div)
     # recovery
     pruned = part.join(selected.select(G, "level_id", "token_idx"), [G, "level_id", "token_idx"], "left_anti") \
         .join(fused, G, "left")
     with_q = pruned.where(F.col("fused").isNotNull()).withColumn("_a", dot("fused", "vec"))
-    with_q = softmax(with_q, [G, "level_id"], "_a", "_pt")
-    with_q = softmax(with_q, [G, "level_id"], "cls_score", "_pc")
+    with_q = group_softmax(with_q, [G, "level_id"], "_a", "_pt", largest)
+    with_q = group_softmax(with_q, [G, "level_id"], "cls_score", "_pc", largest)
     with_q = with_q.withColumn("_score", w * F.col("_pt") + (F.lit(1.0) - w) * F.col("_pc"))
     no_q = pruned.where(F.col("fused").isNull()).withColumn("_score", F.col("cls_score"))
     sc = with_q.select(G, "level_id", "token_idx", "_score", "n", "keep").unionByName(
         no_q.select(G, "level_id", "token_idx", "_score", "n", "keep"))
-    rec = S.rank_desc(sc, [G, "level_id"], "_score", "rank").select(
+    rec = S.rank_desc(sc, [G, "level_id"], "_score", "rank", largest).select(
         G, "level_id", "token_idx", F.lit("recovered").alias("stage"), "rank", "n", "keep")
-    return _finish(selected, rec, cfg, full)
+    return _finish(selected, rec, cfg, full, largest)
 
 
 # C5
@@ -314,15 +319,16 @@ def prune_dpp(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
     rel = query_relevance(tokens, text_tokens)
-    t = _sized(tokens).join(rel, [G, "token_idx"])
+    largest = K.largest_group(tokens, [G])
+    t = _sized(tokens, largest).join(rel, [G, "token_idx"])
     t = _budget(_explode(t, lv, {"level_id": "int", "keep_ratio": "double", "important_ratio": "double",
                                  "text_guidance_weight": "double"}))
-    full = _full_rows(t, lv)
+    full = _full_rows(t, lv, largest)
     part = t.where(F.col("keep") < F.col("n"))
     picks = K.dpp_select(part.select(G, "level_id", "token_idx", "vec", "relevance", F.col("keep").alias("kk")),
-                         [G, "level_id"], "kk", max_group=max_group, largest=K.largest_group(tokens, [G]))
+                         [G, "level_id"], "kk", max_group=max_group, largest=largest)
     selected = picks.select(G, "level_id", "token_idx", F.lit("dpp").alias("stage"), F.col("pick_rank").alias("rank"))
-    return _finish(selected, None, cfg, full)
+    return _finish(selected, None, cfg, full, largest)
 
 
 # C6
@@ -338,8 +344,9 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
         dot(F.col("k.vec"), F.col("t.vec")).alias("_d"))
     attn = softmax(sims, [G, "t_idx"], "_d", "a")
     es = entropy_scores(attn, lam)
-    t = _sized(tokens).join(es, [G, "token_idx"])
-    t = S.rank_desc(t, G, "entropy_score", "score_rank")
+    largest = K.largest_group(tokens, [G])
+    t = _sized(tokens, largest).join(es, [G, "token_idx"])
+    t = S.rank_desc(t, G, "entropy_score", "score_rank", largest)
     t = _explode(t, lv, {"level_id": "int", "keep_ratio": "double", "important_ratio": "double",
                          "text_guidance_weight": "double"})
     t = _budget(t)
@@ -348,7 +355,7 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     summary = mean_vector(pruned.select(G, "level_id", "vec"), [G, "level_id"], "vec", "mean_vec")
     att_sum = pruned.select(G, "level_id", "token_idx", "n", "keep").join(
         attn.groupBy(G, "token_idx").agg(F.sum("a").alias("recovery_score")), [G, "token_idx"])
-    rec = S.rank_desc(att_sum, [G, "level_id"], "recovery_score", "rank")
+    rec = S.rank_desc(att_sum, [G, "level_id"], "recovery_score", "rank", largest)
     per_cfg = F.broadcast(_cfg_df(t, cfg))
     sel = top.join(per_cfg, "level_id").select(
         "config_id", G, "token_idx", F.lit("important").alias("stage"), F.col("score_rank").alias("rank"),

@@ -68,8 +68,9 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     t = tokens.join(hy, [G, "token_idx"])
     rows = P._config_rows(configs)
     lv, cfg = P._levels(rows)
-    lt = P._level_tokens(t, lv, score="hybrid_score")
-    full = P._full_rows(lt, lv)
+    largest = K.largest_group(tokens, [G])
+    lt = P._level_tokens(t, lv, score="hybrid_score", largest=largest)
+    full = P._full_rows(lt, lv, largest)
     part = lt.where(F.col("keep") < F.col("n"))
     imp = P._important(part)
     rem = part.where(F.col("score_rank") >= F.col("imp")).withColumn("vec", l2_normalise("vec")) \
@@ -78,5 +79,5 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
                         cols=("vec", "hybrid_score")).select(
         G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
     selected = K.materialise(imp.unionByName(div))
-    rec = P._recovery(lt, selected, text_tokens)
-    return P._finish(selected, rec, cfg, full)
+    rec = P._recovery(lt, selected, text_tokens, largest)
+    return P._finish(selected, rec, cfg, full, largest)
