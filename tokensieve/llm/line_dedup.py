@@ -58,14 +58,15 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     row = [F.col("doc_id").alias(P + "doc"), F.col(P + "h").alias(P + "own")]
     same = F.col("doc_id").eqNullSafe(F.col(P + "doc")) & (F.col(P + "h") == F.col(P + "own"))
 
+    # explode_outer: a filter inferred from explode would compute the chunks a second time, inlined
     slim = source.select("doc_id", P + "h", "text")
-    exploded = with_chunks(slim, mean_lines).select(*row, F.explode(P + "chunks").alias("c")).where("c.n > 1")
+    exploded = with_chunks(slim, mean_lines).select(*row, F.explode_outer(P + "chunks").alias("c")).where("c.n > 1")
     marks = written(exploded.select(P + "doc", P + "own", "c.k", F.xxhash64("c.t").alias("key")), "marks")
     often = written(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key")), "often")
     suspect = marks.join(often, F.col("key") == F.col("_key")).groupBy(P + "doc", P + "own").agg(F.collect_set("k").alias("ks"))
 
     texts = slim.join(suspect, same).drop(P + "doc", P + "own")
-    texts = with_chunks(texts, mean_lines).select(*row, F.explode(F.filter(P + "chunks", lambda c: F.array_contains("ks", c.k))).alias("c"))
+    texts = with_chunks(texts, mean_lines).select(*row, F.explode_outer(F.filter(P + "chunks", lambda c: F.array_contains("ks", c.k))).alias("c"))
     texts = written(texts.select(P + "doc", P + "own", "c.k", F.xxhash64("c.t").alias("key"), "c.t"), "texts")
     place = F.struct(P + "doc", P + "own", "k")
     first = texts.groupBy("key", "t").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
