@@ -2,18 +2,68 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat_format, line_dedup
 from .common import table
+from .decontaminate import leaks
+from .embed_dedup import near_vectors
+from .html_extract import extract
+from .langid import identify
 from .packing import pack_documents
+from .simhash_dedup import near_duplicates
 from .simple8b import token_files
+from .suffix_dedup import remove_repeats
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_control(table(spark, sf_dir, "conversations")))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_chunks")
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).select(
+        "doc_id", "n_bytes", spans.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, max_distance=4)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), end_id=2)
+
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
 
-def op4_best_fit_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"))
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-def op8_token_files(spark, sf_dir):
-    return token_files(table(spark, sf_dir, "documents"))
 
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_line_dedup,
+    op6_suffix_array_dedup, op7_simhash_near_dedup, op8_token_files, op9_language_id, op10_decontamination)}
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op8_token_files)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_chat_formatting": chat_format.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+}
