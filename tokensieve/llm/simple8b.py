@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,16 @@ from .tokens import default_vocab, encoder, shared_vocab
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 #: Ids that close a block.
 BLOCK_IDS = 1 << 16
-#: Bytes of coded ids that one writing task should get, and the most tasks.
-TASK_BYTES = 16 << 20
+#: Bytes of ids that are coded together.
+CODED_BYTES = 1 << 18
+#: Bytes of text whose ids one writing task should get, and the most tasks.
+TASK_BYTES = 32 << 20
 MAX_PARTS = 20_000
 
 
-def encode_ids(ids: np.ndarray) -> np.ndarray:
-    """Simple-8b words (uint64) of one document's ids.
+def encode_ids(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Simple-8b words (uint64) of documents' ids, one after the other, and
+    how many words each document takes.
 
     Each word takes as many ids as any selector allows. The choice at every
     position is found for all positions at once; following the choices from
@@ -50,51 +54,55 @@ def encode_ids(ids: np.ndarray) -> np.ndarray:
     ids = ids.astype(np.uint64)
     n = len(ids)
     if not n:
-        return np.empty(0, np.uint64)
-    best = np.zeros(n, np.int64)
-    which = np.zeros(n, np.int64)
-    at = np.arange(n)
-    widths = BITS[:14]
-    top = int(ids.max()).bit_length()
-    low = int(ids.min()).bit_length()
-    for k in range(len(widths) - 1, -1, -1):
-        bits = widths[k]
-        if bits < low:
-            break
-        count = 60 // bits
-        if bits >= top:
-            run = n - at
+        return np.empty(0, np.uint64), np.zeros(len(lengths), np.int64)
+    at = np.arange(n, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    room = np.repeat(ends.astype(np.int32), lengths) - at
+    best = np.ones(n, np.int32)
+    which = np.zeros(n, np.int8)
+    top, low = int(ids.max()).bit_length(), int(ids.min()).bit_length()
+    small = ids.astype(np.uint32) if top <= 32 else ids
+    widths = [k for k in range(len(BITS) - 1) if BITS[k] >= low]
+    enough = [k for k in widths if BITS[k] >= top]
+    for k in reversed([k for k in widths if BITS[k] < top] + enough[:1]):
+        count = 60 // BITS[k]
+        if BITS[k] >= top:
+            run = room
         else:
-            wide = np.where(ids >> np.uint64(bits) != 0, at, n)
-            run = np.minimum.accumulate(wide[::-1])[::-1] - at
+            wide = np.flatnonzero(small >= 1 << BITS[k])
+            # the next id that is too wide, for every place
+            gaps = np.diff(wide, prepend=-1)
+            run = np.full(n, n, np.int32)
+            run[:gaps.sum()] = np.repeat(wide.astype(np.int32), gaps)
+            run -= at
+            np.minimum(run, room, out=run)
         # a full word, or the last ids of the document, which leave room unused
-        fits = (run >= count) | ((run == n - at) & (run > 0))
-        best[fits] = np.minimum(count, n - at[fits])
+        fits = np.flatnonzero((run >= count) | ((run == room) & (run > 0)))
+        best[fits] = np.minimum(count, room[fits])
         which[fits] = k + 1
-    step = np.where(which == 0, 1, best).tolist()
+    step = best.tolist()
     heads, p = [], 0
     while p < n:
         heads.append(p)
         p += step[p]
     heads = np.array(heads)
-    kind = which[heads]
+    kind, held = which[heads], best[heads]
     size = np.where(kind == 0, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     for k in np.unique(kind):
-        own = heads[kind == k]
-        to = place[kind == k]
+        chosen = np.flatnonzero(kind == k)
+        own, to = heads[chosen], place[chosen]
         if k == 0:
             words[to + 1] = ids[own]
             continue
-        bits, count = BITS[k - 1], 60 // BITS[k - 1]
         out = np.full(len(own), int(k) << 60, np.uint64)
-        for j in range(min(count, n)):
-            src = own + j
-            ok = src < np.minimum(n, own + count)
-            out[ok] |= ids[src[ok]] << np.uint64(j * bits)
+        for j in range(int(held[chosen].max())):
+            ok = held[chosen] > j
+            out[ok] |= ids[own[ok] + j] << np.uint64(j * BITS[k - 1])
         words[to] = out
-    return words
+    first = np.searchsorted(heads, np.concatenate(([0], ends)))
+    return words, np.diff(np.append(place, len(words))[first])
 
 
 def decode_words(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,28 +154,47 @@ def coded_documents(docs: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
+
+        def coded(rows: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            lengths = np.array([len(t) // 4 for t in texts], np.int64)
+            words, sizes = encode_ids(np.frombuffer(b"".join(texts), "<u4"), lengths)
+            data, ends = words.astype("<u8").tobytes(), 8 * np.cumsum(sizes)
+            blobs = [data[b - a:b] for a, b in zip((8 * sizes).tolist(), ends.tolist())]
+            return pa.record_batch([rows, pa.array(lengths), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "words"])
+
         for batch in batches:
-            n, blobs = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(enc.encode(text.as_py()) + end, "<u4")
-                n.append(len(ids))
-                blobs.append(encode_ids(ids).astype("<u8").tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())],
-                                  ["doc_id", "n_tokens", "words"])
+            first, texts, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                texts.append(enc.encode(text.as_py()) + end)
+                size += len(texts[-1])
+                if size >= CODED_BYTES:
+                    yield coded(batch.column(0).slice(first, len(texts)), texts)
+                    first, texts, size = i + 1, [], 0
+            if texts:
+                yield coded(batch.column(0).slice(first, len(texts)), texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(code, f"doc_id {kind}, n_tokens long, words binary")
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocab_path: str | None = None) -> None:
-    """Writes the file format to ``path`` in ascending ``doc_id``."""
+    """Writes the file format to ``path`` in ascending (integer) ``doc_id``.
+
+    The bounds between parts are quantiles of ``doc_id``, taken from that
+    column alone, so that texts are tokenised once.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(spread(size, TASK_BYTES), MAX_PARTS)
+    bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds = np.unique(np.array(bounds, np.int64))
     coded = coded_documents(docs, vocab_path or default_vocab(), end_id)
-    raw = f"{shared_folder(docs.sparkSession)}/tokensieve/coded-{uuid.uuid4().hex}"
-    coded.write.option("compression", "none").parquet(raw)
-    coded = docs.sparkSession.read.schema(coded.schema).parquet(raw)
-    size = coded.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     kind = coded.schema["doc_id"].dataType
 
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        return pd.Series(np.where(known, np.searchsorted(bounds, ids.where(known, 0).to_numpy(np.int64), side="right"), 0))
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, part, block = [], 0, TaskContext.get().partitionId(), 0
 
@@ -193,8 +220,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocab_path: s
         if held:
             yield closed()
 
-    parts = min(spread(size, TASK_BYTES, 2), MAX_PARTS)
-    ordered = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = coded.withColumn("_part", part_of("doc_id")).repartitionById(len(bounds) + 1, "_part").drop("_part").sortWithinPartitions("doc_id")
     ordered.mapInArrow(blocks, f"part int, block long, doc_ids array<{kind.simpleString()}>, starts array<long>, lengths array<long>, words binary") \
         .write.option("compression", "none").parquet(path)
 

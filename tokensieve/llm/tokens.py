@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from struct import pack
 
 from pyspark.sql import SparkSession
 
@@ -51,25 +52,29 @@ class PartEncoder(dict):
                        and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
                        == ["NFC", "Replace", "Lowercase"])
         self.letters = _byte_letters()
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _run(self, run: str) -> bytes:
         if not run.isascii():
             run = run.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(run))
+        ids = [t.id for t in self.model.tokenize(run)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _ask(self, part: str) -> bytes:
         if self.simple:
             low = part.lower()
             word = low.rstrip("!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
             if word.isalpha() and (low.isascii() or "Σ" not in part and unicodedata.is_normalized("NFC", part)):
-                ids = self.get(word)
-                if ids is None:
-                    ids = self._run(word)
-                    if word != part:
-                        self._keep(word, ids)
-                return ids + (self._run(low[len(word):]) if len(word) < len(low) else b"")
+                tail = low[len(word):]
+                end = self.tails.get(tail)
+                if end is None:
+                    end = self._run(tail)
+                    if len(tail) <= 3 and len(self.tails) < KEPT_PARTS:
+                        self.tails[tail] = end
+                ids = self.get(word) if word != part else None
+                return (self._run(word) if ids is None else ids) + end
         ids = self.whole.encode(part, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return pack(f"<{len(ids)}I", *ids)
 
     def _keep(self, part: str, ids: bytes) -> None:
         if len(part) <= KEPT_PART_CHARS:
@@ -84,6 +89,10 @@ class PartEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        # lower case first makes fewer kinds of parts, where it changes no id:
+        # special tokens are matched in the raw text, and sigma depends on its place
+        if self.simple and "<|" not in text and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
