@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import TOKENS_PER_IMAGE
+from .numbering import number_rows
 
 # A configuration grid is a parameter table; above this size it is not a
 # grid any more and must be joined, not inlined into the plan.
@@ -221,21 +222,6 @@ def extraction_counts(manifest: DataFrame) -> DataFrame:
 
 # W17
 def global_row_number(df: DataFrame, order_col, name: str = "row_number") -> DataFrame:
-    """1-based row number over a unique sort key without a one-task window.
-
-    The data is range-partitioned on the key; each partition numbers its
-    rows locally, and a per-partition offset (one row per partition, so
-    bounded by the partition count and safe to broadcast) is added.
-    """
+    """1-based row number over a unique sort key (see ``number_rows``)."""
     keys = [order_col] if isinstance(order_col, str) else list(order_col)
-    ranged = df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-    )
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.select(*df.columns, (F.col("_off") + F.col("_ln")).cast("bigint").alias(name))
+    return number_rows(df, keys, name)

@@ -10,8 +10,9 @@ results come from plans that spread a hot group over many tasks:
   sort key, so one group's rows land in many partitions;
 * group statistics stay unordered windows (see ``group_stats``).
 
-The caller passes ``largest`` (a size bound known on the driver), so the
-choice is made at plan time without extra jobs.
+Both give the same ranks (tested). The caller passes ``largest`` (a size bound
+known on the driver), so the choice is made at plan time; numbering writes its
+range-partitioned input to the shared folder once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import global_row_number
+from .numbering import number_rows
 
 MAX_GROUP = 20_000
 
@@ -41,24 +42,11 @@ def group_rank(df: DataFrame, keys, order: list, out: str, largest: int | None =
         w = Window.partitionBy(*ks).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
     sort_cols = [F.col(k).asc() for k in ks] + list(order)
-    numbered = _global_number(df, sort_cols)
+    numbered = number_rows(df, sort_cols, "_g")
     first = numbered.groupBy(*ks).agg(F.min("_g").alias("_g0"))
     return numbered.join(first, ks).withColumn(out, (F.col("_g") - F.col("_g0")).cast("int")).drop("_g", "_g0")
 
 
-def _global_number(df: DataFrame, sort_cols: list) -> DataFrame:
-    """1-based global row number over arbitrary sort Columns (see
-    ``global_row_number``): range partitioning + per-partition offsets."""
-    ranged = df.repartitionByRange(*sort_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*sort_cols)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)).alias("_off"))
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn("_g", F.col("_off") + F.col("_ln")).drop("_pid", "_ln", "_off")
-
-
 def group_stats(df: DataFrame, keys, largest: int | None = None, max_group: int | None = None,
                 **aggs: Column) -> DataFrame:
     """Attach per-group aggregates ``name=expr`` to every row.
@@ -79,5 +67,3 @@ def group_softmax(df: DataFrame, keys, col: str, out: str, largest: int | None =
     s = group_stats(e, keys, largest, max_group, _se=F.sum("_e"))
     return s.withColumn(out, F.col("_e") / F.col("_se")).drop("_mx", "_e", "_se")
 
-
-_ = global_row_number

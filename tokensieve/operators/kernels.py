@@ -64,39 +64,35 @@ def maxmin_diverse(x: np.ndarray, k: int, start: int = 0) -> list[int]:
 
 
 def text_guided(x: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
-    """V4: pick the best current score; every still-available row loses
-    ``0.8 * sim(row, pick)``; repeat."""
-    n = x.shape[0]
-    score = weights.astype(np.float64).copy()
-    avail = np.ones(n, dtype=bool)
-    out = []
-    for _ in range(min(k, n)):
-        cur = np.where(avail, score, -np.inf)
-        j = int(np.argmax(cur))
-        out.append(j)
-        avail[j] = False
-        if not avail.any():
-            break
-        score = score - DIVERSITY_PENALTY * (x @ x[j]) * avail
+    """V4: the best score is taken out by setting it to minus infinity, which
+    no later penalty (``0.8 * sim(row, pick)``) can bring back."""
+    score = np.array(weights, np.float64)
+    picks = np.empty(max(0, min(k, len(x))), np.int64)
+    for r in range(len(picks)):
+        picks[r] = j = score.argmax()
+        score[j] = -np.inf
+        score -= DIVERSITY_PENALTY * (x @ x[j])
+    return picks.tolist()
+
+
+def _closeness(a: np.ndarray, b: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Largest similarity of each row of ``a`` to any row of ``b``, in blocks."""
+    out = np.full(len(a), -np.inf)
+    for s in range(0, len(b), rows):
+        np.maximum(out, (a @ b[s:s + rows].T).max(axis=1, initial=-np.inf), out=out)
     return out
 
 
 def dedup_even_odd(x: np.ndarray, target: int, batch: int = 2) -> list[int]:
-    """V5: while above target, drop the ``min(batch, excess)`` even-position
-    rows most similar to any odd-position row; survivors are reordered
-    (kept evens by descending similarity, then odds)."""
-    rem = np.arange(x.shape[0])
-    while len(rem) > target:
-        r = min(batch, len(rem) - target)
-        ev, od = rem[::2], rem[1::2]
-        if len(od) == 0:
-            keep_ev = ev[r:]
-        else:
-            best = (x[ev] @ x[od].T).max(axis=1)
-            order = np.argsort(-best, kind="stable")
-            keep_ev = ev[order[r:]]
-        rem = np.concatenate([keep_ev, od])
-    return [int(i) for i in rem]
+    """V5: each round shortens the line by ``batch`` rows at most, from its
+    even places: those come first by falling closeness to the odd places (ties
+    in line order) without the closest, then the odd places as they stand."""
+    line = np.arange(len(x))
+    for size in range(len(x), max(target, 0), -batch):
+        even, odd = line[0::2], line[1::2]
+        falling = np.lexsort((np.arange(len(even)), -_closeness(x[even], x[odd])))
+        line = np.r_[even[falling[min(batch, size - target):]], odd]
+    return line.tolist()
 
 
 def dpp_map(x: np.ndarray, rel: np.ndarray, k: int) -> list[int]:
@@ -120,48 +116,56 @@ def dpp_map(x: np.ndarray, rel: np.ndarray, k: int) -> list[int]:
     return out
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Index of each row's nearest centre, from |c|^2 - 2 x.c in row blocks."""
+    half = 0.5 * np.einsum("ij,ij->i", centres, centres)
+    return np.concatenate([(half - x[s:s + rows] @ centres.T).argmin(axis=1) for s in range(0, len(x), rows)] or [np.empty(0, np.int64)])
+
+
 def kmeans_lloyd(x: np.ndarray, k: int, init: np.ndarray, max_iters: int = 10, atol: float = 1e-4):
-    """Lloyd iterations from the given initial rows; an empty cluster
-    keeps its centre; stop when centres move less than ``atol`` (then the
-    centres before that last update are returned, as in the reference)."""
-    cent = x[init].astype(np.float64).copy()
-    assign = np.zeros(x.shape[0], dtype=np.int64)
-    for _ in range(max_iters):
-        d = ((x[:, None, :] - cent[None, :, :]) ** 2).sum(-1)
-        assign = d.argmin(axis=1)
-        new = cent.copy()
-        for i in range(k):
-            m = assign == i
-            if m.any():
-                new[i] = x[m].mean(axis=0)
-        if np.allclose(cent, new, atol=atol, rtol=1e-5):
+    """Lloyd's rule from the rows ``init``. Centre sums and sizes are
+    scatter-added, so a round costs two passes and no k-fold loop. A centre
+    without rows stays; a round that moves no centre by ``atol`` ends it and
+    is not taken."""
+    centres = np.array(x[init[:k]], np.float64)
+    own = nearest_centre(x, centres)
+    for r in range(max_iters):
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        moved = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+        if np.allclose(centres, moved, atol=atol, rtol=1e-5):
             break
-        cent = new
-    return cent, assign
+        centres = moved
+        if r + 1 < max_iters:
+            own = nearest_centre(x, centres)
+    return centres, own
+
+
+def farthest_first(points: np.ndarray, k: int, start: int) -> np.ndarray:
+    """``k`` points, each the farthest (first on ties) from those before it;
+    the running distance of every point to the chosen set is all the state."""
+    gap = np.full(len(points), np.inf)
+    chosen = [start]
+    while len(chosen) < min(k, len(points)):
+        np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1), out=gap)
+        gap[chosen] = -1.0
+        chosen.append(int(gap.argmax()))
+    return np.array(chosen)
 
 
 def cluster_representatives(x: np.ndarray, k: int, init: np.ndarray) -> list[int]:
-    """V9: k-means with ``min(2k, n)`` clusters; farthest-first over centres
-    from the centre nearest the mean; the row nearest each chosen centre."""
-    n = x.shape[0]
-    nc = min(2 * k, n)
-    cent, assign = kmeans_lloyd(x, nc, init[:nc])
-    dist = np.sqrt(((cent[:, None, :] - cent[None, :, :]) ** 2).sum(-1))
-    first = int(np.argmin(np.sqrt(((cent - x.mean(axis=0)) ** 2).sum(-1))))
-    chosen = [first]
-    remaining = [i for i in range(nc) if i != first]
-    while len(chosen) < k and remaining:
-        mins = [min(dist[c][s] for s in chosen) for c in remaining]
-        nxt = remaining[int(np.argmax(mins))]
-        chosen.append(nxt)
-        remaining.remove(nxt)
-    out = []
-    for c in chosen:
-        members = np.where(assign == c)[0]
-        if len(members):
-            dd = np.sqrt(((x[members] - cent[c]) ** 2).sum(-1))
-            out.append(int(members[int(np.argmin(dd))]))
-    return out[:k]
+    """V9: ``min(2k, n)`` clusters, their centres taken farthest-first from the
+    one nearest the mean; each centre is stood for by its own nearest row."""
+    if k <= 0 or not len(x):
+        return []
+    centres, own = kmeans_lloyd(x, min(2 * k, len(x)), init)
+    order = farthest_first(centres, k, int(((centres - x.mean(axis=0)) ** 2).sum(axis=1).argmin()))
+    spread = ((x - centres[own]) ** 2).sum(axis=1)
+    rows = np.lexsort((np.arange(len(x)), spread, own))  # by cluster, nearest first
+    held, first = np.unique(own[rows], return_index=True)
+    nearest = dict(zip(held.tolist(), rows[first].tolist()))
+    return [nearest[c] for c in order.tolist() if c in nearest]
 
 
 # ----------------------------------------------------------------------------

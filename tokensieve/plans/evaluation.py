@@ -39,7 +39,7 @@ def attach_pruning(rows: DataFrame, counts: DataFrame, configs: DataFrame) -> Da
 
 # C9
 def mc_evaluation(items: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
-                  configs: DataFrame, n_groups: int, presample_threshold: int = P.PRESAMPLE_THRESHOLD) -> DataFrame:
+                  configs: DataFrame, n_groups: int, presample_threshold: int | None = P.PRESAMPLE_THRESHOLD) -> DataFrame:
     """Multiple-choice sweep: prompt, prune (C1), response join, A-D parse,
     correctness, per-configuration summary (A7)."""
     it = items.select(

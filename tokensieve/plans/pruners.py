@@ -28,7 +28,7 @@ from ..operators.scores import mean_vector, query_relevance, softmax
 
 G = "group_id"
 # The reference's pre-sampling threshold and sample factors.
-PRESAMPLE_THRESHOLD = 500
+PRESAMPLE_THRESHOLD = None  # no sampling unless the caller asks for it
 UNIFORM_FACTOR = 4
 WEIGHTED_FACTOR = 3
 TEXT_WEIGHT_BASE = 0.7
@@ -126,9 +126,10 @@ def _important(part: DataFrame) -> DataFrame:
         G, "level_id", "token_idx", F.lit("important").alias("stage"), F.col("score_rank").alias("rank"))
 
 
-def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, start: str,
+def _diverse_maxmin(rem: DataFrame, threshold: int | None, seed: int, sample: str, start: str,
                     max_group: int, largest: int | None = None) -> DataFrame:
-    """V8 rule: above ``threshold`` remaining tokens, sample first (uniform
+    """Max-min over all remaining tokens. Only with a ``threshold`` the V8 rule
+    holds: above that many remaining tokens, sample first (uniform
     4x / weighted 3x) and run max-min among the sample (in sample order);
     otherwise max-min over all remaining tokens (index order).  (``remaining
     <= diverse`` only happens when keep >= n, handled as keep-all.)  A
@@ -137,7 +138,7 @@ def _diverse_maxmin(rem: DataFrame, threshold: int, seed: int, sample: str, star
     rem = rem.withColumn("_rn", F.col("n") - F.col("imp"))
     cand = rem.where(F.col("_rn") > F.col("div")).withColumn("vec", l2_normalise("vec"))
     parts = []
-    if largest is None or largest > threshold:
+    if threshold is not None and (largest is None or largest > threshold):
         big = cand.where(F.col("_rn") > threshold)
         factor = UNIFORM_FACTOR if sample == "uniform" else WEIGHTED_FACTOR
         big = big.withColumn("_m", F.least(F.col("div") * factor, F.col("_rn")))
@@ -193,7 +194,7 @@ def _recover_ranked(pruned: DataFrame, text_tokens: DataFrame, largest: int | No
 
 # C1
 def prune_attention_diverse(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
-                            presample_threshold: int = PRESAMPLE_THRESHOLD, seed: int = 42,
+                            presample_threshold: int | None = PRESAMPLE_THRESHOLD, seed: int = 42,
                             max_group: int = K.MAX_GROUP) -> DataFrame:
     """Important top-k by CLS score, max-min diverse fill (V8 rule),
     text-attention recovery (W13) appended after the sorted selection."""
@@ -213,7 +214,7 @@ def prune_attention_diverse(tokens: DataFrame, text_tokens: DataFrame, configs:
 
 # C2
 def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
-                                 presample_threshold: int = PRESAMPLE_THRESHOLD, seed: int = 42,
+                                 presample_threshold: int | None = PRESAMPLE_THRESHOLD, seed: int = 42,
                                  text_scores: DataFrame | None = None, seeded_start: bool = False) -> DataFrame:
     """As C1, but with a text weight > 0 the diverse fill is text-guided:
     weights ``0.7 + 0.3 * text_score`` (text score 1.0 unless given, as in
@@ -239,7 +240,7 @@ def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, conf
         else:
             ts = F.lit(1.0)
         g = g.withColumn("weight", F.lit(TEXT_WEIGHT_BASE) + F.lit(TEXT_WEIGHT_SLOPE) * ts)
-        if largest > presample_threshold:
+        if presample_threshold is not None and largest > presample_threshold:
             g_big = g.where((F.col("_rn") > F.col("div")) & (F.col("_rn") > presample_threshold))
             parts.append(_diverse_maxmin(g_big.drop("_rn", "weight"), presample_threshold, seed, "weighted",
                                          "seeded" if seeded_start else "first", K.MAX_GROUP, largest))

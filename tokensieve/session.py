@@ -8,9 +8,13 @@ examples.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tokensieve") -> SparkSession:
@@ -35,11 +39,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tok
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
+    """The checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (tests, local runs) a fresh
-    scratch folder is created.
+    Only a local session, whose executors share the driver's disk, may go
+    without; it gets a scratch folder. Elsewhere a missing setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -47,7 +50,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tokensieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table written once to the shared folder: later plans read
+    the same rows whatever the optimiser does, also after lost executors."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster, once per context."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tokensieve-package-")  # on the driver, which serves the file
+    archive = shutil.make_archive(os.path.join(folder, "tokensieve"), "zip", os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

@@ -51,14 +51,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_tokens(group_id bigint, t_idx bigint, vec array<double>).
 
-    The first three vectors of label ``g`` serve as the question vectors
-    of group ``(g + 9) % 10``.
+    The first three vectors of label ``g`` serve as the question vectors of
+    the group before it, and those of the first label for the last group
+    (labels count from 0).
     """
     emb = raw(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
     ranked = emb.select("label", "vec_id", "embedding", F.row_number().over(w).alias("rn"))
-    return ranked.where(F.col("rn") <= NUM_TEXT_TOKENS).select(
-        ((F.col("label") + 9) % 10).cast("bigint").alias("group_id"),
+    labels = emb.agg((F.max("label") + 1).alias("_labels"))  # one row
+    return ranked.where(F.col("rn") <= NUM_TEXT_TOKENS).crossJoin(F.broadcast(labels)).select(
+        ((F.col("label") + F.col("_labels") - 1) % F.col("_labels")).cast("bigint").alias("group_id"),
         (F.col("rn") - 1).cast("bigint").alias("t_idx"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
@@ -169,8 +171,8 @@ def configs(spark: SparkSession, keep_ratios=KEEP_RATIOS, recovery_ratios=RECOVE
 DUCKDB_VIEWS = {
     "tokens": """SELECT label::BIGINT AS group_id, vec_id::BIGINT AS token_idx,
         embedding::DOUBLE[] AS vec, abs(embedding[1]::DOUBLE) AS cls_score FROM embeddings""",
-    "text_tokens": """SELECT ((label + 9) % 10)::BIGINT AS group_id, (rn - 1)::BIGINT AS t_idx, vec
-        FROM (SELECT label, embedding::DOUBLE[] AS vec,
+    "text_tokens": """SELECT ((label + labels - 1) % labels)::BIGINT AS group_id, (rn - 1)::BIGINT AS t_idx, vec
+        FROM (SELECT label, embedding::DOUBLE[] AS vec, (SELECT max(label) + 1 FROM embeddings) AS labels,
                      row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
         WHERE rn <= 3""",
     "questions": """SELECT conv_id * 100 + turn AS question_id, conv_id AS image_id, turn,
