@@ -118,7 +118,7 @@ def decode_words(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     before = np.cumsum(capacity) - capacity
     ends = np.append(starts[1:], len(words))
     doc_of = np.repeat(np.arange(len(starts)), ends - starts)
-    inside = before - before[starts][doc_of]
+    inside = before - np.append(before, 0)[starts][doc_of]
     held = np.minimum(capacity, lengths[doc_of] - inside)
     first = np.cumsum(lengths) - lengths
     out = np.zeros(int(lengths.sum()), np.uint64)
