@@ -14,8 +14,10 @@ windows:
 
 A pass is a count per digit, combined before the shuffle, and a join with the
 repeated digits; digits are 64-bit hashes, and a window must agree in all three.
-Groups of up to ``together`` contexts are compared inside tasks, larger
-ones by a count and a join of their single windows.
+Groups of up to ``together`` contexts are compared inside tasks. Larger ones
+take the third digit in two steps, each a count and a join: blocks of windows
+at equal distances from the anchor, then the single windows of one block of
+each kind.
 
 Defined results: a null text is an empty one; texts under ``length`` bytes
 have no window; rows that agree in ``doc_id`` and ``text`` repeat each other
@@ -36,6 +38,8 @@ from .common import text_or_empty, written
 
 #: Windows of a long text that are handled at once.
 SEGMENT = 4_000_000
+#: Windows of a block, in groups too large for one task.
+BLOCK = 16
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -64,7 +68,8 @@ class Rolling:
 
 
 def runs(data: np.ndarray, rolling: Rolling, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first window, windows, anchor hash, context hash) of the runs of a text."""
+    """(first window, windows, place of the anchor after it, anchor hash,
+    context hash) of the runs of a text."""
     w = length - gram + 1
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = data[at:at + SEGMENT + length - 1]
@@ -82,7 +87,8 @@ def runs(data: np.ndarray, rolling: Rolling, length: int, gram: int) -> Iterator
         count = np.diff(np.append(first, n))
         context = (prefix[first + count - 1 + length] - prefix[first]) * rolling.down[first]
         context ^= context >> np.uint64(31)
-        yield first + at, count, h[anchor[first].astype(np.int64)], context * np.uint64(_ODD) + count.astype(np.uint64)
+        place = anchor[first].astype(np.int64)
+        yield first + at, count, place - first, h[place], context * np.uint64(_ODD) + count.astype(np.uint64)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,7 +110,6 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
     """(doc, own, start, end): byte spans covered by repeated windows, one row
     for each run or window, overlapping. ``docs`` has (doc, own, data)."""
     kind = docs.schema["doc"].dataType.simpleString()
-    same_text = ["doc", "own"]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -117,20 +122,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
             if found:
                 rows = pa.array(np.concatenate(at))
                 yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *_longs(*map(np.concatenate, zip(*found)))],
-                                      ["doc", "own", "at", "n", "h", "c"])
+                                      ["doc", "own", "at", "n", "o", "h", "c"])
 
     def only_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in anchors(batches):
-            h, n = np.unique(batch.column(4).to_numpy(), return_counts=True)
+            h, n = np.unique(batch.column(5).to_numpy(), return_counts=True)
             yield pa.record_batch([pa.array(h), pa.array(n)], ["h", "n"])
 
     # first digit
     counted = docs.mapInArrow(only_hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = written(counted.where("n > 1").select(F.col("h").alias("_h")), "often")
-    found = docs.mapInArrow(anchors, f"doc {kind}, own long, at long, n long, h long, c long")
+    found = docs.mapInArrow(anchors, f"doc {kind}, own long, at long, n long, o long, h long, c long")
     found = written(found.join(often, F.col("h") == F.col("_h")).drop("_h"), "anchors")
     # second digit
-    classes = written(found.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "own", "at", "n")).alias("r")), "contexts")
+    classes = written(found.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "own", "at", "n", "o")).alias("r")), "contexts")
     copied = written(classes.where("copies > 1").select(F.col("h").alias("_h"), F.col("c").alias("_c")), "copied")
     whole = found.join(copied, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).select(
         "doc", "own", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end"))
@@ -138,7 +143,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
     groups = written(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select(F.col("h").alias("_h"), "m"), "groups")
     wanted = classes.join(groups, F.col("h") == F.col("_h")).select("r.*", "h", "copies", "m")
     wanted = wanted.groupBy(F.col("doc").alias("_doc"), F.col("own").alias("_own")).agg(
-        F.collect_list(F.struct("at", "n", "h", "copies", "m")).alias("wanted"))
+        F.collect_list(F.struct("at", "n", "o", "h", "copies", "m")).alias("wanted"))
     in_text = docs.join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("own") == F.col("_own")))
     in_text = in_text.select("doc", "own", F.explode("wanted").alias("w"), F.expr(f"substring(data, cast(w.at as int) + 1, cast(w.n as int) + {length} - 1)").alias("bytes"))
     contexts = written(in_text.select("doc", "own", "w.*", "bytes"), "bytes")
@@ -181,24 +186,54 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
         if held is not None and held.num_rows:
             yield settled(held)
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of up to BLOCK windows at equal distances from the anchor."""
         rolling = Rolling()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
+                data = part.column("bytes").to_pylist()
+                row, number, _ = window_hashes(part, rolling)
+                ahead = part.column("o").to_numpy()[row] - number
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(ahead // BLOCK) != 0))))
+                size = np.diff(np.append(first, len(row)))
+                sizes = np.fromiter(map(len, data), np.int64, len(data))
+                begin = (np.cumsum(sizes) - sizes)[row[first]] + number[first]
+                prefix = rolling.prefix(np.frombuffer(b"".join(data), np.uint8))
+                key = rolling.of(prefix, begin, size - 1 + length) ^ (ahead[first].astype(np.uint64) * np.uint64(_ODD))
+                rows = pa.array(row[first])
+                blobs = [data[i][k:k + m - 1 + length] for i, k, m in zip(row[first].tolist(), number[first].tolist(), size.tolist())]
+                yield pa.record_batch([part.column("doc").take(rows), part.column("own").take(rows), part.column("copies").take(rows),
+                                       *_longs(part.column("at").to_numpy()[row[first]] + number[first], size, key), pa.array(blobs, pa.binary())],
+                                      ["doc", "own", "copies", "start", "size", "v", "bytes"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 row, number, h = window_hashes(part, rolling)
                 rows = pa.array(row)
-                yield pa.record_batch([part.column("doc").take(rows), part.column("own").take(rows), part.column("copies").take(rows),
-                                       *_longs(part.column("at").to_numpy()[row] + number, h)], ["doc", "own", "copies", "start", "v"])
+                yield pa.record_batch([part.column("doc").take(rows), part.column("own").take(rows), part.column("alone").take(rows),
+                                       *_longs(part.column("start").to_numpy()[row] + number, h)], ["doc", "own", "alone", "start", "v"])
 
     spans = f"doc {kind}, own long, start long, end long"
     few = contexts.where(F.col("m") <= together)
     few = few.repartition("h").sortWithinPartitions("h").select("doc", "own", "at", "h", "copies", "bytes").mapInArrow(compare, spans)
-    many = contexts.where(F.col("m") > together).select("doc", "own", "at", "copies", "bytes").mapInArrow(
-        single, f"doc {kind}, own long, copies long, start long, v long")
-    many = written(many, "windows")
-    twice = written(many.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("_v")), "twice")
-    many = many.where("copies = 1").join(twice, F.col("v") == F.col("_v")).select(*same_text, "start", (F.col("start") + length).alias("end"))
+    # larger groups: blocks of windows first, whole; then the windows of one block of each kind
+    many = contexts.where(F.col("m") > together).select("doc", "own", "at", "o", "copies", "bytes").mapInArrow(
+        covers, f"doc {kind}, own long, copies long, start long, size long, v long, bytes binary")
+    many = written(many, "covers")
+    kinds = written(many.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("doc", "own", "copies", "start", "bytes")).alias("r")), "covers")
+    twice = written(kinds.where("n > 1").select(F.col("v").alias("_v")), "twice")
+    blocks = many.where("copies = 1").join(twice, F.col("v") == F.col("_v")).select(
+        "doc", "own", "start", (F.col("start") + F.col("size") - 1 + length).alias("end"))
+    windows = kinds.select("r.doc", "r.own", ((F.col("n") == 1) & (F.col("r.copies") == 1)).alias("alone"), "r.start", "r.bytes").mapInArrow(
+        single, f"doc {kind}, own long, alone boolean, start long, v long")
+    windows = written(windows, "windows")
+    twice = written(windows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("_v")), "twice")
+    many = windows.where("alone").join(twice, F.col("v") == F.col("_v")).select("doc", "own", "start", (F.col("start") + length).alias("end"))
+    many = many.unionByName(blocks)
     return whole.unionByName(few).unionByName(many)
 
 
