@@ -15,9 +15,9 @@ windows:
 A pass is a count per digit, combined before the shuffle, and a join with the
 repeated digits; digits are 64-bit hashes, and a window must agree in all three.
 Groups of up to ``together`` contexts are compared inside tasks. Larger ones
-take the third digit in two steps, each a count and a join: blocks of windows
-at equal distances from the anchor, then the single windows of one block of
-each kind.
+take the third digit in steps, each a count and a join: blocks of windows
+at equal distances from the anchor, the bytes that all windows of a block have
+in common, then the single windows of one block of each kind.
 
 Defined results: a null text is an empty one; texts under ``length`` bytes
 have no window; rows that agree in ``doc_id`` and ``text`` repeat each other
@@ -201,11 +201,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
                 begin = (np.cumsum(sizes) - sizes)[row[first]] + number[first]
                 prefix = rolling.prefix(np.frombuffer(b"".join(data), np.uint8))
                 key = rolling.of(prefix, begin, size - 1 + length) ^ (ahead[first].astype(np.uint64) * np.uint64(_ODD))
+                # what all windows of the whole block have in common
+                block = ahead[first] // BLOCK
+                middle = (np.cumsum(sizes) - sizes + part.column("o").to_numpy())[row[first]] - BLOCK * block
+                core = rolling.of(prefix, middle, length - BLOCK + 1) ^ (block.astype(np.uint64) * np.uint64(_ODD))
                 rows = pa.array(row[first])
                 blobs = [data[i][k:k + m - 1 + length] for i, k, m in zip(row[first].tolist(), number[first].tolist(), size.tolist())]
                 yield pa.record_batch([part.column("doc").take(rows), part.column("own").take(rows), part.column("copies").take(rows),
-                                       *_longs(part.column("at").to_numpy()[row[first]] + number[first], size, key), pa.array(blobs, pa.binary())],
-                                      ["doc", "own", "copies", "start", "size", "v", "bytes"])
+                                       *_longs(part.column("at").to_numpy()[row[first]] + number[first], size, key, core), pa.array(blobs, pa.binary())],
+                                      ["doc", "own", "copies", "start", "size", "v", "core", "bytes"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -222,13 +226,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 50, together:
     few = few.repartition("h").sortWithinPartitions("h").select("doc", "own", "at", "h", "copies", "bytes").mapInArrow(compare, spans)
     # larger groups: blocks of windows first, whole; then the windows of one block of each kind
     many = contexts.where(F.col("m") > together).select("doc", "own", "at", "o", "copies", "bytes").mapInArrow(
-        covers, f"doc {kind}, own long, copies long, start long, size long, v long, bytes binary")
+        covers, f"doc {kind}, own long, copies long, start long, size long, v long, core long, bytes binary")
     many = written(many, "covers")
-    kinds = written(many.groupBy("v").agg(F.count("*").alias("n"), F.min(F.struct("doc", "own", "copies", "start", "bytes")).alias("r")), "covers")
+    kinds = written(many.groupBy("v", "core").agg(F.count("*").alias("n"), F.min(F.struct("doc", "own", "copies", "start", "bytes")).alias("r")), "covers")
     twice = written(kinds.where("n > 1").select(F.col("v").alias("_v")), "twice")
     blocks = many.where("copies = 1").join(twice, F.col("v") == F.col("_v")).select(
         "doc", "own", "start", (F.col("start") + F.col("size") - 1 + length).alias("end"))
-    windows = kinds.select("r.doc", "r.own", ((F.col("n") == 1) & (F.col("r.copies") == 1)).alias("alone"), "r.start", "r.bytes").mapInArrow(
+    shared = written(kinds.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select(F.col("core").alias("_core")), "cores")
+    windows = kinds.join(shared, F.col("core") == F.col("_core")).select("r.doc", "r.own", ((F.col("n") == 1) & (F.col("r.copies") == 1)).alias("alone"), "r.start", "r.bytes").mapInArrow(
         single, f"doc {kind}, own long, alone boolean, start long, v long")
     windows = written(windows, "windows")
     twice = written(windows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.col("v").alias("_v")), "twice")
