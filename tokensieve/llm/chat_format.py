@@ -59,18 +59,21 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     answered = jump.where("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_i")).distinct()
     leaves = jump.join(answered, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_i")), "left_anti").select("tree", F.col("id").alias("leaf"))
     leaves = written(leaves, "leaves")
+    # messages that have reached their root leave the joins
+    rooted, jump = jump.where("up is null"), jump.where("up is not null")
     jumps = [jump]
-    while len(jumps) <= n.bit_length() and jump.where("up is not null").limit(1).count():
-        far = jump.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("total").alias("_total"))
-        jump = written(jump.join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_i")), "left").select(
-            "tree", "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "jump")
+    while len(jumps) <= n.bit_length() and not jump.isEmpty():
+        far = jump.unionByName(rooted).select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("total").alias("_total"))
+        step = written(jump.join(far, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_i"))).select(
+            "tree", "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total")), "jump")
+        rooted, jump = rooted.unionByName(step.where("up is null")), step.where("up is not null")
         jumps.append(jump)
-    rooted = jump.where("up is null").select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "total")
+    rooted = rooted.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "total")
     ranked = leaves.join(rooted, (F.col("tree") == F.col("_t")) & (F.col("leaf") == F.col("_i"))).select(
         "tree", "leaf", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")).alias("path_rank")).where(F.col("path_rank") <= top)
     paths = written(ranked.select("*", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth")), "paths")
     for k in range(len(jumps) - 1, -1, -1):
-        far = jumps[k].where("up is not null").select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "up")
+        far = jumps[k].select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "up")
         more = paths.join(far, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_i"))).select(
             "tree", "leaf", "path_rank", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
         paths = written(paths.unionByName(more), "paths")
