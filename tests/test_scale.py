@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tokensieve.operators import kernels as K
 from tokensieve.operators.evaluate import global_row_number
 from tokensieve.operators.groupwise import group_rank
+from tokensieve.operators.select import important_topk, uniform_sample, weighted_sample
+from tokensieve.sources import sinks
 
 
 @pytest.mark.parametrize("partitions", ["8", "200"])
@@ -51,3 +53,26 @@ def test_kernels_follow_their_rules():
 def test_farthest_first():
     points = np.array([[0.0], [1.0], [10.0], [4.0], [10.0]])
     assert K.farthest_first(points, 4, 0).tolist() == [0, 2, 3, 1]
+
+
+def test_literal_k_cuts_groups_before_the_shuffle(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("token_idx"), F.rand(3).alias("s"))
+    for top in (important_topk(rows, "g", "s", 5), weighted_sample(rows, "g", "s", 5), uniform_sample(rows, "g", 5)):
+        assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+        assert top.count() == 10
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    texts = ["", None, ' b) "quoted", maybe\n', "a\rb", "  "]
+    results = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "test_number long, generated_text string, keep_ratio double")
+    path = str(tmp_path / "csv")
+    assert sinks.write_per_config(results, path, keys=("keep_ratio",))
+    back = sinks.read_results_csv(spark, path, sinks.results_projection(results, extra=("keep_ratio",)).schema)
+    assert sorted(back.select("test_number", "generated_text", "keep_ratio", "method").collect(), key=lambda r: r[0]) == [(i, t, 0.5, "") for i, t in enumerate(texts)]
+    assert not sinks.write_results_csv(results.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+    payloads = spark.createDataFrame([(1, "a.png", b"old"), (2, "a.png", b"new"), (3, "b.png", bytes(range(256))), (4, "c.png", None)], "row_id long, n string, p binary")
+    files = sinks.final_files(sinks.payload_manifest(payloads, "n", "p", "row_id"))
+    sinks.write_payload_files(files, str(tmp_path / "files"))
+    sinks.write_payload_files(files, str(tmp_path / "files"))
+    assert {f.name: f.read_bytes() for f in (tmp_path / "files").iterdir() if not f.name.endswith(".crc")} == {"a.png": b"new", "b.png": bytes(range(256))}

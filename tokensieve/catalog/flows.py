@@ -101,7 +101,7 @@ def q_yes_no_evaluation(spark, sf):
 
 # ------------------------------------------------------------------ C8 / A8
 @register("prune_once_reuse", _QRES + """
-, pi AS (SELECT config_id, image_id, count(*) AS q, any_value(prune_time) AS pt FROM qr2 GROUP BY ALL)
+, pi AS (SELECT config_id, image_id, count(*) AS q, min(prune_time) AS pt FROM qr2 GROUP BY ALL)
 , res AS (SELECT qr2.*, prune_time / pi.q AS embed_time FROM qr2 JOIN pi USING (config_id, image_id))
 , agg AS (SELECT config_id, keep_ratio, recovery_ratio, count(*) AS n, count(*) FILTER (WHERE api_success) AS n_success,
             count(*) FILTER (WHERE api_success AND is_correct) AS n_correct,
@@ -140,7 +140,7 @@ def q_cache_lookup(spark, sf):
 
 # ------------------------------------------------------------------ A10
 @register("config_totals", _QRES + """
-, pi AS (SELECT config_id, image_id, any_value(prune_time) AS pt FROM qr2 GROUP BY ALL)
+, pi AS (SELECT config_id, image_id, min(prune_time) AS pt FROM qr2 GROUP BY ALL)
 , t AS (SELECT config_id, sum(pt) AS tp FROM pi GROUP BY 1)
 , a AS (SELECT config_id, sum(api_call_time) FILTER (WHERE api_success) AS ta FROM qr2 GROUP BY 1)
 SELECT q.config_id, q.question_id, round(t.tp, 6) AS total_pruning_time_config,
@@ -149,7 +149,7 @@ FROM qr2 q JOIN t USING (config_id) JOIN a USING (config_id)""")
 def q_config_totals(spark, sf):
     res = EV.question_results(tb.questions(spark, sf), tb.responses(spark, sf), _counts(spark, sf),
                               tb.configs(spark), N_GROUPS_IMG)
-    per_image = res.groupBy("config_id", "image_id").agg(F.first("prune_time").alias("pt"))
+    per_image = res.groupBy("config_id", "image_id").agg(F.min("prune_time").alias("pt"))
     t = per_image.groupBy("config_id").agg(F.sum("pt").alias("tp"))
     a = res.groupBy("config_id").agg(F.sum(F.when(F.col("api_success"), F.col("api_call_time"))).alias("ta"))
     out = res.join(t, "config_id").join(a, "config_id")

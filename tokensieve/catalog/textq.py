@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as E
+from ..session import new_folder
 from ..sources import items as S
 from ..sources import sinks as K
 from ..sources import tables as tb
@@ -362,9 +363,15 @@ SELECT test_number, '' AS total_tests, '' AS sample_image_path, '' AS "timestamp
        '' AS preprocess_time, '' AS encode_time, '' AS project_time, '' AS prune_time{extra} FROM results"""
 
 
+def _through_csv(spark, results, write, keys=()):
+    path, schema = new_folder(spark, "results"), K.results_projection(results, extra=keys).schema
+    return K.read_results_csv(spark, path, schema) if write(results, path) else spark.createDataFrame([], schema)
+
+
 @register("results_projection", _PROJ_SQL.format(extra=""))
 def q_results_projection(spark, sf):
-    return K.results_projection(eval_results(spark, sf))
+    """The rows read back from the written CSV."""
+    return _through_csv(spark, eval_results(spark, sf), K.write_results_csv)
 
 
 @register("combined_results", _PROJ_SQL.format(extra=", keep_ratio, recovery_ratio"))
@@ -374,8 +381,8 @@ def q_combined_results(spark, sf):
 
 @register("write_per_config", _PROJ_SQL.format(extra=", keep_ratio, recovery_ratio"))
 def q_write_per_config(spark, sf):
-    """The rows ``write_per_config`` writes, with its partition columns."""
-    return K.results_projection(eval_results(spark, sf), extra=("keep_ratio", "recovery_ratio"))
+    """The rows read back from the folders of all configurations."""
+    return _through_csv(spark, eval_results(spark, sf), K.write_per_config, ("keep_ratio", "recovery_ratio"))
 
 
 # ------------------------------------------------------------------ K4

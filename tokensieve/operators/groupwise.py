@@ -47,6 +47,20 @@ def group_rank(df: DataFrame, keys, order: list, out: str, largest: int | None =
     return numbered.join(first, ks).withColumn(out, (F.col("_g") - F.col("_g0")).cast("int")).drop("_g", "_g0")
 
 
+def group_top(df: DataFrame, keys, order: list, out: str, k, largest: int | None = None,
+              max_group: int | None = None) -> DataFrame:
+    """Rows whose ``group_rank`` is below ``k`` (a number, or a column's name).
+
+    A number is compared with ``row_number()`` itself, so that Spark cuts each
+    group before the shuffle (WindowGroupLimit)."""
+    if isinstance(k, int) and largest is not None and largest <= _limit(max_group):
+        w = Window.partitionBy(*_keys(keys)).orderBy(*order)
+        top = df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+        return top.withColumn(out, (F.col(out) - 1).cast("int"))
+    ranked = group_rank(df, keys, order, out, largest, max_group)
+    return ranked.where(F.col(out) < (F.lit(k) if isinstance(k, int) else F.col(k)))
+
+
 def group_stats(df: DataFrame, keys, largest: int | None = None, max_group: int | None = None,
                 **aggs: Column) -> DataFrame:
     """Attach per-group aggregates ``name=expr`` to every row.

@@ -8,11 +8,11 @@ tokens in score order).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, uniform
-from .groupwise import group_rank
+from .groupwise import group_rank, group_top
 from .scores import softmax
 
 
@@ -27,17 +27,18 @@ def rank_desc(df: DataFrame, keys, score: str, out: str = "score_rank", largest:
     return group_rank(df, keys, [F.desc(score), F.asc("token_idx")], out, largest)
 
 
+def top_desc(df: DataFrame, keys, score: str, k) -> DataFrame:
+    """The ``k`` rows of largest score a group, ranked like ``rank_desc``."""
+    return group_top(df, keys, [F.desc(score), F.asc("token_idx")], "rank", k, 0)
+
+
 # W1
 def important_topk(df: DataFrame, keys, score: str, k) -> DataFrame:
     """Top-k rows by score per group.  With a literal ``k`` Spark plans a
     partial WindowGroupLimit before the shuffle (hot groups are cut
     map-side); with a per-row ``k`` column the rank is computed once and
     filtered, which serves every configuration from one window."""
-    kk = F.lit(int(k)) if isinstance(k, int) else F.col(k)
-    r = rank_desc(df, keys, score, "rank")
-    if isinstance(k, int):
-        return r.where(F.col("rank") < int(k))
-    return r.where(F.col("rank") < kk)
+    return top_desc(df, keys, score, k)
 
 
 # O5 / P7
@@ -78,9 +79,7 @@ def weighted_sample(df: DataFrame, keys, weight: str, m, seed: int = 42, out: st
     u = uniform(seed, *[F.col(c) for c in ks], F.col("token_idx"))
     # zero / missing weight: never drawn before a positive one (key +inf)
     d = df.withColumn("_key", F.when(F.col(weight) > 0, -F.log(u) / F.col(weight)).otherwise(F.lit(float("inf"))))
-    d = group_rank(d, ks, [F.asc("_key"), F.asc("token_idx")], out, largest)
-    mm = F.lit(int(m)) if isinstance(m, int) else F.col(m)
-    return d.where(F.col(out) < mm).drop("_key")
+    return group_top(d, ks, [F.asc("_key"), F.asc("token_idx")], out, m, largest).drop("_key")
 
 
 # V7
@@ -88,9 +87,7 @@ def uniform_sample(df: DataFrame, keys, m, seed: int = 42, out: str = "sample_ra
                    largest: int | None = 0) -> DataFrame:
     ks = _keys(keys)
     d = df.withColumn("_u", uniform(seed, *[F.col(c) for c in ks], F.col("token_idx")))
-    d = group_rank(d, ks, [F.asc("_u"), F.asc("token_idx")], out, largest).drop("_u")
-    mm = F.lit(int(m)) if isinstance(m, int) else F.col(m)
-    return d.where(F.col(out) < mm)
+    return group_top(d, ks, [F.asc("_u"), F.asc("token_idx")], out, m, largest).drop("_u")
 
 
 # W13
@@ -105,9 +102,7 @@ def recover_topk(pruned: DataFrame, text_tokens: DataFrame, keys, k, group_col:
     sm = softmax(sims, [*ks, "t_idx"], "_a", "_p")
     agg_extra = [F.first("k_rec").alias("k_rec")] if "k_rec" in pruned.columns else []
     sc = sm.groupBy(*ks, "token_idx").agg(F.avg("_p").alias("recovery_score"), *agg_extra)
-    r = rank_desc(sc, ks, "recovery_score", "rank")
-    kk = F.lit(int(k)) if isinstance(k, int) else F.col(k)
-    return r.where(F.col("rank") < kk)
+    return top_desc(sc, ks, "recovery_score", k)
 
 
 # W14
@@ -115,25 +110,17 @@ def recover_by_attention_sum(pruned_attn: DataFrame, keys, k) -> DataFrame:
     """Recovery by attention summed over the question rows."""
     ks = _keys(keys)
     s = pruned_attn.groupBy(*ks, "token_idx").agg(F.sum("a").alias("recovery_score"))
-    r = rank_desc(s, ks, "recovery_score", "rank")
-    kk = F.lit(int(k)) if isinstance(k, int) else F.col(k)
-    return r.where(F.col("rank") < kk)
+    return top_desc(s, ks, "recovery_score", k)
 
 
 # W15
 def recover_by_cls(pruned: DataFrame, keys, k, score: str = "cls_score") -> DataFrame:
-    r = rank_desc(pruned, keys, score, "rank")
-    kk = F.lit(int(k)) if isinstance(k, int) else F.col(k)
-    return r.where(F.col("rank") < kk)
+    return top_desc(pruned, keys, score, k)
 
 
 # W16
-def topk_text_by_norm(text_tokens: DataFrame, k: int = 64, group_col: str = "group_id") -> DataFrame:
+def topk_text_by_norm(text_tokens: DataFrame, k: int, group_col: str = "group_id") -> DataFrame:
     """Keep the ``k`` question vectors with the largest norm per group."""
     t = text_tokens.withColumn("_norm", F.sqrt(dot("vec", "vec")))
     w = Window.partitionBy(group_col).orderBy(F.desc("_norm"), F.asc("t_idx"))
     return t.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "_norm")
-
-
-def stage(df: DataFrame, name: str) -> Column:
-    return F.lit(name)

@@ -89,7 +89,7 @@ def prune_once_reuse(questions: DataFrame, responses: DataFrame, tokens: DataFra
     sel = P.prune_attention_textweighted(tokens, text_tokens, configs)
     res = question_results(questions, responses, pruned_counts(sel), configs, n_groups)
     per_image = res.groupBy("config_id", "image_id").agg(
-        F.count(F.lit(1)).alias("_q"), F.first("prune_time").alias("_pt"))
+        F.count(F.lit(1)).alias("_q"), F.min("prune_time").alias("_pt"))
     res = res.join(per_image, ["config_id", "image_id"]).withColumn(
         "embed_time", F.col("prune_time") / F.col("_q"))
     return config_summary_grouped(res, per_image)

@@ -78,8 +78,6 @@ def _sized(tokens: DataFrame, largest: int | None) -> DataFrame:
 def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, cfg: list[dict],
             full_by_level: DataFrame, largest: int | None = None) -> DataFrame:
     """Level results -> per-config selection rows."""
-    lvl_fields = {"config_id": "int", "level_id": "int", "recovery_ratio": "double"}
-
     def per_config(df):
         return df.join(F.broadcast(_cfg_df(df, cfg)), "level_id")
 
@@ -93,7 +91,6 @@ def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, c
                                 F.col("n") - F.col("keep")), F.lit(0))
         rec = rec.where(F.col("rank") < rk).withColumn("position", (F.col("keep") + F.col("rank")).cast("int"))
         out = out.unionByName(rec.select(*SELECTION_COLS))
-    _ = lvl_fields
     return out
 
 
@@ -379,11 +376,3 @@ def no_prune(tokens: DataFrame, configs: DataFrame) -> DataFrame:
     t = _explode(t, rows, {"config_id": "int"})
     return t.select("config_id", G, "token_idx", F.lit("all").alias("stage"), F.col("position").alias("rank"),
                     "position")
-
-
-def selection_counts(selection: DataFrame) -> DataFrame:
-    """Tokens out per (config, group) and per stage."""
-    return selection.groupBy("config_id", G).agg(
-        F.count(F.lit(1)).alias("n_out"),
-        *[F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in
-          ("important", "diverse", "recovered", "summary", "all", "dpp")])

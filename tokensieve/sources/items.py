@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import null_to_empty
 from ..operators.evaluate import global_row_number
 
 # The eight columns of a multiple-choice item.
@@ -90,7 +89,3 @@ def data_url(path: Column, payload: Column) -> Column:
 def base64_plain(payload: Column) -> Column:
     """Base64 on one line (Python's ``b64encode``); Spark may chunk with CRLF."""
     return F.replace(F.base64(payload), F.lit("\r\n"), F.lit(""))
-
-
-def empty_if_null(c) -> Column:
-    return null_to_empty(c)

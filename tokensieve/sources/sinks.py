@@ -7,9 +7,11 @@ configuration), never a driver loop over results.
 
 from __future__ import annotations
 
-import os
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_filename
@@ -23,6 +25,8 @@ RESULT_COLUMNS = (
     "preprocess_time", "encode_time", "project_time", "prune_time",
 )
 GUIDED_COLUMN = "guided_choices_used"
+#: Texts keep their outer spaces, quotes and line feeds; a null is told from an empty text.
+CSV_FORM = {"header": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 # K1
@@ -38,21 +42,22 @@ def write_results_csv(df: DataFrame, path: str, guided: bool = False, partition_
     proj = results_projection(df, guided, extra=tuple(partition_by or ()))
     if df.isEmpty():
         return False
-    w = proj.write.mode("overwrite").option("header", True)
+    w = proj.write.mode("overwrite").options(**CSV_FORM)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return True
 
 
+def read_results_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_results_csv`` wrote; partition columns come last in ``schema``."""
+    return spark.read.schema(schema).options(**CSV_FORM, multiLine=True).csv(path)
+
+
 # K2
 def write_per_config(df: DataFrame, path: str, keys=("keep_ratio", "recovery_ratio"), guided: bool = False) -> bool:
     """One output folder per configuration in a single job."""
-    proj = results_projection(df, guided, extra=keys)
-    if df.isEmpty():
-        return False
-    proj.write.mode("overwrite").option("header", True).partitionBy(*keys).csv(path)
-    return True
+    return write_results_csv(df, path, guided, keys)
 
 
 # K4
@@ -94,27 +99,32 @@ def payload_manifest(df: DataFrame, name_col: str, payload_col: str, order_col:
 
 
 def final_files(manifest: DataFrame) -> DataFrame:
-    """Later rows overwrite earlier ones with the same name: last wins
-    (``max_by`` is a partial aggregate, so a hot name is combined map-side)."""
+    """Later rows overwrite earlier ones with the same name: last wins. The
+    row is chosen without its payload, which is then joined by ``row_id``."""
     ok = manifest.where(F.col("status") == "ok")
-    return ok.groupBy("file_name").agg(
-        F.max_by("row_id", "row_id").alias("row_id"),
-        F.max_by("payload", "row_id").alias("payload"),
-        F.count(F.lit(1)).alias("n_writes"),
-    )
+    last = ok.groupBy("file_name").agg(F.max("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_writes"))
+    return last.join(ok.select("row_id", "payload"), "row_id").select("file_name", "row_id", "payload", "n_writes")
 
 
 def write_payload_files(files: DataFrame, out_dir: str) -> None:
-    """Write each final payload to ``out_dir/<file_name>`` from the executors."""
+    """Write each final payload to ``out_dir/<file_name>``, a folder (path or
+    URI) that all executors share. A file appears under its name when whole,
+    so a repeated task leaves no half of one."""
     target = out_dir.rstrip("/")
 
-    def _write(rows):
-        os.makedirs(target, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(target, r["file_name"]), "wb") as fh:
-                fh.write(bytes(r["payload"]))
-
-    files.select("file_name", "payload").foreachPartition(_write)
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        store, folder = fs.FileSystem.from_uri(target)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(payload)
+                store.move(part, f"{folder}/{name}")
+            yield batch.select([0])
+
+    files.select("file_name", "payload").mapInArrow(save, "file_name string").write.format("noop").mode("overwrite").save()
 
 
 # F23
