@@ -627,7 +627,8 @@ def q_prune_dpp(spark, sf):
 
 @register("prune_entropy")
 def q_prune_entropy(spark, sf):
-    return P.prune_entropy(tb.tokens(spark, sf), tb.text_tokens(spark, sf), tb.configs(spark))
+    sel = P.prune_entropy(tb.tokens(spark, sf), tb.text_tokens(spark, sf), tb.configs(spark))
+    return sel.withColumn("summary_vec", arr6(F.col("summary_vec")))
 
 
 @register("prune_text_guided")
@@ -833,11 +834,16 @@ SQL["prune_entropy"] = duckdb_with("tokens", "text_tokens", "configs") + """
 , att AS (SELECT group_id, token_idx, sum(a) AS rs FROM attn GROUP BY ALL)
 , pr AS (SELECT kb.*, att.rs FROM kb JOIN att USING (group_id, token_idx) WHERE score_rank >= keep)
 , rr AS (SELECT *, (row_number() OVER (PARTITION BY config_id, group_id ORDER BY rs DESC, token_idx) - 1)::INTEGER AS rank FROM pr)
-SELECT config_id, group_id, token_idx, 'important' AS stage, score_rank AS rank, score_rank AS position FROM kb WHERE score_rank < keep
+, px AS (SELECT pr.config_id, pr.group_id, pr.keep, unnest(k.vec) AS x, unnest(range(len(k.vec))) AS p
+         FROM pr JOIN tokens k ON k.group_id = pr.group_id AND k.token_idx = pr.token_idx)
+, pm AS (SELECT config_id, group_id, keep, p, avg(x) AS m FROM px GROUP BY ALL)
+, sv AS (SELECT config_id, group_id, keep, list(round(m, 6) ORDER BY p) AS v FROM pm GROUP BY ALL)
+SELECT config_id, group_id, token_idx, 'important' AS stage, score_rank AS rank, score_rank AS position,
+       CAST(NULL AS DOUBLE[]) AS summary_vec FROM kb WHERE score_rank < keep
 UNION ALL
-SELECT DISTINCT config_id, group_id, CAST(NULL AS BIGINT), 'summary', 0, keep FROM pr
+SELECT config_id, group_id, CAST(NULL AS BIGINT), 'summary', 0, keep, v FROM sv
 UNION ALL
-SELECT config_id, group_id, token_idx, 'recovered', rank, (keep + 1 + rank)::INTEGER FROM rr
+SELECT config_id, group_id, token_idx, 'recovered', rank, (keep + 1 + rank)::INTEGER, NULL FROM rr
 WHERE rank < greatest(least(CAST(trunc(recovery_ratio * n) AS INTEGER), n - keep), 0)"""
 
 

@@ -21,8 +21,10 @@ def text_segments(df: DataFrame, key: str, text: str, max_len: int) -> DataFrame
     real tokens).  One row per window; no text is cut short."""
     w = df.select(key, words(text).alias("_t")).where(F.size("_t") > 0)
     n = F.size("_t")
-    segs = w.select(key, "_t", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / max_len).cast("int"))).alias("seg_idx"))
-    part = F.slice("_t", F.col("seg_idx") * max_len + 1, max_len)
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / max_len).cast("int"))
+    parts = F.transform(starts, lambda i: F.slice("_t", i * max_len + 1, max_len))
+    segs = w.select(key, F.posexplode(parts).alias("seg_idx", "_part"))  # a row holds its own window only
+    part = F.col("_part")
     return segs.select(
         key, F.col("seg_idx").cast("int").alias("seg_idx"), F.size(part).cast("int").alias("n_real"),
         F.array_join(part, " ").alias("seg_text"),

@@ -1,9 +1,9 @@
 """Evaluation plans (C8-C10): prune, join answers, parse, score, summarise.
 
-One lazy plan per run: the item table is swept over the configuration
-grid, joined (by key) to the pruning result of its image and to its model
-response, parsed and scored with built-in expressions, and aggregated
-per configuration.  The pruning result is computed once per (config,
+One lazy plan per run: each item is joined (by key) to its model response,
+parsed and scored with built-in expressions once; the scored items are then
+swept over the configuration grid, joined to the pruning result of their
+image, and aggregated per configuration.  The pruning result is computed once per (config,
 image group) and re-used by every question of that image (work sharing
 by an explicit aggregate + join instead of a per-image cache).
 """
@@ -47,18 +47,16 @@ def mc_evaluation(items: DataFrame, responses: DataFrame, tokens: DataFrame, tex
         T.mc_prompt("question", "hint", "A", "B", "C", "D").alias("prompt"),
         T.null_to_empty("answer").alias("correct_answer"))
     sel = P.prune_attention_diverse(tokens, text_tokens, configs, presample_threshold=presample_threshold)
-    swept = attach_pruning(it, pruned_counts(sel), configs)
-    j = E.response_join(swept, responses, "item_id")
     content = T.response_content(F.col("content"))
-    res = j.select(
-        "config_id", "keep_ratio", "recovery_ratio", "item_id", "pruned_token",
+    scored = E.response_join(it, responses, "item_id").select(
+        "item_id", G,
         F.coalesce(F.col("embed_time"), F.lit(0.0)).alias("embed_time"),
         F.coalesce(F.col("api_call_time"), F.lit(0.0)).alias("api_call_time"),
         F.col("api_success"),
         F.when(F.col("api_success"), T.parse_mc_answer(content)).otherwise(F.lit("")).alias("predicted_answer"),
         "correct_answer",
     ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("correct_answer")))
-    return E.config_summary(res)
+    return E.config_summary(attach_pruning(scored, pruned_counts(sel), configs))
 
 
 def question_results(questions: DataFrame, responses: DataFrame, counts: DataFrame, configs: DataFrame,
@@ -68,16 +66,15 @@ def question_results(questions: DataFrame, responses: DataFrame, counts: DataFra
     q = E.non_empty_questions(questions).select(
         "question_id", "image_id", (F.col("image_id") % n_groups).cast("bigint").alias(G),
         F.when(F.col("question_id") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("answer"))
-    swept = attach_pruning(q, counts, configs)
-    j = E.response_join(swept, responses.select("question_id", "content"), "question_id")
+    j = E.response_join(q, responses.select("question_id", "content"), "question_id")
     content = T.response_content(F.col("content"))
     pred = F.when(F.col("api_success"), T.parse_yes_no(content)).otherwise(F.lit(""))
-    return j.select(
-        "config_id", "keep_ratio", "recovery_ratio", "question_id", "image_id", G, "pruned_token", "api_success",
-        pred.alias("predicted_answer"), "answer",
-        (F.col("pruned_token") / F.lit(PRUNE_TOKENS_PER_SECOND)).alias("prune_time"),
+    scored = j.select(
+        "question_id", "image_id", G, "api_success", pred.alias("predicted_answer"), "answer",
         F.when(F.col("api_success"), F.length("content") / 1000.0).otherwise(F.lit(0.0)).alias("api_call_time"),
     ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("answer"), "lower"))
+    return attach_pruning(scored, counts, configs).withColumn(
+        "prune_time", F.col("pruned_token") / F.lit(PRUNE_TOKENS_PER_SECOND))
 
 
 # C8

@@ -172,9 +172,7 @@ def _recovery(level_tokens: DataFrame, selected: DataFrame, text_tokens: DataFra
     """W13 on the pruned tokens of each (group, level)."""
     part = level_tokens.where(F.col("keep") < F.col("n"))
     pruned = part.join(selected.select(G, "level_id", "token_idx"), [G, "level_id", "token_idx"], "left_anti")
-    ranked = _recover_ranked(pruned, text_tokens, largest)
-    sizes = part.select(G, "level_id", "n", "keep").distinct()
-    return ranked.join(sizes, [G, "level_id"]).select(
+    return _recover_ranked(pruned, text_tokens, largest).select(
         G, "level_id", "token_idx", F.lit("recovered").alias("stage"), "rank", "n", "keep")
 
 
@@ -182,10 +180,11 @@ def _recover_ranked(pruned: DataFrame, text_tokens: DataFrame, largest: int | No
     keys = [G, "level_id"]
     j = pruned.alias("p").join(text_tokens.alias("t"), F.col(f"p.{G}") == F.col(f"t.{G}"))
     sims = j.select(F.col(f"p.{G}").alias(G), F.col("p.level_id").alias("level_id"),
-                    F.col("p.token_idx").alias("token_idx"), F.col("t.t_idx").alias("t_idx"),
+                    F.col("p.token_idx").alias("token_idx"), F.col("t.t_idx").alias("t_idx"), "p.n", "p.keep",
                     dot(F.col("p.vec"), F.col("t.vec")).alias("_a"))
     sm = group_softmax(sims, [*keys, "t_idx"], "_a", "_p", largest)
-    sc = sm.groupBy(*keys, "token_idx").agg(F.avg("_p").alias("recovery_score"))
+    sc = sm.groupBy(*keys, "token_idx").agg(
+        F.avg("_p").alias("recovery_score"), F.min("n").alias("n"), F.min("keep").alias("keep"))
     return S.rank_desc(sc, keys, "recovery_score", "rank", largest)
 
 
@@ -333,7 +332,8 @@ def prune_dpp(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
 def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame, lam: float = 0.1) -> DataFrame:
     """Attention = softmax over tokens of question.token; entropy scores
     (W9); top-keep in score order; one summary token = mean of all pruned
-    tokens (A20); recovery by attention summed over questions (W14)."""
+    tokens (A20, its vector in ``summary_vec``); recovery by attention summed
+    over questions (W14)."""
     from ..operators.scores import entropy_scores
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
@@ -355,16 +355,17 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
         attn.groupBy(G, "token_idx").agg(F.sum("a").alias("recovery_score")), [G, "token_idx"])
     rec = S.rank_desc(att_sum, [G, "level_id"], "recovery_score", "rank", largest)
     per_cfg = F.broadcast(_cfg_df(t, cfg))
+    no_vec = F.lit(None).cast("array<double>").alias("summary_vec")
     sel = top.join(per_cfg, "level_id").select(
         "config_id", G, "token_idx", F.lit("important").alias("stage"), F.col("score_rank").alias("rank"),
-        F.col("score_rank").alias("position"))
+        F.col("score_rank").alias("position"), no_vec)
     summ = summary.join(t.select(G, "level_id", "keep").distinct(), [G, "level_id"]).join(per_cfg, "level_id").select(
         "config_id", G, F.lit(None).cast("bigint").alias("token_idx"), F.lit("summary").alias("stage"),
-        F.lit(0).alias("rank"), F.col("keep").alias("position"))
+        F.lit(0).alias("rank"), F.col("keep").alias("position"), F.col("mean_vec").alias("summary_vec"))
     rk = F.greatest(F.least((F.col("recovery_ratio") * F.col("n")).cast("int"), F.col("n") - F.col("keep")), F.lit(0))
     r = rec.join(per_cfg, "level_id").where(F.col("rank") < rk).select(
         "config_id", G, "token_idx", F.lit("recovered").alias("stage"), "rank",
-        (F.col("keep") + 1 + F.col("rank")).cast("int").alias("position"))
+        (F.col("keep") + 1 + F.col("rank")).cast("int").alias("position"), no_vec)
     return sel.unionByName(summ).unionByName(r)
 
 
