@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import evaluate as E
 from ..plans import evaluation as EV
 from ..plans import pruners as P
 from ..sources import tables as tb
-from .sqlbits import duckdb_with, mc_parse, yes_no
+from .sqlbits import duckdb_with, mc_parse, strip, yes_no
+from .textq import VARIED_ANSWERS_SQL, gc_sql, varied_answers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -124,6 +126,30 @@ def q_config_summary_grouped(spark, sf):
     return q_prune_once_reuse(spark, sf)
 
 
+# ------------------------------------------------------------------ C8, guided choices
+_HIT = f"list_filter(ch, lambda c: instr(lower({strip('txt')}), {strip('lower(c)')}) > 0)[1]"
+
+
+@register("prune_once_reuse_guided", duckdb_with("mc_items", "configs") + _COUNTS + f"""
+, g AS (SELECT idx AS item_id, (idx % 13)::BIGINT AS group_id, lower(B) AS correct_answer,
+          question || ' ' || coalesce(hint, '') AS txt, {gc_sql(VARIED_ANSWERS_SQL)} AS ch FROM mc_items)
+, s AS (SELECT item_id, group_id, correct_answer,
+          CASE WHEN coalesce(len(ch), 0) > 0 THEN '[''' || array_to_string(ch, ''', ''') || ''']'
+               ELSE '[''yes'', ''no'']' END AS guided_choices_used,
+          CASE WHEN coalesce(len(ch), 0) > 0 THEN {strip(f"coalesce({strip('lower(' + _HIT + ')')}, lower({strip('txt')}))")}
+               ELSE {strip(yes_no('txt'))} END AS predicted_answer FROM g)
+, a AS (SELECT group_id, count(*) AS questions_used_for_pruning FROM s GROUP BY 1)
+SELECT cnt.config_id, s.item_id, cnt.pruned_token, a.questions_used_for_pruning, s.guided_choices_used, s.predicted_answer,
+       s.predicted_answer = {strip('s.correct_answer')} AS is_correct
+FROM s JOIN cnt USING (group_id) JOIN a USING (group_id)""")
+def q_prune_once_reuse_guided(spark, sf):
+    m = tb.mc_items(spark, sf)
+    items = m.select(F.col("idx").alias("item_id"), varied_answers(m).alias("answers"), F.lower("B").alias("correct_answer"))
+    said = m.select(F.col("idx").alias("item_id"), F.concat("question", F.lit(" "), T.null_to_empty("hint")).alias("content"))
+    return EV.guided_results(items, said, _counts(spark, sf), tb.configs(spark), N_GROUPS_IMG).select(
+        "config_id", "item_id", "pruned_token", "questions_used_for_pruning", "guided_choices_used", "predicted_answer", "is_correct")
+
+
 # ------------------------------------------------------------------ J2
 def _counts(spark, sf):
     sel = P.prune_attention_textweighted(tb.tokens(spark, sf), tb.text_tokens(spark, sf), tb.configs(spark))

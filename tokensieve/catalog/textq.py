@@ -175,46 +175,46 @@ def q_guided_choices(spark, sf):
 
 
 # answers column varied: array, object, empty, invalid, null
-_ANS_SQL = ("CASE idx % 5 WHEN 0 THEN answers WHEN 1 THEN '{\"answer\":\"' || B || '\"}' WHEN 2 THEN '' "
+VARIED_ANSWERS_SQL = ("CASE idx % 5 WHEN 0 THEN answers WHEN 1 THEN '{\"answer\":\"' || B || '\"}' WHEN 2 THEN '' "
             "WHEN 3 THEN 'bad' ELSE NULL END")
 
 
-def _varied_answers(m):
+def varied_answers(m):
     return (F.when(F.col("idx") % 5 == 0, F.col("answers"))
             .when(F.col("idx") % 5 == 1, F.concat(F.lit('{"answer":"'), F.col("B"), F.lit('"}')))
             .when(F.col("idx") % 5 == 2, F.lit("")).when(F.col("idx") % 5 == 3, F.lit("bad")))
 
 
 @register("guided_choices_label", duckdb_with("mc_items") + f"""
-, g AS (SELECT idx, {gc_sql(_ANS_SQL)} AS ch FROM mc_items)
+, g AS (SELECT idx, {gc_sql(VARIED_ANSWERS_SQL)} AS ch FROM mc_items)
 SELECT idx, CASE WHEN coalesce(len(ch), 0) > 0 THEN '[''' || array_to_string(ch, ''', ''') || ''']'
             ELSE '[''yes'', ''no'']' END AS guided_choices_used FROM g""")
 def q_guided_choices_label(spark, sf):
     m = tb.mc_items(spark, sf)
-    ch = T.guided_choices(_varied_answers(m))
+    ch = T.guided_choices(varied_answers(m))
     return m.select("idx", T.guided_choices_label(ch).alias("guided_choices_used"))
 
 
 @register("default_choices", duckdb_with("mc_items") + f"""
-, g AS (SELECT idx, {gc_sql(_ANS_SQL)} AS ch FROM mc_items)
+, g AS (SELECT idx, {gc_sql(VARIED_ANSWERS_SQL)} AS ch FROM mc_items)
 SELECT idx, CASE WHEN coalesce(len(ch), 0) > 0 THEN ch ELSE ['yes', 'no'] END AS choices FROM g""")
 def q_default_choices(spark, sf):
     m = tb.mc_items(spark, sf)
-    return m.select("idx", T.default_choices(T.guided_choices(_varied_answers(m))).alias("choices"))
+    return m.select("idx", T.default_choices(T.guided_choices(varied_answers(m))).alias("choices"))
 
 
 _GTEXT = "lower(question || ' ' || coalesce(hint, ''))"
 
 
 @register("parse_guided", duckdb_with("mc_items") + f"""
-, g AS (SELECT idx, question || ' ' || coalesce(hint, '') AS txt, {gc_sql(_ANS_SQL)} AS ch FROM mc_items)
+, g AS (SELECT idx, question || ' ' || coalesce(hint, '') AS txt, {gc_sql(VARIED_ANSWERS_SQL)} AS ch FROM mc_items)
 SELECT idx, CASE WHEN coalesce(len(ch), 0) > 0 THEN
    {strip(f"coalesce({strip('lower(list_filter(ch, lambda c: instr(lower(' + strip('txt') + '), ' + strip('lower(c)') + ') > 0)[1])')}, lower({strip('txt')}))")}
  ELSE {strip(yes_no('txt'))} END AS predicted_answer FROM g""")
 def q_parse_guided(spark, sf):
     m = tb.mc_items(spark, sf)
     txt = F.concat(F.col("question"), F.lit(" "), T.null_to_empty("hint"))
-    return m.select("idx", T.parse_guided(txt, T.guided_choices(_varied_answers(m))).alias("predicted_answer"))
+    return m.select("idx", T.parse_guided(txt, T.guided_choices(varied_answers(m))).alias("predicted_answer"))
 
 
 # ------------------------------------------------------------------ F21

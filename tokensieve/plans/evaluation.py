@@ -118,6 +118,23 @@ def config_summary_grouped(res: DataFrame, per_image: DataFrame) -> DataFrame:
     )
 
 
+# C8, guided choices
+def guided_results(items: DataFrame, responses: DataFrame, counts: DataFrame, configs: DataFrame,
+                   n_groups: int) -> DataFrame:
+    """Per (config, item): the response parsed against the item's own choices
+    (F15, F16; yes / no where it has none), and how many items share the
+    pruning result of its image (A1)."""
+    it = items.select("item_id", (F.col("item_id") % n_groups).cast("bigint").alias(G), "correct_answer",
+                      T.guided_choices("answers").alias("_choices"))
+    j = E.response_join(it, responses, "item_id")
+    pred = F.when(F.col("api_success"), T.parse_guided(T.response_content(F.col("content")), "_choices")).otherwise(F.lit(""))
+    scored = j.select("item_id", G, "api_success", T.guided_choices_label("_choices").alias("guided_choices_used"),
+                      pred.alias("predicted_answer"), "correct_answer") \
+        .withColumn("is_correct", F.col("api_success") & T.is_correct("predicted_answer", "correct_answer", "strip"))
+    asked = scored.groupBy(G).agg(F.count(F.lit(1)).alias("questions_used_for_pruning"))
+    return attach_pruning(scored, counts.join(asked, G), configs)
+
+
 # C10
 def yes_no_evaluation(questions: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
                       configs: DataFrame, n_groups: int) -> DataFrame:

@@ -33,16 +33,11 @@ def centroid_scores(tokens: DataFrame, text_tokens: DataFrame, k_clusters: int =
 # V11
 def centroid_recovery(pruned: DataFrame, text_tokens: DataFrame, k_clusters: int = 128, k: int = 5,
                       seed: int = 42) -> DataFrame:
-    """Groups with more than ``2 * k_clusters`` pruned tokens are scored
-    through cluster centroids (J8), the rest directly (W13); top-k."""
-    sizes = pruned.groupBy(G).agg(F.count(F.lit(1)).alias("_n"))
-    sized = pruned.join(sizes, G)
-    big = sized.where(F.col("_n") > 2 * k_clusters).drop("_n")
-    small = sized.where(F.col("_n") <= 2 * k_clusters).drop("_n")
-    via_c = centroid_scores(big, text_tokens, k_clusters, seed).select(G, "token_idx", F.col("centroid_score").alias("recovery_score"))
-    direct = S.recover_topk(small, text_tokens, G, 1 << 30).select(G, "token_idx", "recovery_score")
-    ranked = S.rank_desc(via_c.unionByName(direct), G, "recovery_score", "rank")
-    return ranked.where(F.col("rank") < k)
+    """Pruned tokens scored through cluster centroids (J8), top-k. Groups of
+    every size take this way; a caller who wants them scored one by one calls
+    ``recover_topk`` (W13)."""
+    scored = centroid_scores(pruned, text_tokens, k_clusters, seed)
+    return S.top_desc(scored.select(G, "token_idx", F.col("centroid_score").alias("recovery_score")), G, "recovery_score", k)
 
 
 # V12
