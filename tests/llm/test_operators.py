@@ -344,3 +344,27 @@ def test_pipeline(spark):
         if name == "benchmark_decontamination":
             bench = pd.read_parquet(f"{SMALL}/benchmark.parquet").text
             assert not any(b in t for b in bench for t in kept.text) and len(kept) >= sum(not any(b[:30] in t for b in bench) for t in rows.text)
+
+
+def test_pipeline_tells_rows_of_an_id_apart(spark, odd, tmp_path):
+    import corpus_pipeline
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    item = "The benchmark asks which of the seven rivers flows north in winter."
+    near = " ".join(f"word{i}" for i in range(200))
+    more = spark.createDataFrame([(None, "12 + 3", "en"), (None, "g h i j", "fr"), (1, "== 4", "en"), (1, f"x {item} y", "en"), (None, item, "en"), (0, near, "en"),
+                                  (1, near, "en"), (None, near, "en"), (None, "alone here", "en"), (None, "alone here too, twice", "en")], "doc_id long, text string, lang string")
+    docs = odd.select("doc_id", "text", "lang").unionByName(more)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    all_rows = rows(docs.where("text is not null"))
+    assert rows(stages["language_id"](spark, docs, str(tmp_path))) == [r for r in all_rows if any(map(str.isalpha, r[1]))]
+    kept = stages["benchmark_decontamination"](spark, docs.where("text is not null"), str(tmp_path))
+    assert rows(kept) == [r for r in all_rows if item not in r[1]]
+    kept = rows(stages["simhash_near_dedup"](spark, docs, str(tmp_path)))
+    fp = {t: plain_simhash(t or "") for t in [r.text for r in docs.collect()]}
+    label = classes([(a, b) for a in fp.values() for b in fp.values() if (a ^ b).bit_count() <= 4])
+    assert {label[fp[t]] for _, t in kept} == set(label.values())
+    assert len({label[fp[t]] for _, t in kept}) == len(set(kept))
+    assert [d for d, t in kept if t == near] == ["0"] and ("None", "alone here") in kept
+    for stage in list(stages.values())[:-1]:
+        assert stage(spark, odd, SMALL).columns == odd.columns and stage(spark, odd, SMALL).count() and stage(spark, odd.limit(0), SMALL).count() == 0

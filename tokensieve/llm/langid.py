@@ -8,8 +8,9 @@ that family alone. Training reads a bounded sample: at most
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text when no row is labelled; a repeated row has a row each;
-an empty table gives no rows. Only ``doc_id``, ``text`` and ``lang`` are
-read, ``lang`` for training alone.
+an empty table gives no rows. Only ``doc_id``, ``text`` and ``lang`` are read,
+``lang`` for training alone, and the columns named in ``carry``, which come
+back as they are.
 """
 
 from __future__ import annotations
@@ -143,8 +144,8 @@ def train(labelled: DataFrame, sample_per_lang: int = 500) -> LanguageModel | No
     return LanguageModel(x, np.array([r.lang for r in rows], object))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256) -> DataFrame:
-    """doc_id, lang_pred, score."""
+def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, and the columns ``carry``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of DIMS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +161,12 @@ def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256) -
                     scores[known] = p
                     for i, lang in zip(known, found):
                         langs[i] = lang
-                yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(scores), *part.columns[2:]],
+                                      ["doc_id", "lang_pred", "score", *carry])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry)]
+    return docs.select("doc_id", text_or_empty().alias("text"), *carry) \
+        .mapInArrow(run, ", ".join([kinds[0], "lang_pred string, score double", *kinds[1:]]))
 
 
 def held_out(doc_id="doc_id"):
@@ -171,8 +174,8 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, sample_per_lang: int = 500) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: trained on labelled rows that are
-    not held out, predicted for every row."""
+def identify(docs: DataFrame, sample_per_lang: int = 500, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the columns ``carry``: trained on
+    labelled rows that are not held out, predicted for every row."""
     model = train(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), sample_per_lang)
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, carry=carry).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", *carry)
