@@ -37,8 +37,10 @@ def _where(docs: DataFrame, own: DataFrame, how: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language (text with a letter)."""
-    named = identify(docs.withColumn("own", _own()), carry=("own",)).where("lang_pred = 'und'").select("own")
+    """Keeps documents that have a language (text with a letter), those too
+    whose language is not told because no row is labelled. Which language was
+    told decides nothing."""
+    named = identify(docs.withColumn("own", _own()), carry=("own",), unlearned="unknown").where("lang_pred = 'und'").select("own")
     return _where(docs, named, "left_anti")
 
 

@@ -368,3 +368,11 @@ def test_pipeline_tells_rows_of_an_id_apart(spark, odd, tmp_path):
     assert [d for d, t in kept if t == near] == ["0"] and ("None", "alone here") in kept
     for stage in list(stages.values())[:-1]:
         assert stage(spark, odd, SMALL).columns == odd.columns and stage(spark, odd, SMALL).count() and stage(spark, odd.limit(0), SMALL).count() == 0
+
+
+def test_pipeline_keeps_texts_when_no_row_is_labelled(spark, odd):
+    import corpus_pipeline
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    for docs in (odd, odd.withColumn("lang", F.lit(None).cast("string"))):
+        kept = sorted((str(r.doc_id), r.text) for r in stage(spark, docs, SMALL).collect())
+        assert kept == sorted((str(r.doc_id), r.text) for r in odd.collect() if any(map(str.isalpha, r.text or "")))

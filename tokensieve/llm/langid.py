@@ -7,10 +7,10 @@ that family alone. Training reads a bounded sample: at most
 ``sample_per_lang`` rows of each language, by the hash of ``doc_id``.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; so is every text when no row is labelled; a repeated row has a row each;
-an empty table gives no rows. Only ``doc_id``, ``text`` and ``lang`` are read,
-``lang`` for training alone, and the columns named in ``carry``, which come
-back as they are.
+0; so is every text when no row is labelled, unless ``unlearned`` names such
+texts with a letter otherwise; a repeated row has a row each; an empty table
+gives no rows. Only ``doc_id``, ``text`` and ``lang`` are read, ``lang`` for
+training alone, and the columns named in ``carry``, which come back as they are.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def train(labelled: DataFrame, sample_per_lang: int = 500) -> LanguageModel | No
     return LanguageModel(x, np.array([r.lang for r in rows], object))
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256, carry: tuple[str, ...] = (), unlearned: str = "und") -> DataFrame:
     """doc_id, lang_pred, score, and the columns ``carry``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of DIMS weights
 
@@ -155,8 +155,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, together: int = 256, c
                 part = batch.slice(at, together)
                 texts = part.column(1).to_pylist()
                 langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-                if known:
+                known = [i for i, t in enumerate(texts) if has_letter(t)]
+                if known and not model:
+                    for i in known:
+                        langs[i] = unlearned
+                elif known:
                     found, p = model.predict(features([texts[i].encode() for i in known]))
                     scores[known] = p
                     for i, lang in zip(known, found):
@@ -174,8 +177,8 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, sample_per_lang: int = 500, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, sample_per_lang: int = 500, carry: tuple[str, ...] = (), unlearned: str = "und") -> DataFrame:
     """doc_id, held_out, lang_pred, score and the columns ``carry``: trained on
     labelled rows that are not held out, predicted for every row."""
     model = train(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), sample_per_lang)
-    return predict(docs, model, carry=carry).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", *carry)
+    return predict(docs, model, carry=carry, unlearned=unlearned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", *carry)
