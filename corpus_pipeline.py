@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokensieve.llm.common import table, written
 from tokensieve.llm.decontaminate import leaks
 from tokensieve.llm.langid import identify
-from tokensieve.llm.line_dedup import dedup_lines
+from tokensieve.llm.line_dedup import dedup_passages
 from tokensieve.llm.packing import pack_documents
 from tokensieve.llm.simhash_dedup import near_duplicates
 
@@ -45,8 +45,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated multi-line chunks out of the texts."""
-    clean = dedup_lines(docs)
+    """Takes repeated passages of two lines or more out of the texts."""
+    clean = dedup_passages(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*(f"`{c}`" for c in docs.columns))

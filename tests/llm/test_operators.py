@@ -376,3 +376,48 @@ def test_pipeline_keeps_texts_when_no_row_is_labelled(spark, odd):
     for docs in (odd, odd.withColumn("lang", F.lit(None).cast("string"))):
         kept = sorted((str(r.doc_id), r.text) for r in stage(spark, docs, SMALL).collect())
         assert kept == sorted((str(r.doc_id), r.text) for r in odd.collect() if any(map(str.isalpha, r.text or "")))
+
+
+def plain_passages(rows):
+    """For distinct (id, hash of the text, text): the lines that stay."""
+    seen = {}
+    for d, h, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        line = (t or "").split("\n")
+        for i in range(len(line) - 1):
+            seen.setdefault((line[i], line[i + 1]), []).append((d, h, i))
+    later = {(d, h, j) for at in seen.values() for d, h, i in at[1:] for j in (i, i + 1)}
+    first = {(d, h, j) for at in seen.values() if len(at) > 1 for d, h, i in at[:1] for j in (i, i + 1)}
+    return {(d, t): t and "\n".join(x for i, x in enumerate(t.split("\n")) if (d, h, i) not in later - first) for d, h, t in rows}
+
+
+def test_passages(spark, odd):
+    r = random.Random(8)
+    word = lambda k, n: " ".join(f"{k}{r.randrange(10**6)}" for _ in range(n))
+    planted = [[word(f"p{n}w", -(-60 // n)) for _ in range(n)] for n in range(2, 11) for _ in range(6)]
+    rows = []
+    for k, lines in enumerate(planted):
+        for copy in range(3):
+            rows.append((100 * copy + k, "\n".join([word("a", 9) for _ in range(r.randrange(4))] + lines + [word("b", 9) for _ in range(r.randrange(1, 4))])))
+    r.shuffle(rows)
+    out = {x.doc_id: x.text for x in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, lines in enumerate(planted):
+        assert "\n".join(lines) in out[k]
+        assert not any(line in out[100 * copy + k] for copy in (1, 2) for line in lines)
+    assert all(len(out[d].split("\n")) == len([x for x in t.split("\n") if x[0] != "p" or d < 100]) for d, t in rows if out[d])
+    mixed = [(r.choice([None, 1, 2, 3, i]), "\n".join(r.choice("abcdef") for _ in range(r.randrange(9)))) for i in range(60)] + [(9, None), (1, "x\nx\nx\nx"), (1, "x\nx\nx\nx")]
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for docs in (spark.createDataFrame(mixed, "doc_id long, text string"), odd, small):
+        keyed = [(x.doc_id, x.h, x.text) for x in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+        want = plain_passages(set(keyed))
+        got = line_dedup.dedup_passages(docs)
+        assert got.columns == [*docs.columns, "removed_lines"]
+        assert sorted(map(str, ((x.doc_id, x.text) for x in got.collect()))) == sorted(map(str, ((d, want[d, t]) for d, _, t in keyed)))
+    assert line_dedup.dedup_passages(odd.limit(0)).count() == 0
+
+
+def test_pipeline_takes_out_short_passages(spark):
+    import corpus_pipeline
+    lines = [" ".join(f"{c}{i}" for i in range(30)) for c in "xy"]
+    docs = spark.createDataFrame([(i, "\n".join([f"start {i}", *lines, f"end {i}"])) for i in range(5)], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SMALL).collect()}
+    assert out == {0: "\n".join(["start 0", *lines, "end 0"]), **{i: f"start {i}\nend {i}" for i in range(1, 5)}}

@@ -5,7 +5,8 @@ closes a chunk wherever it divides by ``mean_lines``. Boundaries depend on
 nearby lines alone, so equal passages are cut alike wherever they stand.
 Chunks of two lines or more are counted by hash; those whose hash repeats are
 compared by their bytes, and every occurrence but the first, by
-(doc_id, place), is removed.
+(doc_id, place), is removed. A passage of a few lines may hold no whole chunk
+and then stays; ``dedup_passages`` finds those too, by all pairs of lines.
 
 Built-in expressions and joins only. Chunk texts are shuffled for repeated hashes
 alone, and a chunk of very many copies is combined before the
@@ -87,6 +88,60 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     )
 
 
+def _pairs(lines: Column, places: Column) -> Column:
+    """(place, text) of each two adjacent lines at ``places`` (of the first)."""
+    return F.transform(places, lambda i: F.struct(i.alias("k"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("t")))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines of repeated passages of two lines or more,
+    and the column ``removed_lines``, prefixed where the input already has it.
+
+    The anchors are all pairs of adjacent lines, overlapping, so a shared
+    passage is found from its second line on and to its last, wherever it
+    stands. Of each pair that repeats, byte for byte, the first occurrence by
+    (doc_id, place) stays whole; the lines of the others go, except those that
+    are also in a first occurrence. A single line that repeats between
+    different lines stays. Nulls, empty texts and repeated rows are as in
+    ``dedup_lines``.
+    """
+    source = docs.withColumn(P + "h", F.xxhash64("text"))
+    row = [F.col("doc_id").alias(P + "doc"), F.col(P + "h").alias(P + "own")]
+    same = F.col("doc_id").eqNullSafe(F.col(P + "doc")) & (F.col(P + "h") == F.col(P + "own"))
+    lines = F.split("text", "\n", -1)
+
+    # rows that agree in id and text are one document, so a pair's places count once
+    slim = source.where(F.contains("text", F.lit("\n"))).select("doc_id", P + "h", "text")
+    firsts = F.sequence(F.lit(0), F.size(P + "lines") - 2)
+    split = slim.withColumn(P + "lines", lines)
+    marks = split.select(*row, F.explode_outer(F.transform(_pairs(F.col(P + "lines"), firsts), lambda c: F.struct(c.k.alias("k"), F.xxhash64(c.t).alias("key")))).alias("c"))
+    marks = written(marks.select(P + "doc", P + "own", "c.k", "c.key"), "marks")
+    often = written(marks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key")), "often")
+    suspect = marks.join(often, F.col("key") == F.col("_key")).groupBy(P + "doc", P + "own").agg(F.collect_set("k").alias("ks"))
+
+    texts = slim.join(suspect, same).drop(P + "doc", P + "own").withColumn(P + "lines", lines)
+    texts = texts.select(*row, F.explode_outer(_pairs(F.col(P + "lines"), F.col("ks"))).alias("c")).select(P + "doc", P + "own", "c.k", "c.t")
+    texts = written(texts.select(P + "doc", P + "own", "k", F.xxhash64("t").alias("key"), "t"), "texts")
+    place = F.struct(P + "doc", P + "own", "k")
+    first = texts.groupBy("key", "t").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
+    first = written(first.select(F.col("key").alias("_key"), F.col("t").alias("_t"), "_first"), "first")
+    # the byte comparison: the key finds, the text decides
+    found = texts.join(first, (F.col("key") == F.col("_key")) & (F.col("t") == F.col("_t"))).select(P + "doc", P + "own", "k", (place == F.col("_first")).alias("stays"))
+    places = lambda stays: F.collect_set(F.when(F.col("stays") == stays, F.col("k")))
+    gone = found.groupBy(P + "doc", P + "own").agg(places(False).alias("later"), places(True).alias("firsts"))
+    both = lambda c: F.array_union(c, F.transform(c, lambda i: i + 1))
+    gone = gone.select(P + "doc", P + "own", F.array_except(both(F.col("later")), both(F.col("firsts"))).alias(P + "gone")).where(F.size(P + "gone") > 0)
+
+    marked = source.join(gone, same, "left").withColumn(P + "lines", F.when(F.col(P + "gone").isNotNull(), lines))
+    # set operations and places, as array_contains would read the array once for each line
+    left = F.array_except(F.sequence(F.lit(0), F.size(P + "lines") - 1), P + "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get(P + "lines", i)), "\n")
+    clean = F.when(F.col(P + "gone").isNull(), F.col("text")).otherwise(kept)
+    name = P + "removed_lines" if "removed_lines" in docs.columns else "removed_lines"
+    return marked.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+                         F.coalesce(F.size(P + "gone"), F.lit(0)).cast("long").alias(name))
+
+
 #: DuckDB's form of the query.
 SQL = """
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
