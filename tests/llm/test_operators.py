@@ -421,3 +421,20 @@ def test_pipeline_takes_out_short_passages(spark):
     docs = spark.createDataFrame([(i, "\n".join([f"start {i}", *lines, f"end {i}"])) for i in range(5)], "doc_id long, text string")
     out = {x.doc_id: x.text for x in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SMALL).collect()}
     assert out == {0: "\n".join(["start 0", *lines, "end 0"]), **{i: f"start {i}\nend {i}" for i in range(1, 5)}}
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Yes"), (2, "f = m a"), (3, "yes"), (4, "(x)"), (5, " \t"), (6, ""), (7, None), (8, "né?"), (9, "a longer item than others"), (10, "1"), (11, "elevenchars")]
+    docs = [(0, "yes"), (1, "eyes yesterday yes_ YES"), (2, "F =\tm a"), (3, "f = m ab"), (4, "a(x)b"), (5, "Né? 10 21"), (6, None), (7, ""), (8, "not a longer item than others, 1"),
+            (9, "x elevenchars"), (None, "ye"), (11, "s yes")]
+    word = lambda t, at: 0 <= at < len(t) and t[at].isalnum()
+    for some in (items, [i for i in items if i[0] != 9]):
+        want = set()
+        for (d, t), (k, b) in itertools.product(docs, some):
+            t, b = ((x or "").lower().replace("\t", " ") for x in (t, b))
+            found = [i for i in range(len(t)) if b.strip() and t.startswith(b, i)
+                     and (len(b) >= 12 or not (word(t, i) and word(t, i - 1) or word(b, len(b) - 1) and word(t, i + len(b))))]
+            want |= {(d, k, found[0], found[0] + len(b), 0)} if found else set()
+        assert want and {(0, 1), (0, 3), (1, 1), (2, 2), (4, 4), (5, 8), (8, 10), (9, 11), (11, 1)} <= {w[:2] for w in want}
+        got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)

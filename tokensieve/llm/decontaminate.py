@@ -10,8 +10,11 @@ kind of white space do not count.
 The benchmark is taken in blocks of bounded size, each shipped to the tasks
 that read the documents; documents are never shuffled.
 
-Defined results: null texts on either side match nothing; items with fewer
-than ``q`` characters match nothing; an item's budget is lowered until its
+Items with fewer than ``q`` characters have no q-gram. They are looked up as
+they are, without edits, where no letter or digit goes on at either end.
+
+Defined results: null texts on either side match nothing, nor do items of
+white space alone with fewer than ``q`` characters; an item's budget is lowered until its
 bound is one shared q-gram at least; repeated documents and items are
 reported once for each pair of rows; an empty table on either side gives no
 rows. Only ``doc_id``, ``item_id`` and ``text`` are read.
@@ -49,6 +52,12 @@ def codes(text: str) -> np.ndarray:
     return c
 
 
+def wordy(c: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits."""
+    found, at = np.unique(c, return_inverse=True)
+    return np.array([chr(x).isalnum() for x in found.tolist()], bool)[at]
+
+
 def grams(c: np.ndarray, q: int) -> np.ndarray:
     """A mixed 64-bit number for the q-gram at each place."""
     n = len(c) - q + 1
@@ -108,9 +117,10 @@ class Items:
 
     def __init__(self, items: list[tuple], q: int, share: float):
         kept = [(k, codes(folded(t))) for k, t in items if t is not None]
+        short = [(k, c) for k, c in kept if len(c) < q and (c != 32).any()]
         kept = [(k, c) for k, c in kept if len(c) >= q]
         self.q = q
-        self.ids = [k for k, _ in kept]
+        self.ids = [k for k, _ in kept + short]
         self.codes = [c for _, c in kept]
         length = np.array([len(c) for c in self.codes], np.int64)
         self.edits = np.array([budget(m, share, q) for m in length.tolist()], np.int64)
@@ -123,6 +133,14 @@ class Items:
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.keys >> np.uint64(64 - TABLE_BITS)] = True
+        #: By length: the short items' hashes in order, their numbers and code points.
+        self.short = {}
+        for m in sorted({len(c) for _, c in short}):
+            own = [i for i, (_, c) in enumerate(short) if len(c) == m]
+            rows = np.stack([short[i][1] for i in own])
+            h = np.concatenate([grams(c, m) for c in rows])
+            order = np.argsort(h, kind="stable")
+            self.short[m] = h[order], np.array(own)[order] + len(kept), rows[order]
 
     def bands(self, h: np.ndarray, doc_of) -> Iterator[tuple[np.ndarray, ...]]:
         """Keys, items, lowest diagonals, documents and counts of the bands hit."""
@@ -144,15 +162,33 @@ class Items:
             found, first, number = np.unique(packed, return_index=True, return_counts=True)
             yield found, item[first], key[first, 1] * wide[first] - (1 << 20), doc_of(pos[first]), number
 
+    def whole(self, line: np.ndarray, doc_of) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, start, end) of each short item that stands alone."""
+        for m, (keys, item, rows) in self.short.items():
+            h = grams(line, m)
+            first, last = np.searchsorted(keys, h, side="left"), np.searchsorted(keys, h, side="right")
+            pos = np.flatnonzero(last > first)
+            # an end that is a letter or digit must not go on
+            before = wordy(line[pos]) & wordy(np.where(pos > 0, line[pos - 1], 0))
+            after = wordy(line[pos + m - 1]) & wordy(line[np.minimum(pos + m, len(line) - 1)])
+            pos = pos[~before & ~after]
+            n = last[pos] - first[pos]
+            row = np.repeat(first[pos], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pos = np.repeat(pos, n)
+            same = (line[pos[:, None] + np.arange(m)] == rows[row]).all(axis=1)
+            pos, row = pos[same], row[same]
+            yield from zip(doc_of(pos).tolist(), item[row].tolist(), pos.tolist(), (pos + m).tolist())
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of every item found."""
-        if not len(self.keys):
+        if not len(self.keys) and not self.short:
             return []
         c = [codes(folded(t)) for t in texts]
         gap = np.zeros(self.q, np.uint64)
         line = np.concatenate([x for own in c for x in (own, gap)])
         starts = np.cumsum([0, *(len(own) + self.q for own in c)])[:-1]
-        parts = list(self.bands(grams(line, self.q), lambda p: np.searchsorted(starts, p, side="right") - 1))
+        doc_of = lambda p: np.searchsorted(starts, p, side="right") - 1
+        parts = list(self.bands(grams(line, self.q), doc_of)) if len(self.keys) else []
         counts: dict[int, tuple] = {}
         for found, item, low, doc, number in parts:
             for key, *rest in zip(found.tolist(), item.tolist(), low.tolist(), doc.tolist(), number.tolist()):
@@ -165,6 +201,10 @@ class Items:
             found = aligned(self.codes[item], c[doc], low - int(starts[doc]) - edits, 4 * edits + 2, edits)
             if found and ((doc, item) not in best or found < best[doc, item]):
                 best[doc, item] = found
+        for doc, item, start, end in self.whole(line, doc_of):
+            start, end = start - int(starts[doc]), end - int(starts[doc])
+            if end <= len(c[doc]) and ((doc, item) not in best or (0, start, end) < best[doc, item]):
+                best[doc, item] = (0, start, end)
         return [(doc, item, start, end, n) for (doc, item), (n, start, end) in best.items()]
 
 
