@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup
+from . import centroids, chat_format, line_dedup, phrases
 from .common import table
 from .decontaminate import leaks
 from .embed_dedup import near_vectors
@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .simhash_dedup import near_duplicates
 from .simple8b import token_files
 from .suffix_dedup import remove_repeats
+from .toxicity import toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +60,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=100, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_html_extraction, op3_embedding_near_dedup, op4_best_fit_packing, op5_line_dedup,
-    op6_suffix_array_dedup, op7_simhash_near_dedup, op8_token_files, op9_language_id, op10_decontamination)}
+    op6_suffix_array_dedup, op7_simhash_near_dedup, op8_token_files, op9_language_id, op10_decontamination,
+    op11_toxicity, op12_centroid_clustering, op13_phrase_mining)}
 
 SQL = {
     "op1_chat_formatting": chat_format.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op12_centroid_clustering": centroids.SQL,
+    "op13_phrase_mining": phrases.SQL,
 }
