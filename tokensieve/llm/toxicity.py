@@ -49,6 +49,8 @@ SLICE = 1 << 20
 WORDS = 1 << 18
 #: Histogram of word scores: bins of a twentieth from -16 to 16.
 BINS, STEP = 640, 0.05
+#: The largest toxic share that a level hands down as prior mean.
+SURE = 0.98
 #: Evidence of a text without a segment, and the most that is told apart.
 NONE, MOST = -10.0, 200.0
 
@@ -66,14 +68,12 @@ def words_of(text: str) -> Iterator[list[str]]:
 
 def features_of(words: list[str]) -> np.ndarray:
     """64-bit keys of each word: its stems and itself; 0 where a stem is the whole word or more."""
-    rows = np.zeros((len(words), len(STEMS) + 1), np.uint64)
-    for row, word in zip(rows, words):
-        word = word.lower()
-        for j, n in enumerate(STEMS):
-            if len(word) > n:
-                row[j] = xxhash.xxh64_intdigest(word[:n], n)
-        row[-1] = xxhash.xxh64_intdigest(word)
-    return rows
+    digest = xxhash.xxh64_intdigest
+    keys = []
+    for word in map(str.lower, words):
+        keys.extend([digest(word[:n], n) if len(word) > n else 0 for n in STEMS])
+        keys.append(digest(word))
+    return np.array(keys, np.uint64).reshape(len(words), len(STEMS) + 1)
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -121,23 +121,31 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
+    def counts(self, half: int | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Toxic and clean occurrences of each feature and the toxic share of all words, of both halves or the other one."""
+        use = [0, 1] if half is None else [1 - half]
+        return self.toxic[:, use].sum(axis=1), self.clean[:, use].sum(axis=1), self.share[use].mean()
+
     def word_scores(self, words: list[str], half: int | None = None) -> np.ndarray:
         """Scores by the counts of both halves, or by those of the other half only."""
-        known = self.known.setdefault(half, {})
+        if half not in self.known:
+            self.known[half] = ({}, *self.counts(half))
+        known, toxic, clean, base = self.known[half]
         if len(known) > WORDS:
             known.clear()
         new = list(set(words).difference(known))
         if new:
-            at = np.minimum(np.searchsorted(self.keys, rows := features_of(new)), max(0, len(self.keys) - 1))
-            use = [0, 1] if half is None else [1 - half]
-            t, c = self.toxic[:, use].sum(axis=1), self.clean[:, use].sum(axis=1)
-            base = self.share[use].mean()
-            p = np.full(len(new), base)
-            for j in range(rows.shape[1] if len(self.keys) else 0):
-                hit = self.keys[at[:, j]] == rows[:, j]
-                i = at[hit, j]
-                p[hit] = (t[i] + self.prior * p[hit]) / (t[i] + c[i] + self.prior)
-            odds = np.log(p / (1 - p)) - np.log(base / (1 - base)) - self.margin
+            rows = features_of(new)
+            p, q = np.full(len(new), base), np.full(len(new), 1 - base)
+            at = np.minimum(np.searchsorted(self.keys, rows), max(0, len(self.keys) - 1))
+            hits = (self.keys[at] == rows) & (rows > 0) if len(self.keys) else np.zeros(rows.shape, bool)
+            for j in np.flatnonzero(hits.any(axis=0)):
+                hit = hits[:, j]
+                t, c = toxic[at[hit, j]], clean[at[hit, j]]
+                # a prior is never surer than SURE, so that stems do not vouch for each other without end
+                mean = np.clip(p[hit] / (p[hit] + q[hit]), 1 - SURE, SURE)
+                p[hit], q[hit] = t + self.prior * mean, c + self.prior * (1 - mean)
+            odds = np.log(p / q) - np.log(base / (1 - base)) - self.margin
             known.update(zip(new, odds.tolist()))
         return np.fromiter(map(known.__getitem__, words), float, len(words))
 
