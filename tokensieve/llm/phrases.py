@@ -1,22 +1,22 @@
 """Collocations: phrases mined by partitioning (SON), scored exactly.
 
-Documents are dealt to ``shards`` by a hash of id and text. A phrase that occurs
-``support`` times in a language must, in one shard at least, reach that
-support times the shard's share of the language's bytes. So each shard is mined
-completely at this lowered support, all shards side by side: phrases of one
-word first, then of two and so on, where a longer one is counted only if both
-its parts of one word less are locally frequent. Local counts are keyed
-by 64-bit hashes and combined in each task before the shuffle; what is locally
-frequent goes to the tasks of the next length as one bitmap of bounded size
-(``MAX_BITS``), which may let more through, never less. The union of all shards is then
-counted over all documents by the words themselves, so neither a hash nor
-the bitmap has a say in any count.
+The tasks that read the documents are dealt to ``shards``; each writes its texts
+as 32-bit hashes of words. A phrase that occurs ``support`` times in a language must, in
+one shard at least, reach that support times the shard's share of the
+language's words. So each shard is mined completely at this lowered support, all
+shards side by side: phrases of one word first, then of two and so on, where a
+longer one is counted only if both its parts of one word less are locally
+frequent. Local counts are keyed by hashes and combined in each task before the
+shuffle; what is locally frequent goes to the tasks of the next length as one bitmap of bounded
+size (``MAX_BITS``). Equal hashes and the bitmap may let more through, never less. The
+union of all shards is then counted over all documents by the words
+themselves, so neither has a say in any count.
 
 Defined results: a null text is empty, a null language ``und``; the same row
 twice counts twice; an empty table gives no rows. Very long texts are read in
 pieces of ``SLICE`` bytes, cut at a separator, with the last words carried on, so
 nothing is cut off and memory stays bounded. Equal scores rank by a, then by the
-phrase's bytes, which differ. Only ``doc_id``, ``text`` and ``lang`` are read.
+phrase's bytes, which differ. Only ``text`` and ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -26,16 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 LONGEST = 5
-#: Words counted together, texts read together, and words known by number at a time: each bounds a task's memory.
-TOKENS, SLICE, VOCABULARY = 1 << 20, 1 << 22, 1 << 20
-#: Keys that a task combines before it sends them.
-COMBINED = 1 << 22
+#: Words counted together (when mining, when counting exactly), texts read together, and words known by number at a time: each bounds a task's memory.
+MINED, COUNTED, SLICE, VOCABULARY = 1 << 22, 1 << 19, 1 << 20, 1 << 18
 #: A bitmap has 16 bits for each key, 32 MB at most.
 MAX_BITS = 1 << 28
 #: Fixed values of the contract: A-Z in lower case, a tab is a space, piece separators as a byte that UTF-8 has not.
@@ -55,9 +54,9 @@ def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def place(h: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
-    """Where a key of a shard stands in a bitmap of ``bits`` (a power of two)."""
-    return mix(h + np.asarray(shard).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
+def place(h: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray:
+    """Where a key of a group stands in a bitmap of ``bits`` (a power of two)."""
+    return mix(h + np.asarray(group).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
 
 
 def hit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -77,18 +76,31 @@ def word_lists(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def word_hash(word: bytes) -> int:
+    """32 bits, 0 for a stop only."""
+    return 0 if word == STOP else xxhash.xxh32_intdigest(word) or 1
+
+
+class Numbers(dict):
+    """Hashes of words, each computed once while it is known."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = word_hash(word)
+        return h
+
+
 class Reader:
     """Numbers the words of a task's documents and hands them out in bounded blocks.
 
-    A block is (ids, hashes, shards, langs, fresh): 0 is a stop, and only
-    phrases that end at ``fresh`` or later are new in it.
+    A block is (ids, hashes, langs, fresh): 0 is a stop, and only phrases that
+    end at ``fresh`` or later are new in it.
     """
 
     def __init__(self):
         self.forget()
         self.langs: list[str] = []
-        self.ids, self.shards, self.lang, self.size = [], [], [], 0
-        self.carried = 0
+        self.salts: list[int] = []
+        self.ids, self.lang, self.size, self.carried = [], [], 0, 0
 
     def forget(self):
         self.number = {STOP: 0}
@@ -98,116 +110,120 @@ class Reader:
         for w in set(words).difference(self.number):
             self.number[w] = len(self.words)
             self.words.append(w)
-            self.hashes.append(xxhash.xxh64_intdigest(w))
+            self.hashes.append(word_hash(w))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
-    def add(self, ids: np.ndarray, shard: int, lang: int):
+    def add(self, ids: np.ndarray, lang: int):
         self.ids.append(ids)
-        self.shards.append(np.full(len(ids), shard, np.int64))
         self.lang.append(np.full(len(ids), lang, np.int64))
         self.size += len(ids)
 
     def block(self):
-        ids, shards, lang = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.ids, self.shards, self.lang))
-        salt = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs] or [0], np.uint64)
-        h = mix(np.array(self.hashes, np.uint64)[ids] + salt[lang]) if len(ids) else np.empty(0, np.uint64)
-        return ids, h, shards, lang, self.carried
+        ids, lang = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (self.ids, self.lang))
+        h = np.array(self.hashes, np.uint64)[ids]
+        return ids, mix(h + np.array(self.salts, np.int64).view(np.uint64)[lang]) if len(ids) else h, lang, self.carried
 
     def next_block(self):
         """Starts a new block with the last words of this one, and with a new vocabulary if it is full."""
-        ids, shards, lang = (np.concatenate(x)[-(LONGEST - 1):] for x in (self.ids, self.shards, self.lang))
+        ids, lang = (np.concatenate(x)[-(LONGEST - 1):] for x in (self.ids, self.lang))
         if len(self.words) > VOCABULARY:
             words = [self.words[i] for i in ids]
             self.forget()
             ids = self.number_of(words)
-        self.ids, self.shards, self.lang, self.size, self.carried = [ids], [shards], [lang], len(ids), len(ids)
+        self.ids, self.lang, self.size, self.carried = [ids], [lang], len(ids), len(ids)
 
     def blocks(self, batches: Iterator[pa.RecordBatch]):
-        """Blocks over batches of (shard, lang, text)."""
+        """Blocks over batches of (salt, lang, text)."""
         stop = np.zeros(1, np.int64)
         seen: dict[str, int] = {}
         for batch in batches:
-            for shard, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for salt, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if lang not in seen:
                     seen[lang] = len(self.langs)
                     self.langs.append(lang)
+                    self.salts.append(salt)
                 for words in word_lists(text.encode()):
-                    self.add(self.number_of(words), shard, seen[lang])
-                    if self.size > TOKENS:
+                    self.add(self.number_of(words), seen[lang])
+                    if self.size > COUNTED:
                         yield self.block()
                         self.next_block()
-                self.add(stop, shard, seen[lang])
+                self.add(stop, seen[lang])
         yield self.block()
 
 
-def phrases_of(ids: np.ndarray, h: np.ndarray, size: int):
-    """For each place: is a phrase of ``size`` words there, and its hash."""
-    n = len(ids) - size + 1
-    if n <= 0:
+def longer_phrases(whole: np.ndarray, key: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the places and hashes of phrases of ``size - 1`` words (``whole``, ``key``) those of one word more;
+    ``h`` are the words' hashes. Both parts of a phrase must be among the shorter ones."""
+    if len(whole) < 2:
         return np.empty(0, bool), np.empty(0, np.uint64)
-    whole, key = ids[:n] > 0, h[:n]
-    for k in range(1, size):
-        whole = whole & (ids[k:n + k] > 0)
-        key = joined(key, h[k:n + k])
-    return whole, key
+    return whole[:-1] & whole[1:], joined(key[:-1], h[size - 1:])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """salt (of the language), lang, text of each document."""
+    lang = F.coalesce("lang", F.lit("und"))
+    return docs.select(F.xxhash64(lang).alias("salt"), lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def keyed(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, lang, text of each document."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).cast("int").alias("shard"),
-                       F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
+def encoded(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, lang, salt, n, words): the texts as 32-bit hashes, 0 between pieces,
+    a row for each slice; a slice begins with the last words of the one before."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() % shards
+        known = Numbers()
+        for batch in batches:
+            out = []
+            for salt, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                last = np.empty(0, np.uint32)
+                for words in word_lists(text.encode()):
+                    h = np.concatenate([last, np.fromiter(map(known.__getitem__, words), np.uint32, len(words))])
+                    last = h[-(LONGEST - 1):]
+                    out.append((shard, lang, salt, int(np.count_nonzero(h)), h.astype("<u4").tobytes()))
+                    if len(known) > VOCABULARY:
+                        known.clear()
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["shard", "lang", "salt", "n", "words"])
 
-def _combine(parts: list[tuple]) -> tuple:
-    """Equal (key, shard, language) of (key, hash, shard, language, count) added up."""
-    key, h, shard, lang, n = (np.concatenate(x) for x in zip(*parts))
-    _, first, group = np.unique(key, return_index=True, return_inverse=True)
-    return key[first], h[first], shard[first], lang[first], np.bincount(group, weights=n, minlength=len(first)).astype(np.int64)
+    return written(rows.mapInArrow(run, "shard int, lang string, salt long, n long, words binary"), "phrase-words")
 
 
-def local_counts(rows: DataFrame, size: int, before=None, bits: int = 0) -> DataFrame:
-    """(shard, lang, h, n): parts of the local counts of phrases of ``size`` words.
+def local_counts(words: DataFrame, size: int, before=None, bits: int = 0) -> DataFrame:
+    """(g, h, n): parts of the local counts of phrases of ``size`` words; ``g`` is shard and language.
 
     ``before``: the broadcast bitmap of locally frequent phrases of one word less.
     """
 
+    def counted(group: int, salt: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        h = mix(ids.astype(np.uint64) + np.array([salt], np.int64).view(np.uint64))
+        whole, key = ids > 0, h
+        for k in range(2, size + 1):
+            if k == size:
+                whole = whole.copy()
+                whole[whole] = hit(before.value, place(key[whole], group, bits))
+            whole, key = longer_phrases(whole, key, h, k)
+        h, n = np.unique(key[whole], return_counts=True)
+        return pa.record_batch([pa.array(np.full(len(h), group, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["g", "h", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, parts, held = Reader(), [], 0
-
-        def out(part):
-            _, h, shard, lang, n = part
-            names = pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(reader.langs, pa.string()))
-            return pa.record_batch([pa.array(shard.astype(np.int32)), names.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n)],
-                                   ["shard", "lang", "h", "n"])
-
-        for ids, h, shard, lang, fresh in reader.blocks(batches):
-            whole, key = phrases_of(ids, h, size)
-            if before is not None and len(whole):
-                shorter, part = phrases_of(ids, h, size - 1)
-                shorter[shorter] = hit(before.value, place(part[shorter], shard[:len(part)][shorter], bits))
-                whole = whole & shorter[:-1] & shorter[1:]
-            whole[:max(0, fresh - size + 1)] = False
-            at = np.flatnonzero(whole)
-            if len(at):
-                k = key[at]
-                # equal keys are equal phrases of one shard; the language is in the hash
-                parts.append(_combine([(mix(k + shard[at].astype(np.uint64)), k, shard[at], lang[at], np.ones(len(at)))]))
-                held += len(parts[-1][0])
-            if held > COMBINED:
-                parts = [_combine(parts)]
-                held = len(parts[0][0])
-                if held > COMBINED // 2:
-                    yield out(parts.pop())
-                    held = 0
-        if parts:
-            yield out(_combine(parts))
-
-    return rows.mapInArrow(run, "shard int, lang string, h long, n long")
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        number, stop = 0, np.zeros(1, np.uint32)
+        for batch in batches:
+            for group, salt, words in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(words, "<u4")
+                held.setdefault((group, salt), []).extend((ids, stop))
+                number += len(ids)
+                if number > MINED:
+                    yield from (counted(*k, parts) for k, parts in held.items())
+                    held, number = {}, 0
+        yield from (counted(*k, parts) for k, parts in held.items())
+
+    return words.select("g", "salt", "words").mapInArrow(run, "g int, h long, n long")
 
 
 def bitmap(keys: DataFrame, count: int):
-    """The broadcast bitmap of ``keys`` (shard, h) and its number of bits.
+    """The broadcast bitmap of ``keys`` (g, h) and its number of bits.
 
     Tasks set the bits of one range each, so the driver gets each bit once."""
     bits = min(MAX_BITS, max(1 << 13, 1 << (16 * count - 1).bit_length()))
@@ -228,7 +244,7 @@ def bitmap(keys: DataFrame, count: int):
         yield pa.record_batch([pa.array(list(own), pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in own.values()], pa.binary())],
                               ["range", "bits"])
 
-    parts = keys.select("shard", "h").mapInArrow(positions, "range int, at int").repartition(ranges, "range").mapInArrow(pack, "range int, bits binary")
+    parts = keys.select("g", "h").mapInArrow(positions, "range int, at int").repartition(ranges, "range").mapInArrow(pack, "range int, bits binary")
     table = np.zeros(bits // 8, np.uint8)
     for r, packed in parts.collect():  # MAX_BITS / 8 bytes at most
         table[r * width // 8:(r + 1) * width // 8] = np.frombuffer(packed, np.uint8)
@@ -237,21 +253,20 @@ def bitmap(keys: DataFrame, count: int):
 
 def candidate_hashes(rows: DataFrame, support: int, shards: int, longest: int) -> DataFrame | None:
     """(h): hashes of all phrases that are frequent in one shard at least."""
-    size = F.octet_length("text") + 1
-    per = rows.groupBy("shard", "lang").agg(F.sum(size).alias("own"))
-    least = written(per.join(per.groupBy("lang").agg(F.sum("own").alias("whole")), "lang").select(
-        F.col("shard").alias("_shard"), F.col("lang").alias("_lang"), (F.lit(support) * F.col("own") / F.col("whole") * (1 - 1e-9)).alias("least")), "local-support")
+    words = encoded(rows, shards).withColumn("g", F.hash("shard", "lang"))
+    per = words.groupBy("g", "lang").agg(F.sum("n").alias("own"))
+    share = per.join(per.groupBy("lang").agg(F.sum("own").alias("whole")), "lang")
+    # a row for each language of a shard; two under one hash take the lesser
+    least = written(share.groupBy(F.col("g").alias("_g")).agg(F.min(F.lit(support) * F.col("own") / F.col("whole") * (1 - 1e-9)).alias("least")), "local-support")
     found, before, bits = [], None, 0
-    for words in range(1, longest + 1):
-        counts = local_counts(rows, words, before, bits).groupBy("shard", "lang", "h").agg(F.sum("n").alias("n"))
-        # as many rows as languages times shards
-        frequent = counts.join(least, (F.col("shard") == F.col("_shard")) & (F.col("lang") == F.col("_lang"))).where("n >= least")
-        level = written(frequent.select("shard", "h"), f"locally-frequent-{words}")
+    for size in range(1, longest + 1):
+        counts = local_counts(words, size, before, bits).groupBy("g", "h").agg(F.sum("n").alias("n"))
+        level = written(counts.join(least, F.col("g") == F.col("_g")).where("n >= least").select("g", "h"), f"locally-frequent-{size}")
         count = level.count()
         if not count:
             break
         found.append(level.select("h"))
-        if words < longest:
+        if size < longest:
             before, bits = bitmap(level, count)
     if not found:
         return None
@@ -264,30 +279,32 @@ def candidate_hashes(rows: DataFrame, support: int, shards: int, longest: int) -
 def exact_counts(rows: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
     """(lang, words, phrase, n): every candidate counted by its words over all
     documents; the row of 0 words counts the language's words."""
-    lookup, bits = bitmap(candidates.select(F.lit(0).alias("shard"), "h"), candidates.count())
+    lookup, bits = bitmap(candidates.select(F.lit(0).alias("g"), "h"), candidates.count())
+
+    def rows_of(langs, names, size, texts, n):
+        lang = pa.DictionaryArray.from_arrays(pa.array(langs.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+        return pa.record_batch([lang, pa.array(np.full(len(n), size, np.int32)), pa.array(texts, pa.string()), pa.array(n)], ["lang", "words", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        for ids, h, _, lang, fresh in reader.blocks(batches):
-            for size in range(longest + 1):
-                whole, key = phrases_of(ids, h, max(size, 1))
-                whole[:max(0, fresh - max(size, 1) + 1)] = False
-                if size:
-                    whole[whole] = hit(lookup.value, place(key[whole], 0, bits))
+        for ids, h, lang, fresh in reader.blocks(batches):
+            whole, key = ids > 0, h
+            n = np.bincount(lang[fresh:][whole[fresh:]])
+            if len(n):
+                has = np.flatnonzero(n)
+                yield rows_of(has, reader.langs, 0, [""] * len(has), n[has])
+            for size in range(1, longest + 1):
+                if size > 1:
+                    whole, key = longer_phrases(whole, key, h, size)
+                # a phrase whose part is no candidate is none
+                whole = whole.copy()
+                whole[whole] = hit(lookup.value, place(key[whole], 0, bits))
                 at = np.flatnonzero(whole)
-                if not len(at):
-                    continue
-                if not size:
-                    n = np.bincount(lang[at])
-                    langs = np.flatnonzero(n)
-                    texts, n = [""] * len(langs), n[langs]
-                else:
+                at = at[at + size > fresh]
+                if len(at):
                     first, n = _same(ids, lang, key, at, size)
-                    texts = [b" ".join([reader.words[i] for i in ids[p:p + size]]).decode() for p in first]
-                    langs = lang[first]
-                names = pa.DictionaryArray.from_arrays(pa.array(langs.astype(np.int32)), pa.array(reader.langs, pa.string()))
-                yield pa.record_batch([names.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(texts, pa.string()), pa.array(n)],
-                                      ["lang", "words", "phrase", "n"])
+                    texts = [b" ".join([reader.words[i] for i in place]).decode() for place in ids[first[:, None] + np.arange(size)].tolist()]
+                    yield rows_of(lang[first], reader.langs, size, texts, n)
 
     parts = rows.mapInArrow(run, "lang string, words int, phrase string, n long")
     return parts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
@@ -322,7 +339,7 @@ def exact_score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa:
 
 def collocations(docs: DataFrame, support: int = 100, top: int = 2000, shards: int = 8, longest: int = LONGEST) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: see the contract of op13."""
-    rows = keyed(docs, shards)
+    rows = keyed(docs)
     hashes = candidate_hashes(rows, support, shards, longest)
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
     if hashes is None:
