@@ -179,7 +179,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()) \
         .groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     own = docs.where(~held_out()).select(F.col("doc_id"), text_or_empty().alias("text"))
-    rows = own.join(known, F.col("doc_id") == F.col("_id"))
+    # labels grow with the documents: both sides are shuffled at every size
+    rows = own.join(known.hint("merge"), F.col("doc_id") == F.col("_id"))
     return written(rows.select("text", F.col("_toxic").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "toxicity-train")
 
 
