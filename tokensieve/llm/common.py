@@ -25,12 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the
     lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tokensieve/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,8 @@ from .common import written
 LONGEST = 5
 #: Words counted together (when mining, when counting exactly), texts read together, and words known by number at a time: each bounds a task's memory.
 MINED, COUNTED, SLICE, VOCABULARY = 1 << 22, 1 << 19, 1 << 20, 1 << 18
+#: Phrases are mined under hashes of 48 bits, which take less of a shuffle than 64.
+MASK = np.uint64((1 << 48) - 1)
 #: A bitmap has 16 bits for each key, 32 MB at most.
 MAX_BITS = 1 << 28
 #: Fixed values of the contract: A-Z in lower case, a tab is a space, piece separators as a byte that UTF-8 has not.
@@ -56,7 +58,7 @@ def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def place(h: np.ndarray, group: np.ndarray | int, bits: int) -> np.ndarray:
     """Where a key of a group stands in a bitmap of ``bits`` (a power of two)."""
-    return mix(h + np.asarray(group).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
+    return mix((h & MASK) + np.asarray(group).astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(bits - 1)
 
 
 def hit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def encoded(rows: DataFrame, shards: int) -> DataFrame:
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["shard", "lang", "salt", "n", "words"])
 
-    return written(rows.mapInArrow(run, "shard int, lang string, salt long, n long, words binary"), "phrase-words")
+    return written(rows.mapInArrow(run, "shard int, lang string, salt long, n long, words binary"), "phrase-words", "zstd")
 
 
 def local_counts(words: DataFrame, size: int, before=None, bits: int = 0) -> DataFrame:
@@ -203,7 +205,7 @@ def local_counts(words: DataFrame, size: int, before=None, bits: int = 0) -> Dat
                 whole = whole.copy()
                 whole[whole] = hit(before.value, place(key[whole], group, bits))
             whole, key = longer_phrases(whole, key, h, k)
-        h, n = np.unique(key[whole], return_counts=True)
+        h, n = np.unique(key[whole] & MASK, return_counts=True)
         return pa.record_batch([pa.array(np.full(len(h), group, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["g", "h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
