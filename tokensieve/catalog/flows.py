@@ -79,7 +79,7 @@ def q_mc_evaluation(spark, sf):
 # per-question results shared by C8 / C10 (SQL)
 _QRES = duckdb_with("questions", "responses", "configs") + _COUNTS + f"""
 , q AS (SELECT question_id, image_id, (image_id % 13)::BIGINT AS group_id,
-          CASE WHEN question_id % 2 = 0 THEN 'yes' ELSE 'no' END AS answer
+          CASE WHEN turn % 2 = 0 THEN 'yes' ELSE 'no' END AS answer
         FROM questions WHERE question IS NOT NULL AND length(question) > 0)
 , j AS (SELECT c.config_id, c.keep_ratio, c.recovery_ratio, q.question_id, q.image_id, q.group_id, q.answer,
           cnt.pruned_token, r.question_id IS NOT NULL AS api_success, r.content

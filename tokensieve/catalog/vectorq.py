@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import kernels as K
 from ..operators import scores as SC
 from ..operators import select as S
+from ..operators.tiles import attention_sums
 from ..plans import pruners as P
 from ..sources import tables as tb
 from .sqlbits import duckdb_with
@@ -68,7 +69,7 @@ def q_text_image_similarity(spark, sf):
 SELECT k.group_id, k.token_idx, round(max(list_dot_product(k.vec, t.vec)), 6) AS text_score
 FROM tokens k JOIN text_tokens t ON k.group_id = t.group_id GROUP BY ALL""")
 def q_max_pool_similarity(spark, sf):
-    s = SC.max_pool_similarity(SC.text_image_similarity(tb.tokens(spark, sf), tb.text_tokens(spark, sf)))
+    s = SC.max_pool_similarity(tb.tokens(spark, sf), tb.text_tokens(spark, sf))
     return s.select(G, "token_idx", r6(F.col("text_score")).alias("text_score"))
 
 
@@ -249,16 +250,11 @@ _ATTN = _T + """
 """
 
 
-def attn_df(spark, sf):
-    sims = SC.text_image_similarity(tb.tokens(spark, sf), tb.text_tokens(spark, sf))
-    return SC.softmax(sims.withColumnRenamed("sim", "d"), [G, "t_idx"], "d", "a").select(G, "t_idx", "token_idx", "a")
-
-
 @register("entropy_scores", _ATTN + """
 , c AS (SELECT *, greatest(a / (sum(a) OVER (PARTITION BY group_id, token_idx) + 1e-10), 1e-10) AS p FROM attn)
 SELECT group_id, token_idx, round(-0.1 * -sum(p * ln(p)), 9) AS entropy_score FROM c GROUP BY ALL""")
 def q_entropy_scores(spark, sf):
-    e = SC.entropy_scores(attn_df(spark, sf), 0.1)
+    e = SC.entropy_scores(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
     return e.select(G, "token_idx", r9(F.col("entropy_score")).alias("entropy_score"))
 
 
@@ -267,7 +263,7 @@ def q_entropy_scores(spark, sf):
 , c AS (SELECT *, greatest(m / (sum(m) OVER (PARTITION BY group_id) + 1e-10), 1e-10) AS p FROM m)
 SELECT group_id, round(-0.1 * -sum(p * ln(p)), 9) AS entropy_score FROM c GROUP BY ALL""")
 def q_entropy_scores_headmean(spark, sf):
-    e = SC.entropy_scores_headmean(attn_df(spark, sf), 0.1)
+    e = SC.entropy_scores_headmean(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
     return e.select(G, r9(F.col("entropy_score")).alias("entropy_score"))
 
 
@@ -285,7 +281,7 @@ SELECT group_id, token_idx, round(0.5 * (cls_score - min(cls_score) OVER w) / (m
 FROM j WINDOW w AS (PARTITION BY group_id)""")
 def q_hybrid_importance(spark, sf):
     t = tb.tokens(spark, sf)
-    ts = SC.max_pool_similarity(SC.text_image_similarity(t, tb.text_tokens(spark, sf)))
+    ts = SC.max_pool_similarity(t, tb.text_tokens(spark, sf))
     h = SC.hybrid_importance(t, ts, 0.5)
     return h.select(G, "token_idx", r9(F.col("hybrid_score")).alias("hybrid_score"))
 
@@ -300,7 +296,7 @@ SELECT group_id, token_idx,
 FROM j WINDOW w AS (PARTITION BY group_id)""")
 def q_combined_guidance_score(spark, sf):
     t = tb.tokens(spark, sf)
-    ts = SC.max_pool_similarity(SC.text_image_similarity(t, tb.text_tokens(spark, sf)))
+    ts = SC.max_pool_similarity(t, tb.text_tokens(spark, sf))
     j = t.join(ts, [G, "token_idx"])
     a = SC.combined_guidance_score(j, G, "text_score", "cls_score", 0.5).withColumnRenamed("guidance_score", "sel")
     b = SC.combined_guidance_score(a, G, "text_score", "cls_score", 0.5, soften_cls=True)
@@ -391,8 +387,7 @@ SELECT group_id, token_idx, rank, round(sc, 9) AS recovery_score FROM r WHERE ra
 def q_recover_by_attention_sum(spark, sf):
     t = tb.tokens(spark, sf)
     pr = S.set_difference(t, S.important_topk(t, G, "cls_score", 10), G).select(G, "token_idx")
-    a = attn_df(spark, sf).join(pr, [G, "token_idx"])
-    r = S.recover_by_attention_sum(a, G, 5)
+    r = S.recover_by_attention_sum(pr, attention_sums(t, tb.text_tokens(spark, sf), [G]), G, 5)
     return r.select(G, "token_idx", "rank", r9(F.col("recovery_score")).alias("recovery_score"))
 
 
@@ -453,9 +448,9 @@ def q_uniform_sample(spark, sf):
 , c AS (SELECT *, CAST(trunc(keep * 0.6) AS INTEGER) AS imp FROM b)
 SELECT config_id, group_id, n - imp AS remaining, keep - imp AS diverse,
   CASE WHEN keep >= n THEN 'keep_all' WHEN n - imp <= keep - imp THEN 'take_remaining'
-       WHEN n - imp > 20 THEN 'presample' ELSE 'full' END AS branch,
+       WHEN n - imp > 500 THEN 'presample' ELSE 'full' END AS branch,
   CASE WHEN keep >= n THEN 0 WHEN n - imp <= keep - imp THEN n - imp
-       WHEN n - imp > 20 THEN least((keep - imp) * 4, n - imp) ELSE n - imp END AS candidates
+       WHEN n - imp > 500 THEN least((keep - imp) * 4, n - imp) ELSE n - imp END AS candidates
 FROM c""")
 def q_presample_rule(spark, sf):
     t = tb.tokens(spark, sf)
@@ -464,9 +459,9 @@ def q_presample_rule(spark, sf):
     c = P._budget(config_sweep(n, tb.configs(spark)))
     rem = F.col("n") - F.col("imp")
     branch = (F.when(F.col("keep") >= F.col("n"), "keep_all").when(rem <= F.col("div"), "take_remaining")
-              .when(rem > 20, "presample").otherwise("full"))
+              .when(rem > 500, "presample").otherwise("full"))
     cands = (F.when(F.col("keep") >= F.col("n"), 0).when(rem <= F.col("div"), rem)
-             .when(rem > 20, F.least(F.col("div") * 4, rem)).otherwise(rem))
+             .when(rem > 500, F.least(F.col("div") * 4, rem)).otherwise(rem))
     return c.select("config_id", G, rem.alias("remaining"), F.col("div").alias("diverse"),
                     branch.alias("branch"), cands.cast("int").alias("candidates"))
 
@@ -603,13 +598,13 @@ def q_recover_diverse(spark, sf):
 @register("prune_attention_diverse")
 def q_prune_attention_diverse(spark, sf):
     return P.prune_attention_diverse(tb.tokens(spark, sf), tb.text_tokens(spark, sf), tb.configs(spark),
-                                     presample_threshold=20)
+                                     presample_threshold=500)
 
 
 @register("prune_attention_textweighted")
 def q_prune_attention_textweighted(spark, sf):
     return P.prune_attention_textweighted(tb.tokens(spark, sf), tb.text_tokens(spark, sf),
-                                          tb.configs(spark, text_weights=(0.0, 0.5)), presample_threshold=20)
+                                          tb.configs(spark, text_weights=(0.0, 0.5)), presample_threshold=500)
 
 
 @register("prune_multi_query")
@@ -732,8 +727,8 @@ SQL["diverse_text_guided"] = _rec_text_guided_sql(_REC_K)
 SQL["dpp_map"] = _rec_dpp_sql(_REC_K)
 
 
-# ------------------------------------------------------------------ C1 oracle (threshold 20, 12-config grid)
-def _rec_c1_sql(threshold: int = 20, seed: int = 42) -> str:
+# ------------------------------------------------------------------ C1 oracle (threshold 500, 12-config grid)
+def _rec_c1_sql(threshold: int = 500, seed: int = 42) -> str:
     u = V.uniform_sql_duckdb(seed, "group_id", "level_id", "token_idx")
     head = duckdb_with("tokens", "text_tokens", "configs").replace("WITH ", "WITH RECURSIVE ", 1)
     return head + f"""
@@ -781,7 +776,7 @@ FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id)
 WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0)"""
 
 
-SQL["prune_attention_diverse"] = _rec_c1_sql(20)
+SQL["prune_attention_diverse"] = _rec_c1_sql()
 
 
 # ------------------------------------------------------------------ C5 oracle (keep 0.25, no recovery)
@@ -887,8 +882,8 @@ WHERE rank < greatest(least(CAST(trunc(0.1 * n) AS INTEGER), n - keep), 0)"""
 SQL["prune_multi_query"] = _c4_sql()
 
 
-# ------------------------------------------------------------------ C2 oracle (threshold 20, text weight 0 / 0.5)
-def _c2_sql(threshold: int = 20, seed: int = 42) -> str:
+# ------------------------------------------------------------------ C2 oracle (threshold 500, text weight 0 / 0.5)
+def _c2_sql(threshold: int = 500, seed: int = 42) -> str:
     u = V.uniform_sql_duckdb(seed, "group_id", "level_id", "token_idx")
     head = duckdb_with("tokens", "text_tokens").replace("WITH ", "WITH RECURSIVE ", 1)
     grid = ", ".join(f"({i}, {k}::DOUBLE, {r}::DOUBLE, {w}::DOUBLE)" for i, (k, r, w) in enumerate(
@@ -952,7 +947,7 @@ FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id)
 WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0)"""
 
 
-SQL["prune_attention_textweighted"] = _c2_sql(20)
+SQL["prune_attention_textweighted"] = _c2_sql()
 
 
 # ------------------------------------------------------------------ C3 oracle (12-config grid, hybrid weight 0.5)

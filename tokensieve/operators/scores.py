@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
+from ..session import written
+from .tiles import attention_entropy, attention_sums, largest_similarity, similarity_rows
 
 # Guards used by the reference's score formulas.
 MINMAX_EPS = 1e-8
@@ -47,29 +49,27 @@ def softmax(df: DataFrame, keys, col: str, out: str) -> DataFrame:
 
 # J7
 def text_image_similarity(tokens: DataFrame, text_tokens: DataFrame, normalise: bool = False) -> DataFrame:
-    """Every question vector x every token of the same group: (group, t_idx, token_idx, sim).
-
-    Questions per group are few (bounded), so this is |tokens| x T rows.
-    """
-    tv = F.col("t.vec")
-    kv = F.col("k.vec")
+    """Every question vector x every token of the same group: (group, t_idx, token_idx, sim),
+    computed in tiles of a bounded number of tokens and question vectors."""
     if normalise:
-        tv, kv = l2_normalise(tv), l2_normalise(kv)
-    j = tokens.alias("k").join(text_tokens.alias("t"), F.col("k.group_id") == F.col("t.group_id"))
-    return j.select(F.col("k.group_id").alias("group_id"), F.col("t.t_idx").alias("t_idx"),
-                    F.col("k.token_idx").alias("token_idx"), dot(kv, tv).alias("sim"))
+        tokens, text_tokens = (d.withColumn("vec", l2_normalise("vec")) for d in (tokens, text_tokens))
+    return similarity_rows(tokens, text_tokens, ["group_id"])
 
 
 # A21
-def max_pool_similarity(sims: DataFrame) -> DataFrame:
-    return sims.groupBy("group_id", "token_idx").agg(F.max("sim").alias("text_score"))
+def max_pool_similarity(tokens: DataFrame, text_tokens: DataFrame) -> DataFrame:
+    """The largest similarity of a token to a question vector of its group, from tile maxima."""
+    return largest_similarity(tokens, text_tokens, ["group_id"])
 
 
 # A22
 def query_relevance(tokens: DataFrame, text_tokens: DataFrame) -> DataFrame:
-    """``-mean_t cos(token, text)``, then ``(x - min + 1e-6) / (max - min)`` per group."""
-    sims = text_image_similarity(tokens, text_tokens, normalise=True)
-    rel = sims.groupBy("group_id", "token_idx").agg((-F.avg("sim")).alias("_r"))
+    """``-mean_t cos(token, text)``, then ``(x - min + 1e-6) / (max - min)`` per group.
+
+    The mean of the cosines is the token's product with the mean of the
+    normalised question vectors, so no pair of the two is ever formed."""
+    mean = mean_vector(text_tokens.select("group_id", l2_normalise("vec").alias("vec")), "group_id", "vec", "_mq")
+    rel = tokens.join(mean, "group_id").select("group_id", "token_idx", (-dot(l2_normalise("vec"), "_mq")).alias("_r"))
     s = join_group_stats(rel, "group_id", _mn=F.min("_r"), _mx=F.max("_r"))
     return s.select("group_id", "token_idx",
                     ((F.col("_r") - F.col("_mn") + F.lit(RELEVANCE_EPS))
@@ -168,23 +168,23 @@ def entropy_keep_ratio(scores: DataFrame, col: str = "cls_score", base: float =
 
 
 # W9
-def entropy_scores(attn: DataFrame, lam: float = 0.1) -> DataFrame:
-    """Attention (group, t_idx, token_idx, a): normalise each token column
-    over the text rows, entropy per token, score = -lambda * H."""
-    s = join_group_stats(attn, ["group_id", "token_idx"], _cs=F.sum("a"))
-    p = F.greatest(F.col("a") / (F.col("_cs") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
-    h = s.groupBy("group_id", "token_idx").agg((-F.sum(p * F.log(p))).alias("_h"))
-    return h.select("group_id", "token_idx", (F.lit(-lam) * F.col("_h")).alias("entropy_score"))
+def entropy_scores(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
+    """Attention of each question vector = softmax over the tokens of its group; its
+    shares per token over the question vectors; score = -lambda * their entropy.
+    Also the summed ``attention`` of the token."""
+    h = attention_entropy(tokens, text_tokens, ["group_id"])
+    return h.select("group_id", "token_idx", (F.lit(-lam) * F.col("entropy")).alias("entropy_score"), "attention")
 
 
 # W10
-def entropy_scores_headmean(attn: DataFrame, lam: float = 0.1) -> DataFrame:
+def entropy_scores_headmean(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
     """Average the rows first, then one entropy over the tokens: a single
     scalar per group."""
-    m = attn.groupBy("group_id", "token_idx").agg(F.avg("a").alias("_m"))
-    s = join_group_stats(m, "group_id", _t=F.sum("_m"))
+    m = written(attention_sums(tokens, text_tokens, ["group_id"]).select(
+        "group_id", (F.col("attention") / F.col("n_questions")).alias("_m")), "mean-attention")
+    total = m.groupBy("group_id").agg(F.sum("_m").alias("_t"))
     p = F.greatest(F.col("_m") / (F.col("_t") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
-    return s.groupBy("group_id").agg((F.lit(-lam) * -F.sum(p * F.log(p))).alias("entropy_score"))
+    return m.join(total, "group_id").groupBy("group_id").agg((F.lit(-lam) * -F.sum(p * F.log(p))).alias("entropy_score"))
 
 
 # W11

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, uniform
+from ..session import written
 from .groupwise import group_rank, group_top
-from .scores import softmax
+from .tiles import attention_sums
 
 
 def _keys(keys):
@@ -94,22 +95,27 @@ def uniform_sample(df: DataFrame, keys, m, seed: int = 42, out: str = "sample_ra
 def recover_topk(pruned: DataFrame, text_tokens: DataFrame, keys, k, group_col: str = "group_id") -> DataFrame:
     """Among unselected tokens: per question vector a softmax over them of
     the raw dot product, mean over question vectors, top-k."""
+    return top_desc(recovery_scores(pruned, text_tokens, keys, group_col), keys, "recovery_score", k)
+
+
+def recovery_scores(pruned: DataFrame, text_tokens: DataFrame, keys, group_col: str = "group_id", carry=()) -> DataFrame:
+    """(keys, token_idx, recovery_score, carry): mean attention of the question
+    vectors of ``group_col``, one softmax a vector over the tokens of ``keys``."""
     ks = _keys(keys)
-    j = pruned.alias("p").join(text_tokens.alias("t"), F.col(f"p.{group_col}") == F.col(f"t.{group_col}"))
-    sims = j.select(*[F.col(f"p.{c}").alias(c) for c in ks], F.col("p.token_idx").alias("token_idx"),
-                    F.col("t.t_idx").alias("t_idx"), dot(F.col("p.vec"), F.col("t.vec")).alias("_a"),
-                    *([F.col("p.k_rec").alias("k_rec")] if "k_rec" in pruned.columns else []))
-    sm = softmax(sims, [*ks, "t_idx"], "_a", "_p")
-    agg_extra = [F.first("k_rec").alias("k_rec")] if "k_rec" in pruned.columns else []
-    sc = sm.groupBy(*ks, "token_idx").agg(F.avg("_p").alias("recovery_score"), *agg_extra)
-    return top_desc(sc, ks, "recovery_score", k)
+    own = written(pruned.select(*ks, "token_idx", "vec", *carry), "pruned-tokens")
+    questions = text_tokens.select(F.col(group_col), "t_idx", "vec")
+    if ks != [group_col]:  # the group's question vectors for each key that has tokens
+        questions = questions.join(own.select(*ks).distinct(), group_col)
+    questions = written(questions.select(*ks, "t_idx", "vec"), "question-vectors")
+    sums = attention_sums(own, questions, ks).select(*ks, "token_idx", (F.col("attention") / F.col("n_questions")).alias("recovery_score"))
+    return sums.join(own.select(*ks, "token_idx", *carry), [*ks, "token_idx"]) if carry else sums
 
 
 # W14
-def recover_by_attention_sum(pruned_attn: DataFrame, keys, k) -> DataFrame:
-    """Recovery by attention summed over the question rows."""
+def recover_by_attention_sum(pruned: DataFrame, attention: DataFrame, keys, k) -> DataFrame:
+    """Recovery by attention summed over the question rows (``attention_sums``)."""
     ks = _keys(keys)
-    s = pruned_attn.groupBy(*ks, "token_idx").agg(F.sum("a").alias("recovery_score"))
+    s = attention.join(pruned.select(*ks, "token_idx"), [*ks, "token_idx"]).withColumnRenamed("attention", "recovery_score")
     return top_desc(s, ks, "recovery_score", k)
 
 

@@ -65,7 +65,7 @@ def question_results(questions: DataFrame, responses: DataFrame, counts: DataFra
     yes/no parse and correctness (shared by C8 and C10)."""
     q = E.non_empty_questions(questions).select(
         "question_id", "image_id", (F.col("image_id") % n_groups).cast("bigint").alias(G),
-        F.when(F.col("question_id") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("answer"))
+        F.when(F.col("turn") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("answer"))
     j = E.response_join(q, responses.select("question_id", "content"), "question_id")
     content = T.response_content(F.col("content"))
     pred = F.when(F.col("api_success"), T.parse_yes_no(content)).otherwise(F.lit(""))

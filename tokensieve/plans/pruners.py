@@ -24,7 +24,7 @@ from ..operators import kernels as K
 from ..operators import select as S
 from ..operators.evaluate import MAX_INLINE_CONFIGS
 from ..operators.groupwise import group_softmax, group_stats
-from ..operators.scores import mean_vector, query_relevance, softmax
+from ..operators.scores import entropy_scores, mean_vector, query_relevance, softmax
 
 G = "group_id"
 # The reference's pre-sampling threshold and sample factors.
@@ -178,13 +178,7 @@ def _recovery(level_tokens: DataFrame, selected: DataFrame, text_tokens: DataFra
 
 def _recover_ranked(pruned: DataFrame, text_tokens: DataFrame, largest: int | None = None) -> DataFrame:
     keys = [G, "level_id"]
-    j = pruned.alias("p").join(text_tokens.alias("t"), F.col(f"p.{G}") == F.col(f"t.{G}"))
-    sims = j.select(F.col(f"p.{G}").alias(G), F.col("p.level_id").alias("level_id"),
-                    F.col("p.token_idx").alias("token_idx"), F.col("t.t_idx").alias("t_idx"), "p.n", "p.keep",
-                    dot(F.col("p.vec"), F.col("t.vec")).alias("_a"))
-    sm = group_softmax(sims, [*keys, "t_idx"], "_a", "_p", largest)
-    sc = sm.groupBy(*keys, "token_idx").agg(
-        F.avg("_p").alias("recovery_score"), F.min("n").alias("n"), F.min("keep").alias("keep"))
+    sc = S.recovery_scores(pruned, text_tokens, keys, G, carry=("n", "keep"))
     return S.rank_desc(sc, keys, "recovery_score", "rank", largest)
 
 
@@ -334,14 +328,9 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     (W9); top-keep in score order; one summary token = mean of all pruned
     tokens (A20, its vector in ``summary_vec``); recovery by attention summed
     over questions (W14)."""
-    from ..operators.scores import entropy_scores
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
-    sims = tokens.alias("k").join(text_tokens.alias("t"), F.col(f"k.{G}") == F.col(f"t.{G}")).select(
-        F.col(f"k.{G}").alias(G), F.col("t.t_idx").alias("t_idx"), F.col("k.token_idx").alias("token_idx"),
-        dot(F.col("k.vec"), F.col("t.vec")).alias("_d"))
-    attn = softmax(sims, [G, "t_idx"], "_d", "a")
-    es = entropy_scores(attn, lam)
+    es = entropy_scores(tokens, text_tokens, lam)
     largest = K.largest_group(tokens, [G])
     t = _sized(tokens, largest).join(es, [G, "token_idx"])
     t = S.rank_desc(t, G, "entropy_score", "score_rank", largest)
@@ -351,8 +340,7 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     top = t.where(F.col("score_rank") < F.col("keep"))
     pruned = t.where(F.col("score_rank") >= F.col("keep"))
     summary = mean_vector(pruned.select(G, "level_id", "vec"), [G, "level_id"], "vec", "mean_vec")
-    att_sum = pruned.select(G, "level_id", "token_idx", "n", "keep").join(
-        attn.groupBy(G, "token_idx").agg(F.sum("a").alias("recovery_score")), [G, "token_idx"])
+    att_sum = pruned.select(G, "level_id", "token_idx", "n", "keep", F.col("attention").alias("recovery_score"))
     rec = S.rank_desc(att_sum, [G, "level_id"], "recovery_score", "rank", largest)
     per_cfg = F.broadcast(_cfg_df(t, cfg))
     no_vec = F.lit(None).cast("array<double>").alias("summary_vec")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalise
+from ..functions.vectors import l2_normalise
 from ..operators import kernels as K
 from ..operators import scores as SC
 from ..operators import select as S
@@ -22,11 +22,8 @@ def centroid_scores(tokens: DataFrame, text_tokens: DataFrame, k_clusters: int =
     assign = K.kmeans_assign(tokens, [G], k_clusters, seed)
     members = tokens.join(assign, [G, "token_idx"])
     cent = SC.mean_vector(members, [G, "cluster"], "vec", "centroid")
-    j = cent.alias("c").join(text_tokens.alias("t"), F.col(f"c.{G}") == F.col(f"t.{G}"))
-    d = j.select(F.col(f"c.{G}").alias(G), F.col("c.cluster").alias("cluster"), F.col("t.t_idx").alias("t_idx"),
-                 dot(F.col("t.vec"), F.col("c.centroid")).alias("_d"))
-    sm = SC.softmax(d, [G, "t_idx"], "_d", "_p")
-    cs = sm.groupBy(G, "cluster").agg(F.avg("_p").alias("centroid_score"))
+    cs = S.recovery_scores(cent.select(G, F.col("cluster").alias("token_idx"), F.col("centroid").alias("vec")), text_tokens, [G]) \
+        .select(G, F.col("token_idx").cast("int").alias("cluster"), F.col("recovery_score").alias("centroid_score"))
     return assign.join(cs, [G, "cluster"]).select(G, "token_idx", "cluster", "centroid_score")
 
 
@@ -58,7 +55,7 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     """Hybrid importance ``(1-w)*norm(cls) + w*norm(text)`` (W11) -> top
     important by it -> text-guided diverse fill weighted by it (V4) ->
     question-attention recovery (W13)."""
-    ts = SC.max_pool_similarity(SC.text_image_similarity(tokens, text_tokens))
+    ts = SC.max_pool_similarity(tokens, text_tokens)
     hy = SC.hybrid_importance(tokens, ts, weight)
     t = tokens.join(hy, [G, "token_idx"])
     rows = P._config_rows(configs)

@@ -9,16 +9,18 @@ Design notes for scale
   in the same order as a dense 0-based position, so every "first token" and
   tie-break rule is unchanged, and no window over a (possibly huge) group
   is needed to number the tokens.
-* ``text_tokens`` keeps the first three vectors per group; the
-  ``row_number() <= 3`` filter is planned as a partial WindowGroupLimit
-  that runs before the shuffle, so a hot group is cut down map-side.
+* ``text_tokens`` is a share of each label's vectors chosen by a hash, so the
+  question side grows with the table and is a filter on the scan.
+* ``question_id`` names the conversation and the turn, whatever their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import uniform, uniform_sql_duckdb
+
 RAW_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -30,7 +32,9 @@ KEEP_RATIOS = (0.05, 0.1, 0.25, 0.5)
 RECOVERY_RATIOS = (0.05, 0.1, 0.2)
 IMPORTANT_RATIO = 0.6
 TOKENS_PER_IMAGE = 576
-NUM_TEXT_TOKENS = 3
+# One vector in eight is a question vector, about the reference's ratio of text to image tokens.
+QUESTION_SHARE = 0.125
+QUESTION_SEED = 5
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,26 +55,29 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """text_tokens(group_id bigint, t_idx bigint, vec array<double>).
 
-    The first three vectors of label ``g`` serve as the question vectors of
-    the group before it, and those of the first label for the last group
-    (labels count from 0).
+    The vectors of label ``g`` that the hash of their id chooses serve as the
+    question vectors of the group before it, and those of the first label for
+    the last group (labels count from 0).
     """
     emb = raw(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    ranked = emb.select("label", "vec_id", "embedding", F.row_number().over(w).alias("rn"))
     labels = emb.agg((F.max("label") + 1).alias("_labels"))  # one row
-    return ranked.where(F.col("rn") <= NUM_TEXT_TOKENS).crossJoin(F.broadcast(labels)).select(
+    chosen = emb.where(uniform(QUESTION_SEED, F.col("vec_id")) <= QUESTION_SHARE)
+    return chosen.crossJoin(F.broadcast(labels)).select(
         ((F.col("label") + F.col("_labels") - 1) % F.col("_labels")).cast("bigint").alias("group_id"),
-        (F.col("rn") - 1).cast("bigint").alias("t_idx"),
+        F.col("vec_id").cast("bigint").alias("t_idx"),
         F.col("embedding").cast("array<double>").alias("vec"),
     )
 
 
+def _turn_id(turn) -> Column:
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """questions(question_id, image_id, turn, question): user turns."""
     c = raw(spark, sf_dir, "conversations")
     return c.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"),
+        _turn_id(F.col("turn")).alias("question_id"),
         F.col("conv_id").alias("image_id"),
         "turn",
         F.col("text").alias("question"),
@@ -81,7 +88,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """responses(question_id, content): the assistant turn that follows."""
     c = raw(spark, sf_dir, "conversations")
     return c.where(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 100 + F.col("turn") - 1).alias("question_id"),
+        _turn_id(F.col("turn") - 1).alias("question_id"),
         F.col("text").alias("content"),
     )
 
@@ -171,13 +178,12 @@ def configs(spark: SparkSession, keep_ratios=KEEP_RATIOS, recovery_ratios=RECOVE
 DUCKDB_VIEWS = {
     "tokens": """SELECT label::BIGINT AS group_id, vec_id::BIGINT AS token_idx,
         embedding::DOUBLE[] AS vec, abs(embedding[1]::DOUBLE) AS cls_score FROM embeddings""",
-    "text_tokens": """SELECT ((label + labels - 1) % labels)::BIGINT AS group_id, (rn - 1)::BIGINT AS t_idx, vec
-        FROM (SELECT label, embedding::DOUBLE[] AS vec, (SELECT max(label) + 1 FROM embeddings) AS labels,
-                     row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
-        WHERE rn <= 3""",
-    "questions": """SELECT conv_id * 100 + turn AS question_id, conv_id AS image_id, turn,
+    "text_tokens": f"""SELECT ((label + labels - 1) % labels)::BIGINT AS group_id, vec_id::BIGINT AS t_idx, embedding::DOUBLE[] AS vec
+        FROM embeddings, (SELECT max(label) + 1 AS labels FROM embeddings)
+        WHERE {uniform_sql_duckdb(QUESTION_SEED, 'vec_id')} <= {QUESTION_SHARE}""",
+    "questions": """SELECT conv_id || ':' || turn AS question_id, conv_id AS image_id, turn,
         text AS question FROM conversations WHERE role = 'user'""",
-    "responses": """SELECT conv_id * 100 + turn - 1 AS question_id, text AS content
+    "responses": """SELECT conv_id || ':' || (turn - 1) AS question_id, text AS content
         FROM conversations WHERE role = 'assistant'""",
     "mc_items": """SELECT p_partkey AS idx, p_name AS question,
         CASE WHEN p_size % 2 = 0 THEN p_type END AS hint, p_brand AS A, p_type AS B,
