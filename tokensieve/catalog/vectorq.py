@@ -9,6 +9,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import clusters as C
 from ..operators import kernels as K
 from ..operators import scores as SC
 from ..operators import select as S
@@ -556,12 +557,12 @@ def q_dedup_even_odd(spark, sf):
 
 @register("cluster_representatives")
 def q_cluster_representatives(spark, sf):
-    return K.cluster_select(tb.tokens(spark, sf), [G], 6, seed=42)
+    return C.cluster_select(tb.tokens(spark, sf), [G], 6, seed=42)
 
 
 @register("kmeans_lloyd")
 def q_kmeans_lloyd(spark, sf):
-    return K.kmeans_assign(tb.tokens(spark, sf), [G], 4, seed=42)
+    return C.kmeans_assign(tb.tokens(spark, sf), [G], 4, seed=42)
 
 
 @register("dpp_map")
@@ -576,14 +577,16 @@ def q_centroid_recovery(spark, sf):
     from ..plans.recovery import centroid_recovery
     t = tb.tokens(spark, sf)
     pr = S.set_difference(t, S.important_topk(t, G, "cls_score", 10), G)
-    return centroid_recovery(pr, tb.text_tokens(spark, sf), k_clusters=8, k=5)
+    r = centroid_recovery(pr, tb.text_tokens(spark, sf), k_clusters=8, k=5)
+    return r.select(G, "token_idx", "rank", r9(F.col("recovery_score")).alias("recovery_score"))
 
 
 @register("centroid_mapback")
 def q_centroid_mapback(spark, sf):
     from ..plans.recovery import centroid_scores
     t = tb.tokens(spark, sf)
-    return centroid_scores(t, tb.text_tokens(spark, sf), k_clusters=8)
+    c = centroid_scores(t, tb.text_tokens(spark, sf), k_clusters=8)
+    return c.select(G, "token_idx", "cluster", r9(F.col("centroid_score")).alias("centroid_score"))
 
 
 @register("recover_diverse")
@@ -1023,3 +1026,61 @@ FROM (SELECT *, unnest(range(1, len(rem) + 1)) AS p FROM fin)"""
 
 
 SQL["dedup_even_odd"] = _v5_sql(12)
+
+
+# ------------------------------------------------------------------ V9 / V10 / V11 / J8 oracles: ten Lloyd rounds, one CTE each
+def _lloyd_sql(k: int, source: str = "tokens", seed: int = 42, rounds: int = 10) -> str:
+    """CTEs kc0 .. kc<rounds> (group_id, cluster, c) and ka (group_id, token_idx, vec, cluster), the last assignment."""
+    u = V.uniform_sql_duckdb(seed, "group_id", "token_idx")
+    parts = [f"""kc0 AS (SELECT group_id, cluster, vec AS c FROM (SELECT group_id, vec,
+        (row_number() OVER (PARTITION BY group_id ORDER BY {u}, token_idx) - 1)::INTEGER AS cluster FROM {source}) WHERE cluster < {k})"""]
+    for r in range(rounds):
+        parts.append(f"""kn{r} AS MATERIALIZED (SELECT t.group_id, t.token_idx, any_value(t.vec) AS vec,
+        arg_min(c.cluster, (0.5 * list_dot_product(c.c, c.c) - list_dot_product(t.vec, c.c), c.cluster)) AS cluster
+        FROM {source} t JOIN kc{r} c USING (group_id) GROUP BY 1, 2)
+, km{r} AS (SELECT group_id, cluster, list(m ORDER BY p) AS c FROM (SELECT group_id, cluster, p, avg(vec[p]) AS m
+        FROM kn{r}, (SELECT unnest(range(1, 65)) AS p) GROUP BY ALL) GROUP BY 1, 2)
+, kj{r} AS (SELECT o.group_id, o.cluster, o.c AS old, coalesce(m.c, o.c) AS new FROM kc{r} o LEFT JOIN km{r} m USING (group_id, cluster))
+, kd{r} AS (SELECT group_id, max(list_max(list_transform(list_zip(old, new), lambda z: (abs(z[1] - z[2]) > 1e-4 + 1e-5 * abs(z[2]))::INTEGER))) AS moved
+        FROM kj{r} GROUP BY 1)
+, kc{r + 1} AS MATERIALIZED (SELECT group_id, cluster, CASE WHEN moved = 1 THEN new ELSE old END AS c FROM kj{r} JOIN kd{r} USING (group_id))""")
+    return ",\n".join(parts) + f",\nka AS (SELECT * FROM kn{rounds - 1})\n"
+
+
+SQL["kmeans_lloyd"] = _T + ", " + _lloyd_sql(4) + "SELECT group_id, token_idx, cluster FROM ka"
+
+_J8 = """, cent AS (SELECT group_id, cluster, list(m ORDER BY p) AS c FROM (SELECT group_id, cluster, p, avg(vec[p]) AS m
+        FROM ka, (SELECT unnest(range(1, 65)) AS p) GROUP BY ALL) GROUP BY 1, 2)
+, cd AS (SELECT c.group_id, c.cluster, t.t_idx, list_dot_product(t.vec, c.c) AS a FROM cent c JOIN text_tokens t USING (group_id))
+, ce AS (SELECT *, exp(a - max(a) OVER (PARTITION BY group_id, t_idx)) AS e FROM cd)
+, cs AS (SELECT group_id, cluster, avg(e / s) AS centroid_score
+         FROM (SELECT *, sum(e) OVER (PARTITION BY group_id, t_idx) AS s FROM ce) GROUP BY ALL)
+"""
+SQL["centroid_mapback"] = _T + ", " + _lloyd_sql(8) + _J8 + """
+SELECT group_id, token_idx, cluster, round(centroid_score, 9) AS centroid_score FROM ka JOIN cs USING (group_id, cluster)"""
+SQL["centroid_recovery"] = _RANK + ", pr AS (SELECT group_id, token_idx, vec FROM rk WHERE rank >= 10), " + _lloyd_sql(8, "pr") + _J8 + """
+, ranked AS (SELECT group_id, token_idx, centroid_score,
+    (row_number() OVER (PARTITION BY group_id ORDER BY centroid_score DESC, token_idx) - 1)::INTEGER AS rank FROM ka JOIN cs USING (group_id, cluster))
+SELECT group_id, token_idx, rank, round(centroid_score, 9) AS recovery_score FROM ranked WHERE rank < 5"""
+
+
+def _v9_sql(k: int) -> str:
+    """Farthest-first over the ``2k`` centres, from the one nearest the mean, then the nearest own token of each."""
+    gap = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return _T.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _lloyd_sql(2 * k) + f"""
+, mean AS (SELECT group_id, list(m ORDER BY p) AS m FROM (SELECT group_id, p, avg(vec[p]) AS m FROM tokens, (SELECT unnest(range(1, 65)) AS p) GROUP BY ALL) GROUP BY 1)
+, ff(step, group_id, cluster, c, g, o) AS (
+    SELECT 0, group_id, cluster, c, -{gap.format("c", "m")}, CAST(NULL AS INTEGER) FROM kc10 JOIN mean USING (group_id)
+    UNION ALL
+    SELECT step + 1, group_id, cluster, c, CASE WHEN step = 0 THEN {gap.format("c", "pc")} ELSE least(g, {gap.format("c", "pc")}) END,
+           CASE WHEN o IS NULL AND cluster = pk THEN step ELSE o END
+    FROM (SELECT *, first_value(c) OVER w AS pc, first_value(cluster) OVER w AS pk FROM ff
+          WINDOW w AS (PARTITION BY group_id ORDER BY o IS NOT NULL, g DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < {k})
+, near AS (SELECT a.group_id, a.cluster, arg_min(a.token_idx, ({gap.format("a.vec", "c.c")}, a.token_idx)) AS token_idx
+           FROM ka a JOIN kc10 c USING (group_id, cluster) GROUP BY 1, 2)
+SELECT group_id, token_idx, (row_number() OVER (PARTITION BY group_id ORDER BY o) - 1)::INTEGER AS pick_rank
+FROM ff JOIN near USING (group_id, cluster) WHERE step = {k} AND o IS NOT NULL"""
+
+
+SQL["cluster_representatives"] = _v9_sql(6)

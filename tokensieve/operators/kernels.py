@@ -1,4 +1,4 @@
-"""Greedy per-group selection.
+"""Greedy per-group selection (V2-V5, V13) and the kernels of V9 and V10.
 
 These algorithms are sequential inside one group (each pick depends on
 the previous ones), so they run as NumPy kernels over one group at a time
@@ -405,39 +405,6 @@ def dpp_select(df: DataFrame, keys, k, rel_col: str = "relevance", max_group: in
         lambda x: iterative_dpp(x, keys, rel_col), max_group, largest)
 
 
-def cluster_select(df: DataFrame, keys, k, seed: int = 42) -> DataFrame:
-    """V9 per group; initial centres = the rows with the smallest seeded uniforms."""
-    from ..functions.vectors import uniform
-    d = _with_k(df, k).withColumn("_u", uniform(seed, *[F.col(c) for c in keys], F.col("token_idx")))
-
-    def fn(m, u, kk):
-        return cluster_representatives(m, kk, np.argsort(u, kind="stable"))
-
-    return run_grouped(d, keys, fn, cols=("vec", "_u"))
-
-
-def kmeans_assign(df: DataFrame, keys, k, seed: int = 42) -> DataFrame:
-    """V10 per group: (keys, token_idx, cluster) after <= 10 Lloyd steps."""
-    from ..functions.vectors import uniform
-    keys = list(keys)
-    d = _with_k(df, k).withColumn("_u", uniform(seed, *[F.col(c) for c in keys], F.col("token_idx")))
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", token_idx bigint, cluster int"
-
-    def apply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token_idx", "ascending")])
-        x = _vec_matrix(table.column("vec"))
-        kk = min(int(table.column("k")[0].as_py()), x.shape[0])
-        init = np.argsort(table.column("_u").to_numpy(), kind="stable")[:kk]
-        _, assign = kmeans_lloyd(x, kk, init)
-        out = {c: pa.array([table.column(c)[0].as_py()] * x.shape[0], table.schema.field(c).type) for c in keys}
-        out["token_idx"] = table.column("token_idx").combine_chunks()
-        out["cluster"] = pa.array(assign.astype(np.int32))
-        return pa.table(out)
-
-    return d.select(*keys, "token_idx", "vec", "k", "_u").groupBy(*keys).applyInArrow(apply, schema)
-
-
 # ----------------------------------------------------------------------------
 # Per-token summary of within-group similarities (no pair rows emitted)
 # ----------------------------------------------------------------------------

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalise
+from ..operators import clusters as C
 from ..operators import kernels as K
 from ..operators import scores as SC
 from ..operators import select as S
+from ..session import written
 from . import pruners as P
 
 G = "group_id"
@@ -19,7 +21,7 @@ def centroid_scores(tokens: DataFrame, text_tokens: DataFrame, k_clusters: int =
     """k-means per group (V10); each centroid scored by a softmax over the
     centroids of question.centroid, mean over questions; the score is
     mapped back to every member token (equi-join on the cluster id)."""
-    assign = K.kmeans_assign(tokens, [G], k_clusters, seed)
+    assign = written(C.kmeans_assign(tokens, [G], k_clusters, seed), "cluster-members")
     members = tokens.join(assign, [G, "token_idx"])
     cent = SC.mean_vector(members, [G, "cluster"], "vec", "centroid")
     cs = S.recovery_scores(cent.select(G, F.col("cluster").alias("token_idx"), F.col("centroid").alias("vec")), text_tokens, [G]) \
