@@ -257,7 +257,7 @@ def candidate_hashes(rows: DataFrame, support: int, shards: int, longest: int) -
     """(h): hashes of all phrases that are frequent in one shard at least."""
     words = encoded(rows, shards).withColumn("g", F.hash("shard", "lang"))
     per = words.groupBy("g", "lang").agg(F.sum("n").alias("own"))
-    share = per.join(per.groupBy("lang").agg(F.sum("own").alias("whole")), "lang")
+    share = per.join(per.groupBy("lang").agg(F.sum("own").alias("whole")), "lang").where("whole > 0")
     # a row for each language of a shard; two under one hash take the lesser
     least = written(share.groupBy(F.col("g").alias("_g")).agg(F.min(F.lit(support) * F.col("own") / F.col("whole") * (1 - 1e-9)).alias("least")), "local-support")
     found, before, bits = [], None, 0
