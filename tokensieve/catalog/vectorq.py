@@ -994,11 +994,25 @@ def _c3_sql() -> str:
 , rr AS (SELECT *, (row_number() OVER (PARTITION BY group_id, level_id ORDER BY sc DESC, token_idx) - 1)::INTEGER AS rank FROM sc)
 , cfg AS (SELECT c.config_id, c.recovery_ratio, l.level_id FROM configs c JOIN lvl l USING (keep_ratio, important_ratio))
 , kn AS (SELECT DISTINCT group_id, level_id, n, keep FROM part)
+, cand AS (SELECT c.config_id, r.group_id, r.token_idx, {NORM.replace("vec", "p.vec")} AS v, r.rank AS o, kn.keep,
+             greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0) AS kk
+           FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id) JOIN tokens p ON p.group_id = r.group_id AND p.token_idx = r.token_idx)
+, dv(step, config_id, group_id, token_idx, v, kk, o, run, rk) AS (
+    SELECT 0, config_id, group_id, token_idx, v, kk, o, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER) FROM cand WHERE o < 2 * kk
+    UNION ALL
+    SELECT step + 1, config_id, group_id, token_idx, v, kk, o,
+           CASE WHEN run IS NULL THEN list_dot_product(v, pv) ELSE greatest(run, list_dot_product(v, pv)) END,
+           CASE WHEN rk IS NULL AND token_idx = ptok THEN step ELSE rk END
+    FROM (SELECT *, first_value(v) OVER w AS pv, first_value(token_idx) OVER w AS ptok FROM dv
+          WINDOW w AS (PARTITION BY config_id, group_id ORDER BY rk IS NOT NULL, coalesce(run, -1e308), o
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    WHERE step < kk)
+, chosen AS (SELECT config_id, group_id, token_idx, CASE WHEN count(*) OVER (PARTITION BY config_id, group_id) <= kk THEN o ELSE rk END AS rank, kk
+             FROM dv WHERE step = kk)
 SELECT c.config_id, s.group_id, s.token_idx, s.stage, s.rank, s.position FROM sel s JOIN cfg c USING (level_id)
 UNION ALL
-SELECT c.config_id, r.group_id, r.token_idx, 'recovered', r.rank, (kn.keep + r.rank)::INTEGER
-FROM rr r JOIN kn USING (group_id, level_id) JOIN cfg c USING (level_id)
-WHERE r.rank < greatest(least(CAST(trunc(c.recovery_ratio * kn.n) AS INTEGER), kn.n - kn.keep), 0)"""
+SELECT d.config_id, d.group_id, d.token_idx, 'recovered', d.rank, (k.keep + d.rank)::INTEGER
+FROM chosen d JOIN cand k USING (config_id, group_id, token_idx) WHERE d.rank IS NOT NULL"""
 
 
 SQL["prune_text_guided"] = _c3_sql()

@@ -16,7 +16,7 @@ How a sweep is shared (the reference re-runs everything per config):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
@@ -75,6 +75,11 @@ def _sized(tokens: DataFrame, largest: int | None) -> DataFrame:
     return group_stats(tokens, G, largest, n=F.count(F.lit(1))).withColumn("n", F.col("n").cast("int"))
 
 
+def _recover_size() -> Column:
+    """Tokens to recover: the ratio of the group, at most those not kept."""
+    return F.greatest(F.least((F.col("recovery_ratio") * F.col("n")).cast("int"), F.col("n") - F.col("keep")), F.lit(0))
+
+
 def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, cfg: list[dict],
             full_by_level: DataFrame, largest: int | None = None) -> DataFrame:
     """Level results -> per-config selection rows."""
@@ -87,9 +92,7 @@ def _finish(selected_by_level: DataFrame, recovery_by_level: DataFrame | None, c
         out = out.unionByName(per_config(full_by_level).select(*SELECTION_COLS))
     if recovery_by_level is not None:
         rec = per_config(recovery_by_level)
-        rk = F.greatest(F.least((F.col("recovery_ratio") * F.col("n")).cast("int"),
-                                F.col("n") - F.col("keep")), F.lit(0))
-        rec = rec.where(F.col("rank") < rk).withColumn("position", (F.col("keep") + F.col("rank")).cast("int"))
+        rec = rec.where(F.col("rank") < _recover_size()).withColumn("position", (F.col("keep") + F.col("rank")).cast("int"))
         out = out.unionByName(rec.select(*SELECTION_COLS))
     return out
 
@@ -350,8 +353,7 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     summ = summary.join(t.select(G, "level_id", "keep").distinct(), [G, "level_id"]).join(per_cfg, "level_id").select(
         "config_id", G, F.lit(None).cast("bigint").alias("token_idx"), F.lit("summary").alias("stage"),
         F.lit(0).alias("rank"), F.col("keep").alias("position"), F.col("mean_vec").alias("summary_vec"))
-    rk = F.greatest(F.least((F.col("recovery_ratio") * F.col("n")).cast("int"), F.col("n") - F.col("keep")), F.lit(0))
-    r = rec.join(per_cfg, "level_id").where(F.col("rank") < rk).select(
+    r = rec.join(per_cfg, "level_id").where(F.col("rank") < _recover_size()).select(
         "config_id", G, "token_idx", F.lit("recovered").alias("stage"), "rank",
         (F.col("keep") + 1 + F.col("rank")).cast("int").alias("position"), no_vec)
     return sel.unionByName(summ).unionByName(r)

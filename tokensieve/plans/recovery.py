@@ -56,7 +56,8 @@ def recover_diverse(pruned: DataFrame, text_tokens: DataFrame, k: int) -> DataFr
 def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame, weight: float = 0.5) -> DataFrame:
     """Hybrid importance ``(1-w)*norm(cls) + w*norm(text)`` (W11) -> top
     important by it -> text-guided diverse fill weighted by it (V4) ->
-    question-attention recovery (W13)."""
+    recovery (V12): of the tokens ranked by question attention (W13) the first
+    ``2k``, and of these ``k`` diverse ones, for each configuration's ``k``."""
     ts = SC.max_pool_similarity(tokens, text_tokens)
     hy = SC.hybrid_importance(tokens, ts, weight)
     t = tokens.join(hy, [G, "token_idx"])
@@ -73,5 +74,19 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
                         cols=("vec", "hybrid_score")).select(
         G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
     selected = K.materialise(imp.unionByName(div))
-    rec = P._recovery(lt, selected, text_tokens, largest)
-    return P._finish(selected, rec, cfg, full, largest)
+    out = P._finish(selected, None, cfg, full, largest)
+    if all(c["recovery_ratio"] <= 0 for c in cfg):
+        return out
+    ranked = P._recovery(lt, selected, text_tokens, largest).join(F.broadcast(P._cfg_df(lt, cfg)), "level_id")
+    ranked = ranked.withColumn("k", P._recover_size())
+    cand = K.materialise(ranked.where(F.col("rank") < 2 * F.col("k")).select("config_id", G, "token_idx", "rank", "keep", "k"))
+    rows = cand.join(tokens.select(G, "token_idx", l2_normalise("vec").alias("vec")), [G, "token_idx"]) \
+        .withColumn("_ord", F.col("rank").cast("bigint")).drop("rank", "keep")
+    keys = ["config_id", G]
+    picks = K.dispatch_by_size(
+        rows, keys, lambda x: K.run_grouped(x, keys, lambda m, kk: K.maxmin_diverse(m, kk, 0), order_col="_ord"),
+        lambda x: K.iterative_maxmin(x, keys, order_col="_ord"), K.MAX_GROUP, largest)
+    rec = picks.join(cand.select(*keys, "token_idx", "keep"), [*keys, "token_idx"]).select(
+        "config_id", G, "token_idx", F.lit("recovered").alias("stage"), F.col("pick_rank").alias("rank"),
+        (F.col("keep") + F.col("pick_rank")).cast("int").alias("position"))
+    return out.unionByName(rec)
