@@ -93,9 +93,25 @@ _QRES = duckdb_with("questions", "responses", "configs") + _COUNTS + f"""
 
 
 # ------------------------------------------------------------------ C10
-@register("yes_no_evaluation", _QRES + """
-, res AS (SELECT keep_ratio, recovery_ratio, pruned_token, api_success, is_correct, prune_time AS embed_time, api_call_time FROM qr2)
-""" + _A7)
+_A7_SUMS = """count(*) AS n, count(*) FILTER (WHERE api_success) AS n_success,
+       count(*) FILTER (WHERE api_success AND is_correct) AS n_correct,
+       round((count(*) FILTER (WHERE api_success AND is_correct)) / nullif(count(*) FILTER (WHERE api_success), 0), 6) AS accuracy,
+       round(avg(embed_time) FILTER (WHERE api_success), 6) AS avg_embed_time,
+       round(avg(api_call_time) FILTER (WHERE api_success), 6) AS avg_api_time,
+       round(avg(pruned_token) FILTER (WHERE api_success), 6) AS avg_pruned_tokens,
+       round((576.0 - avg(pruned_token) FILTER (WHERE api_success)) / 576.0 * 100.0, 6) AS token_reduction_pct"""
+
+
+@register("yes_no_evaluation", _QRES + f"""
+, res AS (SELECT config_id, image_id, keep_ratio, recovery_ratio, pruned_token, api_success, is_correct, prune_time AS embed_time, api_call_time FROM qr2)
+SELECT 'configuration' AS level, keep_ratio, recovery_ratio, NULL::VARCHAR AS config_key, NULL::BIGINT AS n_configs,
+       NULL::DOUBLE AS success_rate, NULL::BIGINT AS unique_images, {_A7_SUMS} FROM res GROUP BY keep_ratio, recovery_ratio
+UNION ALL
+SELECT 'ratio_key', NULL, NULL, 'keep_' || keep_ratio || '_recovery_' || recovery_ratio, NULL, NULL, NULL, {_A7_SUMS}
+FROM res WHERE api_success GROUP BY keep_ratio, recovery_ratio
+UNION ALL
+SELECT 'overall', NULL, NULL, NULL, count(DISTINCT config_id), round(count(*) FILTER (WHERE api_success) / count(*), 6),
+       count(DISTINCT image_id), {_A7_SUMS} FROM res HAVING count(*) > 0""")
 def q_yes_no_evaluation(spark, sf):
     return EV.yes_no_evaluation(tb.questions(spark, sf), tb.responses(spark, sf), tb.tokens(spark, sf),
                                 tb.text_tokens(spark, sf), tb.configs(spark), N_GROUPS_IMG)

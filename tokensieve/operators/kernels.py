@@ -6,12 +6,13 @@ with ``groupBy(keys).applyInArrow``: Spark shuffles the rows by group and
 runs groups in parallel; each kernel keeps O(n) running state (never an
 n x n matrix).
 
-Groups larger than ``max_group`` rows are not collected into one task:
-they take an exact distributed path (``iterative_*``) in which every pick
-is a partial aggregate over all of the group's rows (``min_by`` /
-``max_by``), the picked row is joined back and the per-row state is
+Groups larger than ``max_group`` rows are not collected into one task. Max-min
+selection (V2, V3) is done lazily there, many picks a round
+(``lazy.lazy_maxmin``). V4 and V13 take an exact distributed path
+(``iterative_*``) in which every pick is a partial aggregate over all of the
+group's rows (``min_by``), the picked row is joined back and the per-row state is
 updated; lineage is cut with ``checkpoint()`` into the session's
-``spark.checkpoint.dir``.  Both paths give the same picks.
+``spark.checkpoint.dir``.  All paths give the same picks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
 from ..session import ensure_checkpoint_dir
+from .lazy import lazy_maxmin
 
 # The diversity penalty of text-guided selection, the DPP
 # pivot guard and the default largest group handled inside one task.
@@ -267,31 +269,6 @@ def _iterate(df: DataFrame, keys, state: dict, carry, order, update) -> DataFram
     return st.where(F.col("pick_rank").isNotNull()).select(*keys, "token_idx", "pick_rank")
 
 
-def iterative_maxmin(df: DataFrame, keys, order_col: str = "token_idx") -> DataFrame:
-    """Exact distributed V2: state = running max similarity to the picks
-    (null before the first pick, so the first pick is the first row in
-    ``order_col`` order; ties later go to the earlier row too)."""
-    if order_col not in df.columns:
-        raise ValueError(f"missing order column {order_col}")
-
-    def order():
-        return F.struct(F.coalesce(F.col("_run"), F.lit(float("-inf"))), F.col(order_col), F.col("token_idx"))
-
-    def update():
-        return {"_run": F.greatest(F.col("_run"), dot("vec", "_p.vec"))}
-
-    small = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("k").alias("_k"))
-    everything = df.join(small.where(F.col("_n") <= F.col("_k")).select(*keys), list(keys), "left_semi")
-    rest = df.join(small.where(F.col("_n") > F.col("_k")).select(*keys), list(keys), "left_semi")
-    carry = ["vec"] + ([order_col] if order_col != "token_idx" else [])
-    picked = _iterate(rest, keys, {"_run": F.lit(None).cast("double")}, carry, order, update)
-    # groups with n <= k keep every row, ranked by token order (rare at this size)
-    from pyspark.sql import Window
-    all_rows = everything.select(*keys, "token_idx", (F.row_number().over(
-        Window.partitionBy(*keys).orderBy(order_col, "token_idx")) - 1).cast("int").alias("pick_rank"))
-    return picked.unionByName(all_rows)
-
-
 def iterative_text_guided(df: DataFrame, keys, weight_col: str = "weight") -> DataFrame:
     """Exact distributed V4: state = current score."""
     def order():
@@ -356,25 +333,30 @@ def diverse_maxmin(df: DataFrame, keys, k, normalise: bool = True, max_group: in
     d = _with_k(df, k)
     if normalise:
         d = d.withColumn("vec", l2_normalise("vec"))
+    return maxmin(d, keys, max_group=max_group, largest=largest)
 
-    def small(x):
-        return run_grouped(x, keys, lambda m, kk: maxmin_diverse(m, kk, 0))
-
-    return dispatch_by_size(d, keys, small, lambda x: iterative_maxmin(x, keys), max_group, largest)
 
-
-def diverse_maxmin_seeded(df: DataFrame, keys, k, seed: int = 42, normalise: bool = True) -> DataFrame:
+def diverse_maxmin_seeded(df: DataFrame, keys, k, seed: int = 42, normalise: bool = True, max_group: int = MAX_GROUP,
+                          largest: int | None = None) -> DataFrame:
     """V3: as V2 but the first row is the one with the smallest seeded
     uniform of (seed, group, token)."""
     from ..functions.vectors import uniform
     d = _with_k(df, k).withColumn("_u", uniform(seed, *[F.col(c) for c in keys], F.col("token_idx")))
     if normalise:
         d = d.withColumn("vec", l2_normalise("vec"))
+    return maxmin(d, keys, "_u", max_group=max_group, largest=largest)
+
 
-    def fn(m, u, kk):
-        return maxmin_diverse(m, kk, int(np.argmin(u)))
+def maxmin(df: DataFrame, keys, start_col: str | None = None, order_col: str = "token_idx", max_group: int = MAX_GROUP,
+           largest: int | None = None) -> DataFrame:
+    """``k`` (a column) max-min picks a group, in ``order_col`` order on ties; the
+    first row is that of least ``start_col``, or the first in order."""
+    def small(x):
+        if start_col is None:
+            return run_grouped(x, keys, lambda m, kk: maxmin_diverse(m, kk, 0), order_col=order_col)
+        return run_grouped(x, keys, lambda m, u, kk: maxmin_diverse(m, kk, int(np.argmin(u))), cols=("vec", start_col), order_col=order_col)
 
-    return run_grouped(d, keys, fn, cols=("vec", "_u"))
+    return dispatch_by_size(df, keys, small, lambda x: lazy_maxmin(x, keys, order_col, start_col), max_group, largest)
 
 
 def diverse_text_guided(df: DataFrame, keys, k, weight_col: str = "weight", normalise: bool = True,

@@ -1,16 +1,16 @@
 """Per-group scores over token tables.
 
-Group statistics (min, max, sums) attached to every row are unordered
-window aggregates over the group key: one hash shuffle on the key, and
-every later window on the same key reuses that partitioning (no further
-exchange).  Joining a DataFrame with its own aggregate instead would copy
-the whole upstream plan at every step (exponential plan growth when such
-steps are chained).  Statistics that end in one row per group are plain
-``groupBy`` aggregates (partial before the shuffle).
+Group statistics (min, max, sums) are partial aggregates, one small state a
+group, joined back to the rows: no window, so a hot group is never gathered
+in one task. The rows are written once where they come from more than a scan,
+so that a chain of such steps does not repeat the plan above it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +25,15 @@ RELEVANCE_EPS = 1e-6
 
 
 def join_group_stats(df: DataFrame, keys, **aggs: Column) -> DataFrame:
-    """Attach per-group aggregates ``name=expr`` to every row of the group."""
+    """Attach per-group aggregates ``name=expr`` to every row of the group. A null key is a group too."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    w = Window.partitionBy(*keys)
-    return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    states = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[a.alias(n) for n, a in aggs.items()])
+    return _joined_states(df, states, keys)
+
+
+def _joined_states(df: DataFrame, states: DataFrame, keys) -> DataFrame:
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(states, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 # W2
@@ -41,10 +46,11 @@ def minmax_norm(df: DataFrame, keys, col: str, out: str, eps: float = MINMAX_EPS
 # W3
 def softmax(df: DataFrame, keys, col: str, out: str) -> DataFrame:
     """Stable softmax of ``col`` inside each group."""
-    m = join_group_stats(df, keys, _mx=F.max(col))
-    e = m.withColumn("_e", F.exp(F.col(col) - F.col("_mx")))
-    s = join_group_stats(e, keys, _se=F.sum("_e"))
-    return s.withColumn(out, F.col("_e") / F.col("_se")).drop("_mx", "_e", "_se")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    df = written(df, "softmax-rows")
+    top = join_group_stats(df.select(*keys, F.col(col).alias("_v")), keys, _mx=F.max("_v"))
+    states = top.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_mx").agg(F.sum(F.exp(F.col("_v") - F.col("_mx"))).alias("_se"))
+    return _joined_states(df, states, keys).withColumn(out, F.exp(F.col(col) - F.col("_mx")) / F.col("_se")).drop("_mx", "_se")
 
 
 # J7

@@ -2,10 +2,11 @@
 
 One lazy plan per run: each item is joined (by key) to its model response,
 parsed and scored with built-in expressions once; the scored items are then
-swept over the configuration grid, joined to the pruning result of their
-image, and aggregated per configuration.  The pruning result is computed once per (config,
-image group) and re-used by every question of that image (work sharing
-by an explicit aggregate + join instead of a per-image cache).
+added up per image group, and only these sums are joined to the pruning
+results, one per (config, image group), and added up per configuration. So no item
+is repeated for a configuration.  The pruning result is computed once and re-used
+by every question of that image (work sharing by an explicit aggregate + join
+instead of a per-image cache).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as E
+from ..session import written
 from ..sources.tables import TOKENS_PER_IMAGE
 from . import pruners as P
 
@@ -37,6 +39,43 @@ def attach_pruning(rows: DataFrame, counts: DataFrame, configs: DataFrame) -> Da
     return swept.join(counts, ["config_id", G], "inner")
 
 
+def group_totals(scored: DataFrame, item: str) -> DataFrame:
+    """Per image group: items ``item``, rows, successes, correct ones, the sums of the
+    times over successes, and ``shares``, the successes counted by 1 / rows of their item."""
+    ok = F.col("api_success")
+    spent = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(F.lit(0.0))) if c in scored.columns else F.lit(0.0)
+    per_item = scored.groupBy(G, item).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_success"), F.count_if(ok & F.col("is_correct")).alias("n_correct"),
+        spent("embed_time").alias("embed"), spent("api_call_time").alias("api"))
+    return per_item.groupBy(G).agg(
+        F.count(F.lit(1)).alias("items"), *[F.sum(c).alias(c) for c in ("n", "n_success", "n_correct", "embed", "api")],
+        F.sum(F.col("n_success") / F.col("n")).alias("shares"))
+
+
+def sweep_totals(totals: DataFrame, counts: DataFrame, configs: DataFrame) -> DataFrame:
+    """The sums of every group under every configuration: (config, group) rows with
+    ``pruned_token`` and ``prune_time``. Groups that failed to prune drop out."""
+    swept = counts.join(configs.select("config_id", "keep_ratio", "recovery_ratio"), "config_id")
+    return totals.join(swept, G).withColumn("prune_time", F.col("pruned_token") / F.lit(PRUNE_TOKENS_PER_SECOND))
+
+
+def summary_of_totals(swept: DataFrame, keys, embed) -> DataFrame:
+    """A7 from group sums; ``embed``: a group's summed embed time over successes."""
+    mean = lambda c: F.round(F.sum(c) / F.nullif(F.sum("n_success"), F.lit(0)), 6)
+    tokens = F.sum(F.col("pruned_token") * F.col("n_success")) / F.nullif(F.sum("n_success"), F.lit(0))
+    return swept.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("n_success").alias("n_success"), F.sum("n_correct").alias("n_correct"),
+        mean(F.col("n_correct")).alias("accuracy"), F.sum("items").alias("unique_images"),
+        F.round(F.sum(F.col("items") * F.col("prune_time")), 6).alias("total_pruning_time"),
+        F.round(F.sum("api"), 6).alias("total_api_call_time"),
+        mean(embed).alias("avg_embed_time"), mean(F.col("api")).alias("avg_api_time"),
+        F.round(tokens, 6).alias("avg_pruned_tokens"),
+        F.round(T.token_reduction_pct(tokens, TOKENS_PER_IMAGE), 6).alias("token_reduction_pct"))
+
+
+A7_COLS = ("n", "n_success", "n_correct", "accuracy", "avg_embed_time", "avg_api_time", "avg_pruned_tokens", "token_reduction_pct")
+
+
 # C9
 def mc_evaluation(items: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
                   configs: DataFrame, n_groups: int, presample_threshold: int | None = P.PRESAMPLE_THRESHOLD) -> DataFrame:
@@ -56,66 +95,44 @@ def mc_evaluation(items: DataFrame, responses: DataFrame, tokens: DataFrame, tex
         F.when(F.col("api_success"), T.parse_mc_answer(content)).otherwise(F.lit("")).alias("predicted_answer"),
         "correct_answer",
     ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("correct_answer")))
-    return E.config_summary(attach_pruning(scored, pruned_counts(sel), configs))
+    swept = sweep_totals(group_totals(scored, "item_id"), pruned_counts(sel), configs)
+    keys = ("keep_ratio", "recovery_ratio")
+    return summary_of_totals(swept, keys, F.col("embed")).select(*keys, *A7_COLS)
 
 
-def question_results(questions: DataFrame, responses: DataFrame, counts: DataFrame, configs: DataFrame,
-                     n_groups: int) -> DataFrame:
-    """Per (config, question): pruned tokens of its image, response,
-    yes/no parse and correctness (shared by C8 and C10)."""
+def scored_questions(questions: DataFrame, responses: DataFrame, n_groups: int) -> DataFrame:
+    """Per question: its image's group, response, yes/no parse and correctness (shared by C8 and C10)."""
     q = E.non_empty_questions(questions).select(
         "question_id", "image_id", (F.col("image_id") % n_groups).cast("bigint").alias(G),
         F.when(F.col("turn") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("answer"))
     j = E.response_join(q, responses.select("question_id", "content"), "question_id")
     content = T.response_content(F.col("content"))
     pred = F.when(F.col("api_success"), T.parse_yes_no(content)).otherwise(F.lit(""))
-    scored = j.select(
+    return j.select(
         "question_id", "image_id", G, "api_success", pred.alias("predicted_answer"), "answer",
         F.when(F.col("api_success"), F.length("content") / 1000.0).otherwise(F.lit(0.0)).alias("api_call_time"),
     ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("answer"), "lower"))
-    return attach_pruning(scored, counts, configs).withColumn(
+
+
+def question_results(questions: DataFrame, responses: DataFrame, counts: DataFrame, configs: DataFrame,
+                     n_groups: int) -> DataFrame:
+    """Per (config, question): pruned tokens of its image and the scored answer, where the result is wanted row by row."""
+    return attach_pruning(scored_questions(questions, responses, n_groups), counts, configs).withColumn(
         "prune_time", F.col("pruned_token") / F.lit(PRUNE_TOKENS_PER_SECOND))
 
 
-# C8
+# C8 / A8
 def prune_once_reuse(questions: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
                      configs: DataFrame, n_groups: int) -> DataFrame:
     """Prune each image once per configuration (C2), share the result with
     all its questions (J2), amortise the prune time over them (A6) and
     summarise per configuration with image-level totals (A8, A10)."""
     sel = P.prune_attention_textweighted(tokens, text_tokens, configs)
-    res = question_results(questions, responses, pruned_counts(sel), configs, n_groups)
-    per_image = res.groupBy("config_id", "image_id").agg(
-        F.count(F.lit(1)).alias("_q"), F.min("prune_time").alias("_pt"))
-    res = res.join(per_image, ["config_id", "image_id"]).withColumn(
-        "embed_time", F.col("prune_time") / F.col("_q"))
-    return config_summary_grouped(res, per_image)
-
-
-def config_summary_grouped(res: DataFrame, per_image: DataFrame) -> DataFrame:
-    """A7 + unique images and total prune / api time per configuration."""
-    ok = F.col("api_success")
-    q = res.groupBy("config_id", "keep_ratio", "recovery_ratio").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_success"),
-        F.count_if(ok & F.col("is_correct")).alias("n_correct"),
-        F.sum(F.when(ok, F.col("api_call_time")).otherwise(F.lit(0.0))).alias("total_api_call_time"),
-        F.avg(F.when(ok, F.col("embed_time"))).alias("avg_embed_time"),
-        F.avg(F.when(ok, F.col("api_call_time"))).alias("avg_api_time"),
-        F.avg(F.when(ok, F.col("pruned_token"))).alias("avg_pruned_tokens"),
-    )
-    im = per_image.groupBy("config_id").agg(F.count(F.lit(1)).alias("unique_images"),
-                                            F.sum("_pt").alias("total_pruning_time"))
-    out = q.join(im, "config_id")
-    r6 = lambda c: F.round(c, 6)
-    return out.select(
-        "config_id", "keep_ratio", "recovery_ratio", "unique_images", "n", "n_success", "n_correct",
-        r6(F.col("n_correct") / F.nullif(F.col("n_success"), F.lit(0))).alias("accuracy"),
-        r6(F.col("total_pruning_time")).alias("total_pruning_time"),
-        r6(F.col("total_api_call_time")).alias("total_api_call_time"),
-        r6(F.col("avg_embed_time")).alias("avg_embed_time"), r6(F.col("avg_api_time")).alias("avg_api_time"),
-        r6(F.col("avg_pruned_tokens")).alias("avg_pruned_tokens"),
-        r6(T.token_reduction_pct(F.col("avg_pruned_tokens"), TOKENS_PER_IMAGE)).alias("token_reduction_pct"),
-    )
+    swept = sweep_totals(group_totals(scored_questions(questions, responses, n_groups), "image_id"), pruned_counts(sel), configs)
+    # a question's share of its image's prune time is 1 / questions of the image
+    out = summary_of_totals(swept, ("config_id", "keep_ratio", "recovery_ratio"), F.col("shares") * F.col("prune_time"))
+    return out.select("config_id", "keep_ratio", "recovery_ratio", "unique_images", "n", "n_success", "n_correct", "accuracy",
+                      "total_pruning_time", "total_api_call_time", "avg_embed_time", "avg_api_time", "avg_pruned_tokens", "token_reduction_pct")
 
 
 # C8, guided choices
@@ -138,9 +155,28 @@ def guided_results(items: DataFrame, responses: DataFrame, counts: DataFrame, co
 # C10
 def yes_no_evaluation(questions: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
                       configs: DataFrame, n_groups: int) -> DataFrame:
-    """Per question (no grouping): prune (C2), respond, parse yes/no,
-    summarise per configuration (A7)."""
+    """Per question (no grouping): prune (C2), respond, parse yes/no, and three
+    summaries, told apart by ``level``: each configuration (A7), the successes
+    by ratio key (A9), and all evaluations together (A15)."""
     sel = P.prune_attention_textweighted(tokens, text_tokens, configs)
-    res = question_results(questions, responses, pruned_counts(sel), configs, n_groups)
-    res = res.withColumn("embed_time", F.col("prune_time"))
-    return E.config_summary(res)
+    totals = group_totals(scored_questions(questions, responses, n_groups), "image_id")
+    swept = written(sweep_totals(totals, pruned_counts(sel), configs), "evaluation-sums")  # configurations x groups
+    embed = F.col("n_success") * F.col("prune_time")
+    keys = ("keep_ratio", "recovery_ratio")
+    key = F.concat(F.lit("keep_"), F.col("keep_ratio").cast("string"), F.lit("_recovery_"), F.col("recovery_ratio").cast("string"))
+
+    def level(name: str, df: DataFrame, **cols) -> DataFrame:
+        empty = {c: F.lit(None).cast(t) for c, t in (("keep_ratio", "double"), ("recovery_ratio", "double"), ("config_key", "string"),
+                                                     ("n_configs", "bigint"), ("success_rate", "double"), ("unique_images", "bigint"))}
+        have = empty | {c: F.col(c) for c in empty if c in df.columns} | cols
+        return df.select(F.lit(name).alias("level"), *[v.alias(c) for c, v in have.items()], *A7_COLS)
+
+    rate = F.round(F.col("n_success") / F.col("n"), 6)
+    by_config = level("configuration", summary_of_totals(swept, keys, embed), unique_images=F.lit(None).cast("bigint"))
+    successes = swept.where("n_success > 0").withColumn("config_key", key).withColumn("n", F.col("n_success"))
+    by_key = level("ratio_key", summary_of_totals(successes, ("config_key",), embed), unique_images=F.lit(None).cast("bigint"))
+    per_config = summary_of_totals(swept, ("config_id",), embed)
+    overall = summary_of_totals(swept, (), embed).crossJoin(per_config.agg(
+        F.count(F.lit(1)).alias("n_configs"), F.max("unique_images").alias("_images")))  # one row each
+    overall = level("overall", overall, unique_images=F.col("_images"), success_rate=rate)
+    return by_config.unionByName(by_key).unionByName(overall.where("n is not null"))

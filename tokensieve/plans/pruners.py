@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_normalise
+from ..functions.vectors import dot, l2_normalise, uniform
 from ..operators import kernels as K
 from ..operators import select as S
 from ..operators.evaluate import MAX_INLINE_CONFIGS
@@ -154,19 +154,8 @@ def _diverse_maxmin(rem: DataFrame, threshold: int | None, seed: int, sample: st
     parts.append(small.select(*keys, "token_idx", "vec", "k", "_ord"))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if start == "seeded":
-        from ..functions.vectors import uniform
         both = both.withColumn("_u", uniform(seed + 1, *[F.col(c) for c in keys], F.col("token_idx")))
-
-        def fn(mat, u, kk):
-            import numpy as np
-            return K.maxmin_diverse(mat, kk, int(np.argmin(u)))
-
-        picks = K.run_grouped(both, keys, fn, cols=("vec", "_u"), order_col="_ord")
-    else:
-        picks = K.dispatch_by_size(
-            both, keys, lambda x: K.run_grouped(x, keys, lambda mat, kk: K.maxmin_diverse(mat, kk, 0),
-                                                order_col="_ord"),
-            lambda x: K.iterative_maxmin(x, keys, order_col="_ord"), max_group, largest)
+    picks = K.maxmin(both, keys, "_u" if start == "seeded" else None, "_ord", max_group, largest)
     return picks.select(G, "level_id", "token_idx", F.lit("diverse").alias("stage"), F.col("pick_rank").alias("rank"))
 
 

@@ -48,7 +48,7 @@ def recover_diverse(pruned: DataFrame, text_tokens: DataFrame, k: int) -> DataFr
         return cand.where(F.col("rank") < k).select(G, "token_idx", "rank")
     c = cand.join(pruned.select(G, "token_idx", "vec"), [G, "token_idx"]).withColumn("vec", l2_normalise("vec")) \
         .withColumn("k", F.lit(k)).withColumn("_ord", F.col("rank").cast("bigint"))
-    picks = K.run_grouped(c, [G], lambda m, kk: K.maxmin_diverse(m, kk, 0), order_col="_ord")
+    picks = K.maxmin(c, [G], order_col="_ord", largest=2 * k)
     return picks.select(G, "token_idx", F.col("pick_rank").alias("rank"))
 
 
@@ -83,9 +83,7 @@ def prune_text_guided(tokens: DataFrame, text_tokens: DataFrame, configs: DataFr
     rows = cand.join(tokens.select(G, "token_idx", l2_normalise("vec").alias("vec")), [G, "token_idx"]) \
         .withColumn("_ord", F.col("rank").cast("bigint")).drop("rank", "keep")
     keys = ["config_id", G]
-    picks = K.dispatch_by_size(
-        rows, keys, lambda x: K.run_grouped(x, keys, lambda m, kk: K.maxmin_diverse(m, kk, 0), order_col="_ord"),
-        lambda x: K.iterative_maxmin(x, keys, order_col="_ord"), K.MAX_GROUP, largest)
+    picks = K.maxmin(rows, keys, order_col="_ord", largest=largest)
     rec = picks.join(cand.select(*keys, "token_idx", "keep"), [*keys, "token_idx"]).select(
         "config_id", G, "token_idx", F.lit("recovered").alias("stage"), F.col("pick_rank").alias("rank"),
         (F.col("keep") + F.col("pick_rank")).cast("int").alias("position"))
