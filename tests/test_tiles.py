@@ -120,3 +120,30 @@ def test_group_statistics_without_windows(spark):
     got = {(r.group_id, r.s): r.p for r in rows.collect()}
     assert got[1, 1.0] == pytest.approx(e[0] / e.sum()) and got[None, 790.0] == pytest.approx(np.exp(-10) / (1 + np.exp(-10)))
     assert len(got) == 5 and got[2, None] is None
+
+
+def test_running_sums_of_a_hot_group_lie_in_many_tasks(spark):
+    from tokensieve.operators.numbering import number_in_groups
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.lit(1)).otherwise(F.lit(0)).alias("g"), F.col("id").alias("token_idx"),
+                               (F.pmod(F.xxhash64("id"), F.lit(1000)) / 8).alias("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = number_in_groups(df, ["g"], [F.desc("s"), F.asc("token_idx")], "s", "p", "c")
+        assert out.where("g = 0").select(F.spark_partition_id().alias("i")).distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    t = out.toPandas().sort_values(["g", "s", "token_idx"], ascending=[True, False, True])
+    for _, own in t.groupby("g"):
+        assert own.p.tolist() == list(range(len(own))) and np.allclose(own.c, own.s.cumsum())
+
+
+def test_adaptive_ratios_of_a_large_group(spark):
+    r = np.random.default_rng(0)
+    s = np.sort(r.exponential(size=50_000))[::-1]
+    df = spark.createDataFrame(pa.table({"group_id": np.zeros(len(s), int), "token_idx": np.arange(len(s)), "cls_score": s}))
+    got = SC.adaptive_keep_ratio(df).first()
+    n = len(s)
+    assert got.elbow_ratio == pytest.approx((np.argmax(s[:-2] - 2 * s[1:-1] + s[2:]) + 2) / n)
+    assert got.statistical_ratio == pytest.approx((s > s.mean() + 0.5 * s.std(ddof=1)).sum() / n)
+    assert abs(got.importance_ratio * n - ((s.cumsum() <= 0.8 * s.sum()).sum() + 1)) <= 1

@@ -11,11 +11,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
 from ..session import written
+from .numbering import number_in_groups
 from .tiles import attention_entropy, attention_sums, largest_similarity, similarity_rows
 
 # Guards used by the reference's score formulas.
@@ -121,26 +122,24 @@ def adaptive_keep_ratio(scores: DataFrame, col: str = "cls_score", base: float =
     """Elbow, statistical and 80 %-importance ratios, their lower median with
     the base ratio, clamped to [0.05, 0.8] (one row per group).
 
-    The sorted-score steps use a window over the group ordered by score;
-    counts, mean and sample std are plain aggregates.
+    Positions and running sums come from ranges of the sorted scores
+    (``number_in_groups``), and the next two scores by position, so a group
+    of any size is spread over many tasks; the rest are plain aggregates.
     """
-    w = Window.partitionBy("group_id").orderBy(F.desc("s"), F.asc("token_idx"))
     s = scores.select("group_id", "token_idx", F.col(col).alias("s"))
-    s = s.withColumn("_pos", F.row_number().over(w) - 1) \
-        .withColumn("_cum", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("_d2", F.col("s") - 2 * F.lead("s", 1).over(w) + F.lead("s", 2).over(w))
+    s = written(number_in_groups(s, ["group_id"], [F.desc("s"), F.asc("token_idx")], "s", "_pos", "_cum"), "sorted-scores")
+    ahead = s.select("group_id", F.explode(F.array(*[F.struct((F.col("_pos") - i).alias("_pos"), F.lit(i).alias("i"), F.col("s").alias("v")) for i in range(3)])).alias("x"))
+    at = lambda i: F.max(F.when(F.col("x.i") == i, F.col("x.v")))
+    bends = ahead.groupBy("group_id", F.col("x._pos").alias("_pos")).agg((at(0) - 2 * at(1) + at(2)).alias("_d2")).where("_d2 is not null")
+    bend = bends.groupBy("group_id").agg(F.min_by("_pos", F.struct(-F.col("_d2"), F.col("_pos"))).alias("_arg"), F.max("_d2").alias("_d2max"))
     g = s.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("s").alias("_mean"), F.stddev_samp("s").alias("_std"),
-        F.sum("s").alias("_tot"),
-        F.min_by(F.col("_pos"), F.when(F.col("_d2").isNotNull(), F.struct(-F.col("_d2"), F.col("_pos")))).alias("_arg"),
-        F.max("_d2").alias("_d2max"),
-    )
-    j = s.join(g, "group_id")
-    c = j.groupBy("group_id").agg(
-        F.first("n").alias("n"), F.first("_arg").alias("_arg"), F.first("_d2max").alias("_d2max"),
+        F.count(F.lit(1)).alias("n"), F.avg("s").alias("_mean"), F.stddev_samp("s").alias("_std"), F.sum("s").alias("_tot"))
+    counts = s.join(g, "group_id").groupBy("group_id").agg(
+        F.first("n").alias("n"),
         F.count_if(F.col("s") > F.col("_mean") + 0.5 * F.col("_std")).alias("_sig"),
         F.count_if(F.col("_cum") <= 0.8 * F.col("_tot")).alias("_imp"),
     )
+    c = counts.join(bend, "group_id", "left")
     n = F.col("n").cast("double")
     elbow = F.when((F.col("n") > 3) & F.col("_d2max").isNotNull(), (F.col("_arg") + 2) / n).otherwise(F.lit(base))
     stat = F.col("_sig") / n
