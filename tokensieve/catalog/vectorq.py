@@ -520,13 +520,12 @@ def q_truncate_sequence(spark, sf):
 
 # ------------------------------------------------------------------ V14
 @register("multi_query_fusion", _T + """
-, e AS (SELECT group_id, unnest(vec) AS x, unnest(range(len(vec))) AS p FROM text_tokens)
-, mq AS (SELECT group_id, list(m ORDER BY p) AS mq FROM (SELECT group_id, p, avg(x) AS m FROM e GROUP BY ALL) GROUP BY 1)
-, s AS (SELECT t.group_id, t.t_idx, t.vec, list_dot_product(t.vec, mq.mq) / sqrt(len(t.vec)::DOUBLE) AS s
-        FROM text_tokens t JOIN mq USING (group_id))
-, w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY group_id)) AS e FROM s)
-, ww AS (SELECT group_id, t_idx, list_transform(vec, lambda x: x * (e / sum(e) OVER (PARTITION BY group_id))) AS v FROM w)
-, f AS (SELECT group_id, unnest(v) AS x, unnest(range(len(v))) AS p FROM ww)
+, qk AS (SELECT q.group_id, q.t_idx AS i, k.t_idx AS j, k.vec, list_dot_product(q.vec, k.vec) / sqrt(len(q.vec)::DOUBLE) AS s
+         FROM text_tokens q JOIN text_tokens k USING (group_id))
+, qe AS (SELECT *, exp(s - max(s) OVER (PARTITION BY group_id, i)) AS e FROM qk)
+, qa AS (SELECT *, e / sum(e) OVER (PARTITION BY group_id, i) AS a FROM qe)
+, qo AS (SELECT group_id, i, p, sum(a * vec[p]) AS o FROM qa, (SELECT unnest(range(1, 65)) AS p) GROUP BY ALL)
+, f AS (SELECT group_id, p, avg(o) AS x FROM qo GROUP BY ALL)
 SELECT group_id, list(round(v, 6) ORDER BY p) AS fused FROM (SELECT group_id, p, sum(x) AS v FROM f GROUP BY ALL) GROUP BY 1""")
 def q_multi_query_fusion(spark, sf):
     f = P.fuse_queries(tb.text_tokens(spark, sf))

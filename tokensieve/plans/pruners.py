@@ -24,7 +24,9 @@ from ..operators import kernels as K
 from ..operators import select as S
 from ..operators.evaluate import MAX_INLINE_CONFIGS
 from ..operators.groupwise import group_softmax, group_stats
-from ..operators.scores import entropy_scores, mean_vector, query_relevance, softmax
+from ..operators.scores import entropy_scores, mean_vector, query_relevance
+from ..operators.tiles import attention_sums
+from ..session import written
 
 G = "group_id"
 # The reference's pre-sampling threshold and sample factors.
@@ -242,17 +244,20 @@ def prune_attention_textweighted(tokens: DataFrame, text_tokens: DataFrame, conf
 
 # V14
 def fuse_queries(text_tokens: DataFrame) -> DataFrame:
-    """Fuse a group's question vectors into one (re-aimed, deterministic):
-    attention pooling against the mean question, ``sum_j softmax_j(m.q_j /
-    sqrt(d)) q_j``; linear in the number of questions (no question pairs)."""
-    m = mean_vector(text_tokens, G, "vec", "_mq")
-    j = text_tokens.join(m, G)
-    j = j.withColumn("_s", dot("vec", "_mq") / F.sqrt(F.size("vec").cast("double")))
-    sm = softmax(j, G, "_s", "_w")
-    weighted = sm.select(G, "t_idx", F.transform("vec", lambda x: x * F.col("_w")).alias("vec"))
-    summed = weighted.select(G, F.posexplode("vec").alias("_p", "_x")).groupBy(G, "_p").agg(F.sum("_x").alias("_v"))
-    return summed.groupBy(G).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"]).alias("fused"))
+    """Fuse a group's question vectors into one: each attends to all of them,
+    ``softmax(q.k / sqrt(d))`` over the group, and the attended vectors are averaged.
+
+    The reference's projections are untrained random weights and are left out. The
+    attention that a vector gets from all questions together is its weight in the
+    mean, so tiles of the question matrix and one weighted sum are all there is."""
+    own = written(text_tokens.select(G, "t_idx", "vec"), "question-vectors")
+    scaled = own.select(G, "t_idx", F.transform("vec", lambda x: x / F.sqrt(F.size("vec").cast("double"))).alias("vec"))
+    weight = attention_sums(own.withColumnRenamed("t_idx", "token_idx"), scaled, [G])
+    weight = weight.select(G, F.col("token_idx").alias("t_idx"), (F.col("attention") / F.col("n_questions")).alias("_w"))
+    weighted = own.join(weight, [G, "t_idx"]).select(G, "_w", F.posexplode("vec").alias("_p", "_x"))
+    summed = weighted.groupBy(G, "_p").agg(F.sum(F.col("_x") * F.col("_w")).alias("_v"))
+    return written(summed.groupBy(G).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"]).alias("fused")), "fused-questions")
 
 
 # C4
