@@ -106,6 +106,18 @@ def test_lazy_maxmin_equals_the_kernel_in_few_rounds(spark):
     assert L.lazy_maxmin(df.limit(0), ["g"]).count() == 0
 
 
+def test_lazy_dpp_equals_the_kernel_in_few_rounds(spark):
+    r = np.random.default_rng(5)
+    x, rel = K.normalise_rows(r.standard_normal((4000, 64))), r.random(4000) + 0.1
+    rows = [(0, i, v, float(w), 40) for i, (v, w) in enumerate(zip(x.tolist(), rel))] + [(1, i, x[i].tolist(), float(rel[i]), 9) for i in range(5)]
+    df = spark.createDataFrame(rows, "g int, token_idx long, vec array<double>, relevance double, k int").repartition(6)
+    by = {0: [], 1: []}
+    for p in sorted(L.lazy_dpp(df, ["g"]).collect(), key=lambda p: p.pick_rank):
+        by[p.g].append(p.token_idx)
+    assert by == {0: K.dpp_map(x, rel, 40), 1: K.dpp_map(x[:5], rel[:5], 9)}
+    assert L.lazy_dpp(df.limit(0), ["g"]).count() == 0
+
+
 def test_seeded_selection_of_large_groups(spark):
     df, _ = vectors(spark, 2, 300)
     a, b = (sorted(map(tuple, K.diverse_maxmin_seeded(df, ["group_id"], 12, max_group=m).collect())) for m in (10**6, 100))

@@ -7,9 +7,8 @@ runs groups in parallel; each kernel keeps O(n) running state (never an
 n x n matrix).
 
 Groups larger than ``max_group`` rows are not collected into one task. Max-min
-selection (V2, V3) is done lazily there, many picks a round
-(``lazy.lazy_maxmin``). V4 and V13 take an exact distributed path
-(``iterative_*``) in which every pick is a partial aggregate over all of the
+selection (V2, V3) and DPP MAP (V13) are done lazily there, many picks a round
+(``lazy``). V4 takes an exact distributed path (``iterative_text_guided``) in which every pick is a partial aggregate over all of the
 group's rows (``min_by``), the picked row is joined back and the per-row state is
 updated; lineage is cut with ``checkpoint()`` into the session's
 ``spark.checkpoint.dir``.  All paths give the same picks.
@@ -26,12 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
 from ..session import ensure_checkpoint_dir
-from .lazy import lazy_maxmin
+from .lazy import DPP_EPS, lazy_dpp, lazy_maxmin
 
-# The diversity penalty of text-guided selection, the DPP
-# pivot guard and the default largest group handled inside one task.
+# The diversity penalty of text-guided selection and the
+# default largest group handled inside one task.
 DIVERSITY_PENALTY = 0.8
-DPP_EPS = 1e-12
 MAX_GROUP = 20_000
 CHECKPOINT_EVERY = 8
 
@@ -280,22 +278,6 @@ def iterative_text_guided(df: DataFrame, keys, weight_col: str = "weight") -> Da
     return _iterate(df, keys, {"_s": F.col(weight_col).cast("double")}, ["vec"], order, update)
 
 
-def iterative_dpp(df: DataFrame, keys, rel_col: str = "relevance") -> DataFrame:
-    """Exact distributed V13: state = (d2, coefficient list c)."""
-    def order():
-        return F.struct(-F.col("_d2"), F.col("token_idx"))
-
-    def update():
-        lrow = F.col("_p._r") * dot("vec", "_p.vec") * F.col("_r")
-        e = (lrow - dot("_p._c", "_c")) / F.sqrt(F.greatest(F.col("_p._d2"), F.lit(DPP_EPS)))
-        return {"_c": F.concat(F.col("_c"), F.array(e)), "_d2": F.col("_d2") - e * e}
-
-    d = df.withColumn("_r", F.col(rel_col).cast("double"))
-    return _iterate(d, keys, {"_d2": F.col("_r") * F.col("_r") * dot("vec", "vec"),
-                              "_c": F.array().cast("array<double>")},
-                    ["vec", "_r", "_c", "_d2"], order, update)
-
-
 def largest_group(df: DataFrame, keys) -> int:
     """Row count of the largest group (a partial aggregate; one small action)."""
     r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
@@ -384,7 +366,7 @@ def dpp_select(df: DataFrame, keys, k, rel_col: str = "relevance", max_group: in
     d = _with_k(df, k).withColumn("vec", l2_normalise("vec"))
     return dispatch_by_size(
         d, keys, lambda x: run_grouped(x, keys, lambda m, r, kk: dpp_map(m, r, kk), cols=("vec", rel_col)),
-        lambda x: iterative_dpp(x, keys, rel_col), max_group, largest)
+        lambda x: lazy_dpp(x, keys, rel_col), max_group, largest)
 
 
 # ----------------------------------------------------------------------------
