@@ -75,4 +75,5 @@ def test_sinks_round_trip(spark, tmp_path):
     files = sinks.final_files(sinks.payload_manifest(payloads, "n", "p", "row_id"))
     sinks.write_payload_files(files, str(tmp_path / "files"))
     sinks.write_payload_files(files, str(tmp_path / "files"))
+    assert {r.file_name: bytes(r.payload) for r in sinks.read_payload_files(files, str(tmp_path / "files")).collect()} == {"a.png": b"new", "b.png": bytes(range(256))}
     assert {f.name: f.read_bytes() for f in (tmp_path / "files").iterdir() if not f.name.endswith(".crc")} == {"a.png": b"new", "b.png": bytes(range(256))}

@@ -203,22 +203,21 @@ def q_token_stats(spark, sf):
 
 
 # ---------------------------------------------------------------- A14
-@register("summary_min_max_avg", _EV + """
-SELECT round(avg(embed_time), 6) AS avg_embed_time, round(min(embed_time), 6) AS min_embed_time,
-       round(max(embed_time), 6) AS max_embed_time, round(avg(api_call_time), 6) AS avg_api_time,
-       round(min(api_call_time), 6) AS min_api_time, round(max(api_call_time), 6) AS max_api_time,
-       round(avg(total_time), 6) AS avg_total_time, round(min(total_time), 6) AS min_total_time,
-       round(max(total_time), 6) AS max_total_time, round(sum(total_time), 6) AS sum_total_time,
-       round(avg(pruned_token), 6) AS avg_tokens FROM results WHERE api_success""")
+# Events hold one time before the call; these shares of it stand for its four parts.
+_PARTS = {"project_time": 0.125, "preprocess_time": 0.125, "encode_time": 0.5, "prune_time": 0.25}
+
+
+def _spread(col: str, short: str) -> str:
+    return ", ".join(f"round({f}({col}), 6) AS {f}_{short}" for f in ("avg", "min", "max"))
+
+
+@register("summary_min_max_avg", _EV + f"""
+SELECT {", ".join(_spread(f"embed_time * {share}::DOUBLE", part) for part, share in _PARTS.items())},
+       {_spread("embed_time", "embed_time")}, {_spread("api_call_time", "api_time")}, {_spread("total_time", "total_time")},
+       round(sum(total_time), 6) AS sum_total_time, round(avg(pruned_token), 6) AS avg_tokens FROM results WHERE api_success""")
 def q_summary_min_max_avg(spark, sf):
-    ok = E.successful_only(eval_results(spark, sf))
-    aggs = []
-    for c, short in (("embed_time", "embed_time"), ("api_call_time", "api_time"), ("total_time", "total_time")):
-        aggs += [F.round(F.avg(c), 6).alias(f"avg_{short}"), F.round(F.min(c), 6).alias(f"min_{short}"),
-                 F.round(F.max(c), 6).alias(f"max_{short}")]
-    aggs += [F.round(F.sum("total_time"), 6).alias("sum_total_time"),
-             F.round(F.avg("pruned_token"), 6).alias("avg_tokens")]
-    return ok.agg(*aggs)
+    parts = {part: F.col("embed_time") * F.lit(share) for part, share in _PARTS.items()}
+    return E.summary_min_max_avg(eval_results(spark, sf).withColumns(parts))
 
 
 # ---------------------------------------------------------------- W17

@@ -424,10 +424,14 @@ def _manifest(spark, sf):
 
 @register("extract_payload_files", _MANIFEST_SQL + """
 SELECT file_name, max(row_id) AS row_id, octet_length(arg_max(payload, row_id))::BIGINT AS n_bytes,
-       count(*) AS n_writes FROM mm WHERE status = 'ok' GROUP BY file_name""")
+       sha256(arg_max(payload, row_id)) AS sha256, count(*) AS n_writes FROM mm WHERE status = 'ok' GROUP BY file_name""")
 def q_extract_payload_files(spark, sf):
+    """The last payload of each name, written as a file and read back."""
     files = K.final_files(_manifest(spark, sf))
-    return files.select("file_name", "row_id", F.octet_length("payload").cast("bigint").alias("n_bytes"), "n_writes")
+    folder = new_folder(spark, "payload-files")
+    K.write_payload_files(files, folder)
+    back = K.read_payload_files(files, folder).select("file_name", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
+    return files.select("file_name", "row_id", "n_writes").join(back, "file_name")
 
 
 @register("payload_present", _MANIFEST_SQL + "SELECT row_id, status FROM mm")

@@ -154,6 +154,22 @@ def timing_summary(results: DataFrame, cols=("embed_time", "api_call_time", "tot
     return long.select("metric", *[_round(F.col(c)).alias(c) for c in ("total", "mean", "min", "max", "std")])
 
 
+# A14
+SUMMARY_TIMES = {"project_time": "project_time", "preprocess_time": "preprocess_time", "encode_time": "encode_time", "prune_time": "prune_time",
+                 "embed_time": "embed_time", "api_call_time": "api_time", "total_time": "total_time"}
+
+
+def summary_min_max_avg(results: DataFrame) -> DataFrame:
+    """Mean, minimum and maximum of every time that ``results`` has, the sum of the
+    total and the mean output tokens, over successes; one row, one pass."""
+    ok = successful_only(results)
+    aggs = []
+    for c, short in SUMMARY_TIMES.items():
+        if c in results.columns:
+            aggs += [_round(F.avg(c)).alias(f"avg_{short}"), _round(F.min(c)).alias(f"min_{short}"), _round(F.max(c)).alias(f"max_{short}")]
+    return ok.agg(*aggs, _round(F.sum("total_time")).alias("sum_total_time"), _round(F.avg("pruned_token")).alias("avg_tokens"))
+
+
 # A12
 def accuracy_nonempty(results: DataFrame) -> DataFrame:
     s = successful_with_prediction(results)

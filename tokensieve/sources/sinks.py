@@ -7,6 +7,7 @@ configuration), never a driver loop over results.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -110,12 +111,11 @@ def write_payload_files(files: DataFrame, out_dir: str) -> None:
     """Write each final payload to ``out_dir/<file_name>``, a folder (path or
     URI) that all executors share. A file appears under its name when whole,
     so a repeated task leaves no half of one."""
-    target = out_dir.rstrip("/")
+    target = _uri(out_dir)
+    _store(target)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        store, folder = fs.FileSystem.from_uri(target)
-        store.create_dir(folder, recursive=True)
+        store, folder = _store(target)
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = f"{folder}/.{uuid.uuid4().hex}"
@@ -127,6 +127,34 @@ def write_payload_files(files: DataFrame, out_dir: str) -> None:
     files.select("file_name", "payload").mapInArrow(save, "file_name string").write.format("noop").mode("overwrite").save()
 
 
+def _uri(folder: str) -> str:
+    return re.sub("^file:/(?!/)", "file:///", folder.rstrip("/"))
+
+
+def _store(target: str):
+    """The file system and the folder of ``target``, which is made if it is not there."""
+    from pyarrow import fs
+    store, folder = fs.FileSystem.from_uri(target)
+    store.create_dir(folder, recursive=True)
+    return store, folder
+
+
+def read_payload_files(names: DataFrame, out_dir: str) -> DataFrame:
+    """(file_name, payload): the named files of a folder that ``write_payload_files`` filled.
+
+    Names may hold what Spark's own readers do not take in a path (a colon), so tasks open them by name."""
+    target = _uri(out_dir)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(target)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():  # one file in memory at a time
+                with store.open_input_stream(f"{folder}/{name}") as file:
+                    yield pa.record_batch([pa.array([name], pa.string()), pa.array([file.read()], pa.binary())], ["file_name", "payload"])
+
+    return names.select("file_name").mapInArrow(load, "file_name string, payload binary")
+
+
 # F23
 def result_record_columns(original_tokens: int = 576, method: str = "pruned_embeddings"):
     """Record fields with the reference's defaults: failed calls keep empty
