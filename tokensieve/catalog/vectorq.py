@@ -255,7 +255,7 @@ _ATTN = _T + """
 , c AS (SELECT *, greatest(a / (sum(a) OVER (PARTITION BY group_id, token_idx) + 1e-10), 1e-10) AS p FROM attn)
 SELECT group_id, token_idx, round(-0.1 * -sum(p * ln(p)), 9) AS entropy_score FROM c GROUP BY ALL""")
 def q_entropy_scores(spark, sf):
-    e = SC.entropy_scores(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
+    e = SC.question_entropy_scores(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
     return e.select(G, "token_idx", r9(F.col("entropy_score")).alias("entropy_score"))
 
 
@@ -264,7 +264,7 @@ def q_entropy_scores(spark, sf):
 , c AS (SELECT *, greatest(m / (sum(m) OVER (PARTITION BY group_id) + 1e-10), 1e-10) AS p FROM m)
 SELECT group_id, round(-0.1 * -sum(p * ln(p)), 9) AS entropy_score FROM c GROUP BY ALL""")
 def q_entropy_scores_headmean(spark, sf):
-    e = SC.entropy_scores_headmean(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
+    e = SC.question_entropy_headmean(tb.tokens(spark, sf), tb.text_tokens(spark, sf), 0.1)
     return e.select(G, r9(F.col("entropy_score")).alias("entropy_score"))
 
 

@@ -173,23 +173,39 @@ def entropy_keep_ratio(scores: DataFrame, col: str = "cls_score", base: float =
 
 
 # W9
-def entropy_scores(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
-    """Attention of each question vector = softmax over the tokens of its group; its
-    shares per token over the question vectors; score = -lambda * their entropy.
-    Also the summed ``attention`` of the token."""
+def entropy_scores(attn: DataFrame, lam: float = 0.1) -> DataFrame:
+    """Attention (group, t_idx, token_idx, a), as given: normalise each token column
+    over the text rows, entropy per token, score = -lambda * H."""
+    s = join_group_stats(attn, ["group_id", "token_idx"], _cs=F.sum("a"))
+    p = F.greatest(F.col("a") / (F.col("_cs") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
+    h = s.groupBy("group_id", "token_idx").agg((-F.sum(p * F.log(p))).alias("_h"))
+    return h.select("group_id", "token_idx", (F.lit(-lam) * F.col("_h")).alias("entropy_score"))
+
+
+def question_entropy_scores(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
+    """W9 where the attention of a question vector is the softmax over the tokens of
+    its group: computed in tiles, no attention row is made. Also the token's summed ``attention``."""
     h = attention_entropy(tokens, text_tokens, ["group_id"])
     return h.select("group_id", "token_idx", (F.lit(-lam) * F.col("entropy")).alias("entropy_score"), "attention")
 
 
 # W10
-def entropy_scores_headmean(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
+def _headmean(mean: DataFrame, lam: float) -> DataFrame:
+    s = join_group_stats(mean, "group_id", _t=F.sum("_m"))
+    p = F.greatest(F.col("_m") / (F.col("_t") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
+    return s.groupBy("group_id").agg((F.lit(-lam) * -F.sum(p * F.log(p))).alias("entropy_score"))
+
+
+def entropy_scores_headmean(attn: DataFrame, lam: float = 0.1) -> DataFrame:
     """Average the rows first, then one entropy over the tokens: a single
     scalar per group."""
-    m = written(attention_sums(tokens, text_tokens, ["group_id"]).select(
-        "group_id", (F.col("attention") / F.col("n_questions")).alias("_m")), "mean-attention")
-    total = m.groupBy("group_id").agg(F.sum("_m").alias("_t"))
-    p = F.greatest(F.col("_m") / (F.col("_t") + F.lit(ENTROPY_EPS)), F.lit(ENTROPY_EPS))
-    return m.join(total, "group_id").groupBy("group_id").agg((F.lit(-lam) * -F.sum(p * F.log(p))).alias("entropy_score"))
+    return _headmean(attn.groupBy("group_id", "token_idx").agg(F.avg("a").alias("_m")), lam)
+
+
+def question_entropy_headmean(tokens: DataFrame, text_tokens: DataFrame, lam: float = 0.1) -> DataFrame:
+    """W10 of the question vectors' attention, computed in tiles."""
+    sums = attention_sums(tokens, text_tokens, ["group_id"])
+    return _headmean(written(sums.select("group_id", (F.col("attention") / F.col("n_questions")).alias("_m")), "mean-attention"), lam)
 
 
 # W11

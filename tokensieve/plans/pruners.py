@@ -24,7 +24,7 @@ from ..operators import kernels as K
 from ..operators import select as S
 from ..operators.evaluate import MAX_INLINE_CONFIGS
 from ..operators.groupwise import group_softmax, group_stats
-from ..operators.scores import entropy_scores, mean_vector, query_relevance
+from ..operators.scores import mean_vector, query_relevance, question_entropy_scores
 from ..operators.tiles import attention_sums
 from ..session import written
 
@@ -327,7 +327,7 @@ def prune_entropy(tokens: DataFrame, text_tokens: DataFrame, configs: DataFrame,
     over questions (W14)."""
     rows = _config_rows(configs)
     lv, cfg = _levels(rows)
-    es = entropy_scores(tokens, text_tokens, lam)
+    es = question_entropy_scores(tokens, text_tokens, lam)
     largest = K.largest_group(tokens, [G])
     t = _sized(tokens, largest).join(es, [G, "token_idx"])
     t = S.rank_desc(t, G, "entropy_score", "score_rank", largest)
