@@ -438,3 +438,33 @@ def test_decontamination_of_short_items(spark):
         assert want and {(0, 1), (0, 3), (1, 1), (2, 2), (4, 4), (5, 8), (8, 10), (9, 11), (11, 1)} <= {w[:2] for w in want}
         got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string")).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_decontamination_of_repetitive_text():
+    """Runs of one q-gram cost about their length; counts equal those of all pairs."""
+    rnd = random.Random(5)
+    words = ["-", "- ", "ab", "abc", "| ", "x"]
+    item_texts = ["".join(rnd.choice(words[:k]) for _ in range(40)) for k in (1, 1, 2, 2, 3, 6)] + ["-" * 60, "abcabc" * 8]
+    texts = ["".join(rnd.choice(words[:k]) for _ in range(n)) for k in (1, 2, 3, 6) for n in (5, 60, 300)] + ["", "-" * 11]
+    q = 12
+    items = decontaminate.Items(list(enumerate(item_texts)), q, 0.06)
+    line, starts, want = [], [], {}
+    for t in texts:
+        starts.append(len(line))
+        line += [*decontaminate.codes(t).tolist(), *([0] * q)]
+    for d, t in enumerate(texts):
+        for i, own in enumerate(item_texts):
+            for p, r in itertools.product(range(len(t) - q + 1), range(len(own) - q + 1)):
+                if t[p:p + q] == own[r:r + q]:
+                    k = i, d, (starts[d] + p - r + items.raised) // (int(items.edits[i]) + 1)
+                    want[k] = want.get(k, 0) + 1
+    h = decontaminate.grams(np.array(line, np.uint64), q)
+    inside = np.ones(len(h), bool)
+    for t, s in zip(texts, starts):
+        inside[max(s, s + len(t) - q + 1):s + len(t) + q] = False
+    got = zip(*(x.tolist() for x in items.strips(h, inside, lambda p: np.searchsorted(starts, p, side="right") - 1)))
+    assert {x[:3]: x[3] for x in got} == want and len(want) > 500
+    rules = decontaminate.Items([(1, "-" * 400)], q, 0.06)
+    assert rules.search(["-" * 1_000_000]) == [(0, 0, 0, 400, 0)]
+    assert rules.search([("-" * 390 + "\n") * 2_500]) == [(0, 0, 0, 400, 1)]
+    assert rules.search(["- " * 400_000]) == []

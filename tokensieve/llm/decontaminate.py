@@ -5,7 +5,10 @@ m + 1 - q - e * q character q-grams with the region, all on e + 1 neighbouring
 diagonals. Each document's q-grams are looked up among the items' q-grams,
 matches are counted in overlapping bands of diagonals, and bands that meet
 the bound are verified by banded alignment of the whole item. Case and the
-kind of white space do not count.
+kind of white space do not count. Matches are counted from the ends of the
+runs that they form along a diagonal, and bands that overlap are aligned as
+one, so a text or item that repeats one q-gram costs no more than its length
+times the item's.
 
 The benchmark is taken in blocks of bounded size, each shipped to the tasks
 that read the documents; documents are never shuffled.
@@ -17,7 +20,9 @@ Defined results: null texts on either side match nothing, nor do items of
 white space alone with fewer than ``q`` characters; an item's budget is lowered until its
 bound is one shared q-gram at least; repeated documents and items are
 reported once for each pair of rows; an empty table on either side gives no
-rows. Only ``doc_id``, ``item_id`` and ``text`` are read.
+rows. Of an item's places in a text the one of fewest edits counts, of these
+the one that ends first. Very long texts are searched whole, each alone. Only
+``doc_id``, ``item_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -37,6 +42,9 @@ TOGETHER = 1_000_000
 #: and how many of them at most (their number takes 13 bits of a key).
 MOST = 1 << 13
 TABLE_BITS = 23
+#: Ends of runs counted at once, and diagonals aligned at once.
+RUNS = 1 << 20
+WIDEST = 1 << 16
 
 
 def folded(text: str) -> str:
@@ -78,38 +86,57 @@ def budget(m: int, share: float, q: int) -> int:
 
 
 def aligned(item: np.ndarray, region: np.ndarray, low: int, width: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the item's best place in the region, if at most
+    """(edits, end, start) of the item's best place in the region, if at most
     ``most`` edits; cells outside diagonals ``low`` to ``low + width`` (text
     place less item place) are left out. The earliest end wins a tie."""
-    far = 1 << 20
-    diag = low + np.arange(width + 1)
-    ramp = np.arange(width + 1)
+    far = np.int32(1 << 28)
+    m, n = len(item), width + 1
+    # the region along the first row's diagonals and on to the last row's
+    place = np.arange(low, low + n + m)
+    text = np.full(n + m, -1, np.int64)
+    held = (place >= 0) & (place < len(region))
+    text[held] = region[place[held]]
+    outside = (place < 0) | (place > len(region))
+    ramp = np.arange(n, dtype=np.int32)
     # row 0: an occurrence may start at any place of the region
-    cost = np.where((diag >= 0) & (diag <= len(region)), 0, far)
-    origin = diag.copy()
-    for i in range(1, len(item) + 1):
-        at = diag + i
-        inside = (at >= 0) & (at <= len(region))
-        char = region[np.clip(at - 1, 0, len(region) - 1)]
-        step = cost + np.where((at >= 1) & (char == item[i - 1]), 0, 1)
-        step[at < 1] = far
-        above = np.append(cost[1:] + 1, far)
+    cost = np.where(outside[:n], far, np.int32(0))
+    origin = ramp
+    for i in range(1, m + 1):
+        step = cost + (text[i - 1:i - 1 + n] != np.int64(item[i - 1]))
+        step[text[i - 1:i - 1 + n] < 0] = far
+        above = np.append(cost[1:] + np.int32(1), far)
         take = above < step
         new = np.where(take, above, step)
-        new[~inside] = far
-        start = np.where(take, np.append(origin[1:], 0), origin)
+        new[outside[i:i + n]] = far
+        start = np.where(take, np.append(origin[1:], np.int32(0)), origin)
         # moving along the text: the least of earlier cells plus the distance
-        lead = np.minimum.accumulate(new - ramp)
-        left = lead + ramp
-        first = np.maximum.accumulate(np.where(new - ramp == lead, ramp, 0))
-        better = left < new
-        start = np.where(better, start[first], start)
-        new = np.where(better & inside, left, new)
-        cost, origin = new, start
+        slope = new - ramp
+        lead = np.minimum.accumulate(slope)
+        better = lead < slope
+        if better.any():
+            first = np.maximum.accumulate(np.where(better, np.int32(0), ramp))
+            start = np.where(better, start[first], start)
+            new = np.where(better & ~outside[i:i + n], lead + ramp, new)
+        cost, origin = np.minimum(new, far), start
         if cost.min() > most:
             return None
     k = int(cost.argmin())
-    return (int(cost[k]), int(origin[k]), int(diag[k] + len(item))) if cost[k] <= most else None
+    return (int(cost[k]), low + k + m, low + int(origin[k])) if cost[k] <= most else None
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from first to last (exclusive) of each pair, and its pair."""
+    n = last - first
+    pair = np.repeat(np.arange(len(n)), n)
+    return pair, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[pair]
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of equal keys added up, by key."""
+    own, at = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(own), np.int64)
+    np.add.at(out, at, values)
+    return own, out
 
 
 class Items:
@@ -128,9 +155,17 @@ class Items:
         h = np.concatenate([grams(c, q) for c in self.codes] or [np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(kept)), length + 1 - q)
         place = np.arange(len(h)) - np.repeat(np.cumsum(length + 1 - q) - (length + 1 - q), length + 1 - q)
-        order = np.argsort(h, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.keys, key = np.unique(h, return_inverse=True)
+        #: What a diagonal is raised by to be positive.
+        self.raised = int(length.max(initial=0))
+        #: For the gram before (0) and after (1): the grams of all items by (key, that gram's key or -2).
+        self.sides = []
+        for by in (-1, 1):
+            next_to = np.roll(key, -by)
+            next_to[place == (0 if by < 0 else (length - q)[item])] = -2
+            pair = self.paired(key, next_to)
+            order = np.argsort(pair, kind="stable")
+            self.sides.append((pair[order], item[order], place[order]))
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.keys >> np.uint64(64 - TABLE_BITS)] = True
         #: By length: the short items' hashes in order, their numbers and code points.
@@ -142,25 +177,65 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.short[m] = h[order], np.array(own)[order] + len(kept), rows[order]
 
-    def bands(self, h: np.ndarray, doc_of) -> Iterator[tuple[np.ndarray, ...]]:
-        """Keys, items, lowest diagonals, documents and counts of the bands hit."""
-        hit = np.flatnonzero(self.table[h >> np.uint64(64 - TABLE_BITS)])
-        at = np.searchsorted(self.keys, h[hit])
-        at[at == len(self.keys)] = 0
-        same = self.keys[at] == h[hit]
-        hit, at = hit[same], at[same]
-        n = self.count[at]
-        pos = np.repeat(hit, n)
-        row = np.repeat(self.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, wide = self.item[row], self.edits[self.item[row]] + 1
-        diagonal = pos - self.place[row] + (1 << 20)
-        band = diagonal // wide
-        # a band is two strips of `wide` diagonals, so each strip counts for two bands
-        for shift in (0, 1):
-            key = np.stack([item, band - shift], axis=1)
-            packed = (key[:, 0] << 44) | (key[:, 1] << 13) | doc_of(pos)
-            found, first, number = np.unique(packed, return_index=True, return_counts=True)
-            yield found, item[first], key[first, 1] * wide[first] - (1 << 20), doc_of(pos[first]), number
+    def paired(self, key: np.ndarray, next_to: np.ndarray) -> np.ndarray:
+        return key * (len(self.keys) + 2) + next_to + 2
+
+    def strips(self, h: np.ndarray, inside: np.ndarray, doc_of) -> tuple[np.ndarray, ...]:
+        """Items, documents, numbers and match counts of the strips of
+        ``edits + 1`` diagonals that hold a match, in this order.
+
+        Equal q-grams that go on along a diagonal are a run, which starts where
+        the q-grams before differ and stops where those after do; only such
+        pairs are made, and the places after the stops less the starts add up
+        to the matches."""
+        hit = np.flatnonzero(inside & self.table[h >> np.uint64(64 - TABLE_BITS)])
+        key = np.searchsorted(self.keys, h[hit])
+        key[key == len(self.keys)] = 0
+        same = self.keys[key] == h[hit]
+        hit, key = hit[same], key[same]
+        found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(hit):
+            return found, found, found, counts
+        touch = np.diff(hit) == 1
+        before = np.where(np.append(False, touch), np.append(-1, key[:-1]), -1)
+        after = np.where(np.append(touch, False), np.append(key[1:], -1), -1)
+        for (pairs, items, places), next_to, sign in zip(self.sides, (before, after), (-1, 1)):
+            first = np.searchsorted(pairs, self.paired(key, np.full(len(key), -2)))
+            last = np.searchsorted(pairs, self.paired(key, np.full(len(key), len(self.keys))), side="left")
+            skip, on = np.searchsorted(pairs, self.paired(key, next_to)), np.searchsorted(pairs, self.paired(key, next_to), side="right")
+            total = np.cumsum(last - first - (on - skip))
+            cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, int(total[-1]), RUNS)), len(key)))
+            for a, b in zip(np.append(0, cuts), cuts):
+                for low, high in ((first, skip), (on, last)):
+                    which, row = _ranges(low[a:b], high[a:b])
+                    pos, item = hit[a:b][which], items[row]
+                    strip = (pos - places[row] + self.raised) // (self.edits[item] + 1)
+                    packed = (item << 44) | (doc_of(pos) << 31) | strip
+                    own, value = _summed(packed, sign * pos + (sign > 0))
+                    found, counts = _summed(np.append(found, own), np.append(counts, value))
+        return found >> 44, (found >> 31) & (MOST - 1), found & ((1 << 31) - 1), counts
+
+    def bands(self, h: np.ndarray, inside: np.ndarray, doc_of) -> Iterator[tuple[int, int, int, int]]:
+        """(item, document, lowest and highest diagonal) of bands of two strips
+        that meet the item's bound, those that overlap taken together."""
+        item, doc, strip, number = self.strips(h, inside, doc_of)
+        if not len(item):
+            return
+        goes_on = (item[1:] == item[:-1]) & (doc[1:] == doc[:-1]) & (strip[1:] == strip[:-1] + 1)
+        number[:-1] += np.where(goes_on, number[1:], 0)
+        kept = number >= self.bound[item]
+        item, doc, edits = item[kept], doc[kept], self.edits[item[kept]]
+        low = strip[kept] * (edits + 1) - self.raised - edits
+        own = None
+        for i, d, a, b in zip(item.tolist(), doc.tolist(), low.tolist(), (low + 4 * edits + 2).tolist()):
+            if own and own[:2] == (i, d) and a <= own[3] and b - own[2] < WIDEST:
+                own = (i, d, own[2], b)
+                continue
+            if own:
+                yield own
+            own = (i, d, a, b)
+        if own:
+            yield own
 
     def whole(self, line: np.ndarray, doc_of) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, start, end) of each short item that stands alone."""
@@ -188,24 +263,26 @@ class Items:
         line = np.concatenate([x for own in c for x in (own, gap)])
         starts = np.cumsum([0, *(len(own) + self.q for own in c)])[:-1]
         doc_of = lambda p: np.searchsorted(starts, p, side="right") - 1
-        parts = list(self.bands(grams(line, self.q), doc_of)) if len(self.keys) else []
-        counts: dict[int, tuple] = {}
-        for found, item, low, doc, number in parts:
-            for key, *rest in zip(found.tolist(), item.tolist(), low.tolist(), doc.tolist(), number.tolist()):
-                counts.setdefault(key, [*rest[:3], 0])[3] += rest[3]
         best: dict[tuple[int, int], tuple] = {}
-        for item, low, doc, number in counts.values():
-            if number < self.bound[item]:
-                continue
-            edits = int(self.edits[item])
-            found = aligned(self.codes[item], c[doc], low - int(starts[doc]) - edits, 4 * edits + 2, edits)
-            if found and ((doc, item) not in best or found < best[doc, item]):
-                best[doc, item] = found
+        if len(self.keys):
+            h = grams(line, self.q)
+            inside = np.ones(len(h), bool)
+            for own, start in zip(c, starts.tolist()):
+                inside[max(start, start + len(own) - self.q + 1):start + len(own) + self.q] = False
+            for item, doc, low, high in self.bands(h, inside, doc_of):
+                low, high = low - int(starts[doc]), high - int(starts[doc])
+                old = best.get((doc, item))
+                # a place without edits that ends before any of this band's
+                if old and old[0] == 0 and old[1] < low + len(self.codes[item]):
+                    continue
+                found = aligned(self.codes[item], c[doc], low, high - low, int(self.edits[item]))
+                if found and (not old or found < old):
+                    best[doc, item] = found
         for doc, item, start, end in self.whole(line, doc_of):
             start, end = start - int(starts[doc]), end - int(starts[doc])
-            if end <= len(c[doc]) and ((doc, item) not in best or (0, start, end) < best[doc, item]):
-                best[doc, item] = (0, start, end)
-        return [(doc, item, start, end, n) for (doc, item), (n, start, end) in best.items()]
+            if end <= len(c[doc]) and ((doc, item) not in best or (0, end, start) < best[doc, item]):
+                best[doc, item] = (0, end, start)
+        return [(doc, item, start, end, n) for (doc, item), (n, end, start) in best.items()]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
