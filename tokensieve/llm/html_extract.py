@@ -7,8 +7,14 @@ sink). Edges between neighbouring blocks, weaker the further apart they stand
 in the element tree, and between blocks of one parent make labels smooth. The
 minimum cut is the cheapest labelling; blocks on the source's side are the text.
 
+Tags are found in one pass forward, open elements are kept by kind, and blocks
+whose label no neighbour can turn leave the graph before the flow is computed,
+so that the time of a very long, deeply nested or broken page is about in
+proportion to its length.
+
 Defined results: a null or empty page has the empty text; a repeated row has a row
-each; an empty table gives no rows. Only the three columns named are read.
+each; an empty table gives no rows; of several minimum cuts the one with the least
+text counts. Very long pages are read whole. Only the three columns named are read.
 """
 
 from __future__ import annotations
@@ -16,16 +22,21 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*>", re.S)
-ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+OPENS = re.compile(r"<!--|<(?=/?[a-zA-Z!?])")
+NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
+ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+ATTR = re.compile(r"(?<![\w:-])([\w:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[a-z0-9]+")
+#: Character references by number: zeros in front, and numbers beyond any character.
+ZEROS = re.compile(r"&#0+(?=[0-9])")
+BEYOND = re.compile(r"&#[0-9]{8,};?")
 #: Elements that HTML lays out as blocks, never closes, and whose content is not text.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -48,11 +59,80 @@ FOR = frozenset("article articlebody content post entry story maincontent main t
 
 
 class Block:
-    __slots__ = ("parts", "linked", "score", "path", "tag", "text")
+    __slots__ = ("parts", "linked", "score", "place", "tag", "text")
 
-    def __init__(self, score: float, path: tuple[int, ...], tag: str):
+    def __init__(self, score: float, place: "Place", tag: str):
         self.parts: list[str] = []
-        self.linked, self.score, self.path, self.tag, self.text = 0, score, path, tag, ""
+        self.linked, self.score, self.place, self.tag, self.text = 0, score, place, tag, ""
+
+
+class Place:
+    """A layout element of the page's tree."""
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: "Place | None"):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of a closing tag, name, attributes) of each tag and
+    comment, the name empty where it has none. An element whose content is not
+    text ends behind its closing tag. A ``>`` in quotes does not end a tag,
+    unless no other does."""
+    last, at = page.rfind(">"), 0
+    ends: dict[int, int] | None = None
+    marks: list[int] = []
+    while m := OPENS.search(page, at):
+        start = m.start()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        if start > last:  # nothing ends a tag any more; a comment may still come
+            at = page.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        name = NAME.match(page, start)
+        end = -1
+        if name:
+            if ends is None:
+                whole = ATTRS.match(page, name.end())
+                end = whole.end() if whole else -1
+                if not whole:  # a quote stays open: find all ends at once
+                    ends, marks = _ends(page)
+            else:
+                k = bisect_left(marks, name.end())
+                end = ends[marks[k]] if k < len(marks) else -1
+        if end >= 0:
+            at, closing, attrs = end, "/" if page[start + 1] == "/" else "", page[name.end():end - 1]
+            if not closing and name[1].lower() in RAW and not attrs.rstrip().endswith("/"):
+                m = re.compile(rf"</{re.escape(name[1])}\b", re.I).search(page, at)
+                at = (m and page.find(">", m.end()) + 1) or len(page)
+            yield start, at, closing, name[1], attrs
+        else:
+            at = page.find(">", start) + 1
+            yield start, at, "", "", ""
+
+
+def _ends(page: str) -> tuple[dict[int, int], list[int]]:
+    """Where a tag ends, by the first quote or ``>`` after its name, or -1;
+    and the places of these in order."""
+    marks = [m.start() for m in re.finditer(r"[>\"']", page)]
+    ends: dict[int, int] = {}
+    after = {}  # the next mark of each kind, and the mark that follows that one
+    following = -1
+    for p in reversed(marks):
+        kind = page[p]
+        if kind == ">":
+            ends[p] = p + 1
+        else:
+            closing = after.get(kind)
+            ends[p] = -1 if closing is None or closing < 0 else ends[closing]
+            after[kind] = following
+        following = p
+    return ends, marks
 
 
 def _evidence(tag: str, attrs: str, good: float, bad: float) -> tuple[float, float]:
@@ -77,70 +157,64 @@ def _evidence(tag: str, attrs: str, good: float, bad: float) -> tuple[float, flo
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # an open element: tag, number, best evidence for, worst against
-    stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]
+    # an open element: tag, best evidence for, worst against
+    stack: list[tuple[str, float, float]] = [("", 0.0, 0.0)]
+    # where in the stack the open elements of a tag stand, and the layout elements with their places in the tree
+    held: dict[str, list[int]] = {}
+    layout: list[tuple[int, Place]] = [(0, Place(None))]
     open_block: Block | None = None
-    links = number = at = 0
+    at = 0
 
     def add(text: str) -> None:
         nonlocal open_block
         if open_block is None:
             if not text.strip():
                 return
-            layout = [e for e in stack if e[0] in BLOCK]
-            tag, _, good, bad = stack[-1]
-            holder = layout[-1][0] if layout else ""
-            open_block = Block(good + bad, tuple(e[1] for e in layout), holder)
+            _, good, bad = stack[-1]
+            k, place = layout[-1]
+            open_block = Block(good + bad, place, stack[k][0])
             out.append(open_block)
         open_block.parts.append(text)
-        if links:
+        if held.get("a"):
             open_block.linked += len(text)
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+    def close(upto: int) -> None:
+        while len(stack) > upto:
+            held[stack.pop()[0]].pop()
+            if layout[-1][0] == len(stack):
+                layout.pop()
+
+    for start, end, closing, name, attrs in tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
+        tag = name.lower()
         if tag in BLOCK:
             open_block = None
-        if m[1]:
-            places = [i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag][:1]
+        if closing:
             # a closing inline tag does not reach out of its block
-            if places and (tag in BLOCK or all(e[0] not in BLOCK for e in stack[places[0] + 1:])):
-                del stack[places[0]:]
-                links = sum(e[0] == "a" for e in stack)
+            if held.get(tag) and (tag in BLOCK or held[tag][-1] >= layout[-1][0]):
+                close(held[tag][-1])
             continue
         if tag == "br":
             if open_block:
                 open_block.parts.append(" ")
             continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or tag in RAW or attrs.endswith("/"):
             continue
         if tag in BLOCK:  # opens where a paragraph or item of its kind is left open
-            implied = {"p"} | ({tag} if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in implied:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-            links = sum(e[0] == "a" for e in stack)
-        number += 1
-        good, bad = _evidence(tag, m[3], *stack[-1][2:])
-        stack.append((tag, number, good, bad))
-        links += tag == "a"
+            implied = ("p", tag) if tag in ("li", "dt", "dd", "td", "th", "tr", "option") else ("p",)
+            if layout[-1][0] and stack[layout[-1][0]][0] in implied:
+                close(layout[-1][0])
+            layout.append((len(stack), Place(layout[-1][1])))
+        held.setdefault(tag, []).append(len(stack))
+        stack.append((tag, *_evidence(tag, attrs, *stack[-1][1:])))
     if at < len(page):
         add(page[at:])
     for b in out:
-        b.text = " ".join(html.unescape("".join(b.parts)).split())
+        b.text = " ".join(html.unescape(BEYOND.sub("\ufffd", ZEROS.sub("&#", "".join(b.parts)))).split())
     return [b for b in out if b.text]
 
 
@@ -157,19 +231,23 @@ def scores(found: list[Block]) -> list[float]:
     return out
 
 
+def _apart(a: Place, b: Place) -> int:
+    """Steps between two places of the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a, steps = a.parent, steps + 1
+    return steps
+
+
 def smooth_edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """(block, block, weight): neighbours in the page and in the tree."""
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            before = found[i - 1].path
-            common = 0
-            for x, y in zip(before, b.path):
-                if x != y:
-                    break
-                common += 1
-            out.append((i - 1, i, 1.0 / (1 + len(before) + len(b.path) - 2 * common)))
-        parent = b.path[:-1]
+            out.append((i - 1, i, 1.0 / (1 + _apart(found[i - 1].place, b.place))))
+        parent = b.place.parent or b.place
         if parent in last and last[parent] != i - 1:
             out.append((last[parent], i, 0.3))
         last[parent] = i
@@ -186,29 +264,66 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
     for a, b, w in edges:
         to[a][b] = to[a].get(b, 0) + w
         to[b][a] = to[b].get(a, 0) + w
-    while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if need[i] > 0}
-        queue, end = deque(came), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, w in to[i].items():
-                if w > 0 and j not in came:
-                    came[j] = i
-                    if need[j] < 0:
-                        end = j
+    # a node that needs more than its edges hold keeps its side; its edges become needs of its neighbours
+    side: list[bool | None] = [None] * n
+    room = [sum(x.values()) for x in to]
+    sure = [i for i in range(n) if need[i] > room[i] or need[i] <= -room[i]]
+    while sure:
+        i = sure.pop()
+        if side[i] is not None:
+            continue
+        side[i] = need[i] > 0
+        for j, w in to[i].items():
+            if side[j] is None:
+                del to[j][i]
+                room[j] -= w
+                need[j] += w if side[i] else -w
+                if need[j] > room[j] or need[j] <= -room[j]:
+                    sure.append(j)
+    left = [i for i in range(n) if side[i] is None]
+    while True:  # one phase: all shortest paths from needs above zero to needs below
+        level = {i: 0 for i in left if need[i] > 0}
+        front, ends = list(level), False
+        while front and not ends:
+            reached = []
+            for i in front:
+                for j, w in to[i].items():
+                    if w > 0 and j not in level:
+                        level[j] = level[i] + 1
+                        ends |= need[j] < 0
+                        reached.append(j)
+            front = reached
+        if not ends:
+            for i in left:
+                side[i] = i in level
+            return side
+        arcs = {i: list(to[i]) for i in level}
+        tried = dict.fromkeys(level, 0)
+        for first in [i for i in level if level[i] == 0]:
+            path = [first]
+            while path and need[first] > 0:
+                i = path[-1]
+                if need[i] < 0:
+                    steps = list(zip(path, path[1:]))
+                    flow = min(need[first], -need[i], *(to[a][b] for a, b in steps))
+                    need[first] -= flow
+                    need[i] += flow
+                    for a, b in steps:
+                        to[a][b] -= flow
+                        to[b][a] += flow
+                    # go on from the last node before an edge that is full
+                    path = path[:next((k for k, (a, b) in enumerate(steps) if to[a][b] == 0), len(steps)) + 1]
+                    continue
+                while tried[i] < len(arcs[i]):
+                    j = arcs[i][tried[i]]
+                    if level.get(j) == level[i] + 1 and to[i][j] > 0:
+                        path.append(j)
                         break
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(need[path[-1]], -need[end], *(to[b][a] for a, b in zip(path, path[1:])))
-        need[path[-1]] -= flow
-        need[end] += flow
-        for a, b in zip(path, path[1:]):
-            to[b][a] -= flow
-            to[a][b] += flow
+                    tried[i] += 1
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] += 1
 
 
 def main_text(page: str) -> str:
