@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import semantic as SEM
+from ..session import new_folder
 from ..sources import tables as tb
-from ..streaming.semantic_stream import run_available_now, stream_sem_map
+from ..streaming.semantic_stream import answer_stream
 from .sqlbits import duckdb_with
 
 QUERIES: dict = {}
@@ -81,6 +82,6 @@ def q_stream_sem_map(spark, sf):
     schema = tb.raw(spark, sf, "conversations").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet")
               .parquet(sf).where(F.col("role") == "user"))
-    mapped = stream_sem_map(stream, "Is this about it? {text}", SEM.KeywordPredictor(KEYWORD), ["conv_id", "turn"])
-    out = run_available_now(spark, mapped, "stream_sem_map")
+    out = answer_stream(spark, stream, "Is this about it? {text}", SEM.KeywordPredictor(KEYWORD), ["conv_id", "turn"],
+                        new_folder(spark, "stream_sem_map"))
     return out.select("conv_id", "turn", "status", "answer")
