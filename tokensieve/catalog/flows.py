@@ -102,7 +102,32 @@ _A7_SUMS = """count(*) AS n, count(*) FILTER (WHERE api_success) AS n_success,
        round((576.0 - avg(pruned_token) FILTER (WHERE api_success)) / 576.0 * 100.0, 6) AS token_reduction_pct"""
 
 
-@register("yes_no_evaluation", _QRES + f"""
+_QRES10 = duckdb_with("questions", "responses", "configs") + _COUNTS + f"""
+, pl AS (SELECT page_id AS image_id, bool_or(page_id % 4 < 3 AND html IS NOT NULL) AS usable FROM pages GROUP BY 1)
+, q AS (SELECT question_id, question, image_id, (image_id % 13)::BIGINT AS group_id, CASE WHEN turn % 2 = 0 THEN 'yes' ELSE 'no' END AS answer,
+          'image_' || (row_number() OVER (ORDER BY question_id) - 1) AS image_source FROM questions)
+, j AS (SELECT c.config_id, c.keep_ratio, c.recovery_ratio, q.*, cnt.pruned_token, coalesce(usable, false) AS usable,
+          coalesce(usable, false) AND r.question_id IS NOT NULL AS api_success, r.content
+        FROM q JOIN configs c ON true JOIN cnt ON cnt.config_id = c.config_id AND cnt.group_id = q.group_id
+        LEFT JOIN pl USING (image_id) LEFT JOIN responses r ON r.question_id = q.question_id)
+, qr AS (SELECT *, CASE WHEN api_success THEN {yes_no(_CONTENT)} ELSE '' END AS predicted_answer,
+           pruned_token / 3000.0 AS prune_time,
+           CASE WHEN api_success THEN length(content) / 1000.0 ELSE 0.0 END AS api_call_time FROM j)
+, qr2 AS (SELECT *, api_success AND coalesce(predicted_answer = answer, false) AS is_correct FROM qr)
+"""
+
+
+@register("yes_no_records", _QRES10 + """
+SELECT config_id, keep_ratio, recovery_ratio, question_id, question, answer AS correct_answer, image_source, 'unknown' AS category,
+       predicted_answer, is_correct, api_success, CASE WHEN api_success THEN content ELSE '' END AS generated_text,
+       CASE WHEN NOT usable THEN 'error: unsupported payload' WHEN NOT api_success THEN 'No valid response from API' ELSE '' END AS error_message,
+       576 AS original_tokens, CASE WHEN usable THEN pruned_token ELSE 0 END AS pruned_tokens FROM qr2""")
+def q_yes_no_records(spark, sf):
+    return EV.yes_no_records(tb.questions(spark, sf), tb.payload_variants(spark, sf), tb.responses(spark, sf), tb.tokens(spark, sf),
+                             tb.text_tokens(spark, sf), tb.configs(spark), N_GROUPS_IMG)
+
+
+@register("yes_no_evaluation", _QRES10 + f"""
 , res AS (SELECT config_id, image_id, keep_ratio, recovery_ratio, pruned_token, api_success, is_correct, prune_time AS embed_time, api_call_time FROM qr2)
 SELECT 'configuration' AS level, keep_ratio, recovery_ratio, NULL::VARCHAR AS config_key, NULL::BIGINT AS n_configs,
        NULL::DOUBLE AS success_rate, NULL::BIGINT AS unique_images, {_A7_SUMS} FROM res GROUP BY keep_ratio, recovery_ratio
@@ -113,7 +138,7 @@ UNION ALL
 SELECT 'overall', NULL, NULL, NULL, count(DISTINCT config_id), round(count(*) FILTER (WHERE api_success) / count(*), 6),
        count(DISTINCT image_id), {_A7_SUMS} FROM res HAVING count(*) > 0""")
 def q_yes_no_evaluation(spark, sf):
-    return EV.yes_no_evaluation(tb.questions(spark, sf), tb.responses(spark, sf), tb.tokens(spark, sf),
+    return EV.yes_no_evaluation(tb.questions(spark, sf), tb.payload_variants(spark, sf), tb.responses(spark, sf), tb.tokens(spark, sf),
                                 tb.text_tokens(spark, sf), tb.configs(spark), N_GROUPS_IMG)
 
 

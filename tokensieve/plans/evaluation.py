@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..session import written
+from ..sources.items import NO_PAYLOAD, payload_extract, payload_status, scan_with_defaults
 from ..sources.tables import TOKENS_PER_IMAGE
 from . import pruners as P
 
 G = "group_id"
+# Fixed value: the error of a question without an answer.
+NO_RESPONSE = "No valid response from API"
 # Cost model for prune time: output tokens pruned per second (its inverse is
 # a repeating decimal, so averages never sit exactly on a rounding tie).
 PRUNE_TOKENS_PER_SECOND = 3000.0
@@ -153,13 +156,55 @@ def guided_results(items: DataFrame, responses: DataFrame, counts: DataFrame, co
 
 
 # C10
-def yes_no_evaluation(questions: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
+# What a column that is absent holds; a name ending in _ gets the row's number.
+YES_NO_DEFAULTS = {"question_id": "q_", "question": "", "category": "unknown", "image_source": "image_"}
+
+
+def yes_no_scored(questions: DataFrame, images: DataFrame, responses: DataFrame, n_groups: int,
+                  defaults=("question", "category")) -> DataFrame:
+    """Per question, empty ones too: the columns named in ``defaults`` where
+    absent (S2), the state of its image's payload (S3; an image without any is
+    an error), response, yes/no parse and correctness. A question whose payload
+    fails is not asked, so it is no success."""
+    q = scan_with_defaults(questions, "question_id", {c: YES_NO_DEFAULTS[c] for c in defaults}).select(
+        "question_id", "question", *[c for c in ("category", "image_source") if c in defaults or c in questions.columns],
+        "image_id", (F.col("image_id") % n_groups).cast("bigint").alias(G),
+        F.when(F.col("turn") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")).alias("answer"))
+    usable = images.select("image_id", payload_status(payload_extract(F.col("image"))).alias("_status")) \
+        .groupBy("image_id").agg(F.max("_status").alias("_status"))  # 'ok' where one payload is
+    q = q.join(usable, "image_id", "left").withColumn("_status", F.coalesce("_status", F.lit(NO_PAYLOAD)))
+    j = E.response_join(q, responses.select("question_id", "content"), "question_id") \
+        .withColumn("api_success", F.col("api_success") & (F.col("_status") == "ok"))
+    pred = F.when(F.col("api_success"), T.parse_yes_no(T.response_content(F.col("content")))).otherwise(F.lit(""))
+    error = F.when(F.col("_status") != "ok", F.col("_status")).when(~F.col("api_success"), F.lit(NO_RESPONSE)).otherwise(F.lit(""))
+    return j.select(
+        *q.drop("_status").columns, "api_success", pred.alias("predicted_answer"), error.alias("error_message"),
+        F.when(F.col("api_success"), F.col("content")).otherwise(F.lit("")).alias("generated_text"),
+        F.when(F.col("api_success"), F.length("content") / 1000.0).otherwise(F.lit(0.0)).alias("api_call_time"),
+    ).withColumn("is_correct", F.col("api_success") & T.is_correct(F.col("predicted_answer"), F.col("answer"), "lower"))
+
+
+def yes_no_records(questions: DataFrame, images: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
+                   configs: DataFrame, n_groups: int) -> DataFrame:
+    """The result record of every (configuration, question); a question whose
+    payload fails has no tokens."""
+    scored = yes_no_scored(questions, images, responses, n_groups, tuple(YES_NO_DEFAULTS))
+    counts = pruned_counts(P.prune_attention_textweighted(tokens, text_tokens, configs))
+    usable = F.col("error_message").isin("", NO_RESPONSE)
+    return attach_pruning(scored, counts, configs).select(
+        "config_id", "keep_ratio", "recovery_ratio", "question_id", "question", F.col("answer").alias("correct_answer"), "image_source",
+        "category", "predicted_answer", "is_correct", "api_success", "generated_text", "error_message",
+        F.lit(576).alias("original_tokens"), F.when(usable, F.col("pruned_token")).otherwise(F.lit(0)).alias("pruned_tokens"))
+
+
+def yes_no_evaluation(questions: DataFrame, images: DataFrame, responses: DataFrame, tokens: DataFrame, text_tokens: DataFrame,
                       configs: DataFrame, n_groups: int) -> DataFrame:
-    """Per question (no grouping): prune (C2), respond, parse yes/no, and three
-    summaries, told apart by ``level``: each configuration (A7), the successes
-    by ratio key (A9), and all evaluations together (A15)."""
+    """Per question (no grouping): defaults and payload (S2, S3), prune (C2),
+    respond, parse yes/no, and three summaries, told apart by ``level``: each
+    configuration (A7), the successes by ratio key (A9), and all evaluations
+    together (A15)."""
     sel = P.prune_attention_textweighted(tokens, text_tokens, configs)
-    totals = group_totals(scored_questions(questions, responses, n_groups), "image_id")
+    totals = group_totals(yes_no_scored(questions, images, responses, n_groups), "image_id")
     swept = written(sweep_totals(totals, pruned_counts(sel), configs), "evaluation-sums")  # configurations x groups
     embed = F.col("n_success") * F.col("prune_time")
     keys = ("keep_ratio", "recovery_ratio")

@@ -16,6 +16,9 @@ PAYLOAD_FIELDS = ("bytes", "data", "binary")
 DATA_URL_FORMATS = (("png", "png"), ("jpg", "jpeg"), ("jpeg", "jpeg"), ("gif", "gif"), ("webp", "webp"))
 
 
+NO_PAYLOAD = "error: unsupported payload"
+
+
 # S1
 def scan_items(df: DataFrame, columns=MC_COLUMNS, rename: dict | None = None) -> DataFrame:
     """Project the item columns; Catalyst prunes the parquet read to them."""
@@ -51,7 +54,7 @@ def payload_extract(payload: Column, fields=PAYLOAD_FIELDS) -> Column:
 
 
 def payload_status(extracted: Column) -> Column:
-    return F.when(extracted.isNull(), F.lit("error: unsupported payload")).otherwise(F.lit("ok"))
+    return F.when(extracted.isNull(), F.lit(NO_PAYLOAD)).otherwise(F.lit("ok"))
 
 
 # S4

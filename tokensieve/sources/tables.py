@@ -93,6 +93,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payload_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_variants(image_id, image): payloads of three kinds, and every fourth of none."""
+    p = raw(spark, sf_dir, "pages")
+    kind = lambda k: F.when(F.col("page_id") % 4 == k, F.col("html").cast("binary"))
+    return p.select(F.col("page_id").alias("image_id"),
+                    F.struct(*[kind(k).alias(f) for k, f in enumerate(("bytes", "data", "binary"))]).alias("image"))
+
+
 def mc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiple-choice items built from ``part``."""
     p = raw(spark, sf_dir, "part")
