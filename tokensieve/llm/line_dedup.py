@@ -52,6 +52,11 @@ def with_chunks(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     return df.drop(P + "lines", P + "marks", P + "starts")
 
 
+def _at(chunks: str, places: str) -> Column:
+    """The chunks at ``places``."""
+    return F.transform(places, lambda k: F.get(chunks, k))
+
+
 def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the columns ``removed_lines`` and
     ``removed_chunks``, prefixed where the input already has them."""
@@ -67,7 +72,8 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     suspect = marks.join(often, F.col("key") == F.col("_key")).groupBy(P + "doc", P + "own").agg(F.collect_set("k").alias("ks"))
 
     texts = slim.join(suspect, same).drop(P + "doc", P + "own")
-    texts = with_chunks(texts, mean_lines).select(*row, F.explode_outer(F.filter(P + "chunks", lambda c: F.array_contains("ks", c.k))).alias("c"))
+    # chunks are taken by place, as array_contains would read the array once for each chunk
+    texts = with_chunks(texts, mean_lines).select(*row, F.explode_outer(_at(P + "chunks", "ks")).alias("c"))
     texts = written(texts.select(P + "doc", P + "own", "c.k", F.xxhash64("c.t").alias("key"), "c.t"), "texts")
     place = F.struct(P + "doc", P + "own", "k")
     first = texts.groupBy("key", "t").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
@@ -77,8 +83,9 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     gone = again.groupBy(P + "doc", P + "own").agg(F.collect_set("k").alias(P + "gone"))
 
     chunks = with_chunks(source.join(gone, same, "left").drop(P + "doc", P + "own"), mean_lines)
-    dropped = F.filter(P + "chunks", lambda c: F.array_contains(P + "gone", c.k))
-    kept = F.array_join(F.transform(F.filter(P + "chunks", lambda c: ~F.array_contains(P + "gone", c.k)), lambda c: c.t), "\n")
+    dropped = _at(P + "chunks", P + "gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(P + "chunks") - 1), P + "gone")
+    kept = F.array_join(F.transform(left, lambda k: F.get(P + "chunks", k)["t"]), "\n")
     clean = F.when(F.col(P + "gone").isNull(), F.col("text")).otherwise(kept)
     name = lambda c: P + c if c in docs.columns else c
     return chunks.select(
