@@ -504,3 +504,25 @@ def test_broken_and_very_large_pages():
         == "A first paragraph of an article, it has some length.\nAnother \"one\" here, with a good many words too."
     assert text("<p>A reference &#" + "9" * 6000 + "; beyond all and &#0000000065; with zeros in front of it.</p>") \
         == "A reference � beyond all and A with zeros in front of it."
+
+
+def test_language_sample_of_a_hot_id(spark):
+    """Copies under one id are one row of the sample; other texts under that id are rows of their own."""
+    rows = [(1, "the same sentence of a hot document", "en")] * 3000 + [(1, f"another text number {i} of it", "en") for i in range(40)] \
+        + [(2, f"der Satz Nummer {i} ist ein anderer", "de") for i in range(40)]
+    seen = []
+    model, fit = langid.LanguageModel, lambda x, langs: seen.append(list(langs)) or model(x, langs)
+    langid.LanguageModel = fit
+    try:
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4000)
+    finally:
+        langid.LanguageModel = model
+    assert seen[0].count("en") == 41 and seen[0].count("de") == 40
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """A text of many chunks, most of them removed, ends in about linear time."""
+    text = "\n".join(f"line {i % 60_000} of text" for i in range(120_000))
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert got.text.count("\n") + 1 + got.removed_lines == 120_000 and got.removed_lines > 50_000
+    assert set(got.text.split("\n")) == set(text.split("\n"))

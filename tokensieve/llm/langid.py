@@ -4,12 +4,14 @@ Linear support vector machines, one for each two classes, on hashed byte
 trigrams of the whole text. The first step separates language families; the
 languages of the chosen family are then told apart by machines trained on
 that family alone. Training reads a bounded sample: at most
-``sample_per_lang`` rows of each language, by the hash of ``doc_id``.
+``sample_per_lang`` rows of each language, by the hash of ``doc_id`` and text;
+of rows with the same hash one is used.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; so is every text when no row is labelled, unless ``unlearned`` names such
 texts with a letter otherwise; a repeated row has a row each; an empty table
-gives no rows. Only ``doc_id``, ``text`` and ``lang`` are read, ``lang`` for
+gives no rows; of classes with equal votes the first by name is told; very long texts
+are read whole. Only ``doc_id``, ``text`` and ``lang`` are read, ``lang`` for
 training alone, and the columns named in ``carry``, which come back as they are.
 """
 
@@ -116,9 +118,10 @@ def train(labelled: DataFrame, sample_per_lang: int = 500) -> LanguageModel | No
     if not counts:
         return None
     # a share of each language by hash: a little over the bound, cut to it below
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     shares = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * sample_per_lang / n))])
     picked = labelled.where(chance < shares[F.col("lang")]).select("lang", chance.alias("c"), text_or_empty().alias("text"))
+    picked = picked.dropDuplicates(["lang", "c"])  # copies under one id are one row of the sample, however many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
