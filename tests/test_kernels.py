@@ -75,6 +75,39 @@ def test_dedup_even_odd_reaches_target():
     assert len(out) == 7 and len(set(out)) == 7
 
 
+@pytest.mark.parametrize("nearest, block", [(2, 64), (32, 1 << 22)])
+def test_dedup_even_odd_equals_left_to_right_rule(monkeypatch, nearest, block):
+    """Also with equal rows, whose closeness ties, and with a NaN."""
+    monkeypatch.setattr(K, "NEAREST", nearest)
+    monkeypatch.setattr(K, "NEAREST_BLOCK", block)
+    r = np.random.default_rng(3)
+    for t in range(40):
+        n, d, target = int(r.integers(1, 60)), int(r.integers(2, 9)), int(r.integers(1, 13))
+        x = K.normalise_rows(r.normal(size=(n, d)))
+        x = x[r.permutation(np.r_[np.arange(n), r.integers(0, n, n // 2)])]
+        if t % 8 == 7:
+            x[r.integers(0, len(x))] = np.nan
+        sim = np.zeros((len(x), len(x)))
+        for c in range(d):
+            sim += x[:, c, None] * x[None, :, c]
+        line = list(range(len(x)))
+        while len(line) > target:
+            even, odd = line[0::2], line[1::2]
+            close = sim[np.ix_(even, odd)].max(axis=1, initial=-np.inf)
+            order = np.lexsort((np.arange(len(even)), -close))
+            line = [even[i] for i in order[min(2, len(line) - target):]] + odd
+        assert K.dedup_even_odd(x, target) == line
+
+
+def test_dedup_even_odd_compares_all_rows_a_few_times_only(monkeypatch):
+    """Not in every round: 1,000 rows take 494 rounds."""
+    calls, dots = [], K._pair_dots
+    monkeypatch.setattr(K, "_pair_dots", lambda x, i, y, j: calls.append(len(i)) or dots(x, i, y, j))
+    x = K.normalise_rows(np.random.default_rng(5).normal(size=(1000, 16)))
+    assert len(K.dedup_even_odd(x, 12)) == 12
+    assert 0 < sum(calls) < 200_000  # all rounds together compare 41 million pairs
+
+
 def _picks(df):
     return sorted((r["group_id"], r["pick_rank"], r["token_idx"]) for r in df.collect())
 
