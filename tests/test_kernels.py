@@ -139,6 +139,31 @@ def test_distributed_path_equals_in_task_path(spark, op):
     assert _picks(a) == _picks(b)
 
 
+def test_pairwise_block_memory_is_bounded():
+    """12,000 rows: two blocks of products and their mask, not 12,000 rows of them."""
+    import tracemalloc
+    x = K.normalise_rows(np.random.default_rng(6).normal(size=(12_000, 2)))
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    top, total, n = K._block_summary(x, x, ids, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    sim = x[:5] @ x.T
+    assert np.allclose(total[:5], sim.sum(axis=1) - 1) and (n == len(x) - 1).all()
+    sim[np.arange(5), np.arange(5)] = -np.inf
+    assert np.allclose(top[:5], sim.max(axis=1))
+
+
+def test_large_groups_are_told_apart_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(g, t) for g, n in ((0, 3), (1, 9), (None, 12)) for t in range(n)], "group_id long, token_idx long")
+    seen = {}
+    both = K.dispatch_by_size(rows, ["group_id"], lambda d: seen.setdefault("small", d), lambda d: seen.setdefault("large", d), max_group=5)
+    assert sorted((r.group_id, r.token_idx) for r in both.collect()) == [(0, t) for t in range(3)] + [(1, t) for t in range(9)]
+    assert {r.group_id for r in seen["large"].collect()} == {1}
+    assert "SortMergeJoin" not in both._jdf.queryExecution().toString()
+
+
 def test_pairwise_tiled_equals_whole(spark):
     t = tb.tokens(spark, SF_MID).where(F.col("group_id") < 3)
     a = {(r[0], r[1]): (round(r[2], 9), round(r[3], 9)) for r in K.pairwise_summary(t, ["group_id"]).collect()}
