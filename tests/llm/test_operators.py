@@ -74,6 +74,32 @@ def test_simple8b_round_trip():
             assert (simple8b.decode_words(words, np.cumsum(sizes) - sizes, lengths) == np.concatenate(docs)).all()
 
 
+def test_words_take_as_many_ids_as_any_selector_allows():
+    """Word by word from the rule, also at document ends and for escapes; few steps a word."""
+    r = np.random.default_rng(8)
+    for t in range(60):
+        lengths = r.integers(0, int(r.choice([3, 90])), int(r.integers(1, 6)))
+        ids = (2.0 ** (r.random(int(lengths.sum())) * r.choice([2, 9, 16, 62]))).astype(np.uint64)
+        ids = np.where(r.random(len(ids)) < (t % 3) / 2, ids % np.uint64(4), ids)
+        want, sizes, p = [], [], 0
+        for length in lengths:
+            before, end = len(want), p + int(length)
+            while p < end:
+                for k, bits in enumerate(simple8b.BITS[:-1]):
+                    run = ids[p:min(p + 60 // bits, end)].tolist()
+                    if max(run) < 1 << bits:
+                        want.append(sum(v << (j * bits) for j, v in enumerate(run)) | (k + 1) << 60)
+                        break
+                else:
+                    run = ids[p:p + 1].tolist()
+                    want += [0, *run]
+                p += len(run)
+            sizes.append(len(want) - before)
+        words, taken = simple8b.encode_ids(ids, lengths)
+        assert words.tolist() == want and taken.tolist() == sizes
+        assert simple8b.decode_words(words, np.cumsum([0, *sizes])[:-1], lengths).tolist() == ids.tolist()
+
+
 def test_token_files(spark, odd):
     for docs in (odd, spark.read.parquet(f"{SMALL}/documents.parquet")):
         out = sorted(simple8b.token_files(docs).collect(), key=lambda r: r.start)

@@ -55,38 +55,32 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(lengths), np.int64)
-    at = np.arange(n, dtype=np.int32)
     ends = np.cumsum(lengths)
-    room = np.repeat(ends.astype(np.int32), lengths) - at
-    best = np.ones(n, np.int32)
-    which = np.zeros(n, np.int8)
-    top, low = int(ids.max()).bit_length(), int(ids.min()).bit_length()
+    room = np.minimum(np.repeat(ends, lengths) - np.arange(n), 60).astype(np.uint8)
+    # the narrowest selector that holds an id, less one; 14: none does
+    top = int(ids.max()).bit_length()
     small = ids.astype(np.uint32) if top <= 32 else ids
-    widths = [k for k in range(len(BITS) - 1) if BITS[k] >= low]
-    enough = [k for k in widths if BITS[k] >= top]
-    for k in reversed([k for k in widths if BITS[k] < top] + enough[:1]):
-        count = 60 // BITS[k]
-        if BITS[k] >= top:
-            run = room
-        else:
-            wide = np.flatnonzero(small >= 1 << BITS[k])
-            # the next id that is too wide, for every place
-            gaps = np.diff(wide, prepend=-1)
-            run = np.full(n, n, np.int32)
-            run[:gaps.sum()] = np.repeat(wide.astype(np.int32), gaps)
-            run -= at
-            np.minimum(run, room, out=run)
-        # a full word, or the last ids of the document, which leave room unused
-        fits = np.flatnonzero((run >= count) | ((run == room) & (run > 0)))
-        best[fits] = np.minimum(count, room[fits])
+    widest = np.zeros(n, np.uint8)
+    for bits in BITS[:-1]:
+        if bits < top:
+            widest += small >= 1 << bits
+    own, which, span = widest.copy(), np.zeros(n, np.uint8), 1
+    for k in reversed(range(len(BITS) - 1)):
+        # of the next ids, as many as the selector holds or the document has left
+        for span in range(span + 1, 60 // BITS[k] + 1):
+            np.maximum(widest[:1 - span], own[span - 1:] * (room[:1 - span] >= span), out=widest[:1 - span])
+        fits = widest <= k
+        if not fits.any() and BITS[k] < top:
+            break  # nor under a narrower one
         which[fits] = k + 1
-    step = best.tolist()
+    best = np.minimum(np.array([1, *(60 // b for b in BITS)], np.uint8)[which], room)
+    step = best.tobytes()
     heads, p = [], 0
     while p < n:
         heads.append(p)
         p += step[p]
     heads = np.array(heads)
-    kind, held = which[heads], best[heads]
+    kind, held = which[heads], best[heads].astype(np.int64)
     size = np.where(kind == 0, 2, 1)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
@@ -96,11 +90,10 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
         if k == 0:
             words[to + 1] = ids[own]
             continue
-        out = np.full(len(own), int(k) << 60, np.uint64)
-        for j in range(int(held[chosen].max())):
-            ok = held[chosen] > j
-            out[ok] |= ids[own[ok] + j] << np.uint64(j * BITS[k - 1])
-        words[to] = out
+        places = np.arange(min(60 // BITS[k - 1], int(held[chosen].max())))
+        parts = ids[np.minimum(own[:, None] + places, n - 1)] << (places * BITS[k - 1]).astype(np.uint64)
+        parts[places >= held[chosen, None]] = 0
+        words[to] = np.bitwise_or.reduce(parts, axis=1) | np.uint64(int(k) << 60)
     first = np.searchsorted(heads, np.concatenate(([0], ends)))
     return words, np.diff(np.append(place, len(words))[first])
 
@@ -128,13 +121,10 @@ def decode_words(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
         if k == 0:
             out[to[own]] = words[own + 1]
             continue
-        bits, count = BITS[k - 1], 60 // BITS[k - 1]
-        mask = np.uint64((1 << bits) - 1)
-        for j in range(count):
-            ok = own[held[own] > j]
-            if not len(ok):
-                break
-            out[to[ok] + j] = words[ok] >> np.uint64(j * bits) & mask
+        bits, places = BITS[k - 1], np.arange(min(60 // BITS[k - 1], int(held[own].max())))
+        there = places < held[own, None]
+        parts = words[own, None] >> (places * bits).astype(np.uint64) & np.uint64((1 << bits) - 1)
+        out[(to[own, None] + places)[there]] = parts[there]
     return out
 
 
