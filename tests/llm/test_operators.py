@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +63,43 @@ def test_parts_encode_as_whole_texts():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_each_word_is_asked_once_whatever_stands_after_it(monkeypatch):
+    """The library gets a word once for all punctuation that follows it, and words in use stay kept when the store is full."""
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 200)
+
+    class Asked:
+        def __init__(self, model):
+            self.model, self.runs = model, []
+
+        def tokenize(self, run):
+            self.runs.append(run)
+            return self.model.tokenize(run)
+
+    e = tokens.PartEncoder(open(tokens.default_vocab()).read())
+    e.model = Asked(e.model)
+    name = ["".join(x) for x in itertools.product("bdfg", "aeiou", "klmn", "rst")][:210]
+    texts = [" ".join(w + m for w in name[k:k + 30] for m in (",", ".", "###", "", "?!")) + " hot" for k in range(0, 210, 30)]
+    for t in texts:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == ids_of(t)
+    asked = [r for r in e.model.runs if r.isalpha()]
+    assert len(asked) == len(set(asked)) == 211
+
+
+def test_encoding_in_runs(monkeypatch):
+    """Rows, ids and lengths stay together over chunks and runs of any size."""
+    texts = ["", "a b, c.", "don't x\ty", " ", "word " * 300, "Σας, é.. 漢字。", "<|endoftext|>, ABC", "---", "b,\n\nb."] * 3
+    want = [ids_of(t) + [2] for t in texts]
+    for chunk, run, part in ((1, 1, 1), (40, 7, 2), (1 << 20, 1 << 10, 1 << 15)):
+        monkeypatch.setattr(tokens, "TEXT_BYTES", chunk)
+        monkeypatch.setattr(tokens, "CODED_IDS", run)
+        monkeypatch.setattr(tokens, "ORDERED_PARTS", part)
+        e = tokens.PartEncoder(open(tokens.default_vocab()).read())
+        got = [(r.to_pylist(), np.split(ids, np.cumsum(n)[:-1])) for r, ids, n in e.chunks(pa.array(range(len(texts))), pa.array(texts), 2)]
+        assert [d for rows, _ in got for d in rows] == list(range(len(texts)))
+        assert [x.tolist() for _, docs in got for x in docs] == want
+        assert list(e.chunks(pa.array([], pa.int64()), pa.array([], pa.string()), 2)) == []
+
+
 def test_simple8b_round_trip():
     r = random.Random(1)
     for _ in range(200):
@@ -111,6 +149,22 @@ def test_token_files(spark, odd):
     assert simple8b.token_files(odd.limit(0)).count() == 0
 
 
+def test_token_files_of_many_parts(spark, monkeypatch, tmp_path):
+    """Ids in ascending order over the parts, null ids first; one Python step codes and tells the part."""
+    monkeypatch.setattr(simple8b, "TASK_BYTES", 500)
+    rows = [(None if k % 50 == 3 else (k * 37) % 211 - 90, f"word{k} and, more. " * (k % 5)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    simple8b.write_token_files(docs, str(tmp_path / "files"))
+    assert spark.read.parquet(str(tmp_path / "files")).select("part").distinct().count() > 5
+    out = sorted(simple8b.read_token_files(spark, str(tmp_path / "files")).collect(), key=lambda r: r.start)
+    low = lambda d: -10**6 if d is None else d
+    assert [low(r.doc_id) for r in out] == sorted(low(d) for d, _ in rows)
+    assert [r.start for r in out] == list(itertools.accumulate((r.n_tokens for r in out), initial=0))[:-1]
+    assert sorted((low(r.doc_id), r.ids_crc32) for r in out) == sorted((low(d), zlib.crc32(np.array(ids_of(t) + [2], "<u4").tobytes())) for d, t in rows)
+    coded = simple8b.coded_documents(docs, tokens.default_vocab(), 2, np.array([0, 50]))
+    assert {low(r.doc_id): r._part for r in coded.collect()} == {low(d): 0 if d is None or d < 0 else 1 if d < 50 else 2 for d, _ in rows}
+
+
 def test_packing(spark, odd):
     for docs in (odd, spark.read.parquet(f"{SMALL}/documents.parquet")):
         got = packing.pack_documents(docs, capacity=512).toPandas()

@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,25 +34,25 @@ NUMBERED_TOGETHER = 200_000
 def token_pieces(docs: DataFrame, vocab_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids as bytes when asked)."""
     vocab = shared_vocab(docs.sparkSession, vocab_path)
-    end, width = end_id.to_bytes(4, "little"), 4 * capacity
+    width = 4 * capacity
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = enc.encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    piece = ids[at:at + width]
-                    for c, v in zip(cols, (doc.as_py(), k, at // 4, len(piece) // 4, zlib.crc32(piece), piece)):
-                        c.append(v)
-            arrays = [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32()),
-                      *(pa.array(c, pa.int64()) for c in cols[2:5])]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                arrays, names = [*arrays, pa.array(cols[5], pa.binary())], [*names, "ids"]
-            yield pa.record_batch(arrays, names)
+            for rows, all_ids, lengths in enc.chunks(batch.column(0), batch.column(1), end_id):
+                data, ends = all_ids.astype("<u4").tobytes(), 4 * np.cumsum(lengths)
+                cols = [[] for _ in range(6)]
+                for doc, first, upto in zip(rows.to_pylist(), (ends - 4 * lengths).tolist(), ends.tolist()):
+                    for k, at in enumerate(range(first, upto, width)):
+                        piece = data[at:min(at + width, upto)]
+                        for c, v in zip(cols, (doc, k, (at - first) // 4, len(piece) // 4, zlib.crc32(piece), piece)):
+                            c.append(v)
+                arrays = [pa.array(cols[0], rows.type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    arrays, names = [*arrays, pa.array(cols[5], pa.binary())], [*names, "ids"]
+                yield pa.record_batch(arrays, names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, schema)

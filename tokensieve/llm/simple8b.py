@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +35,6 @@ from .tokens import default_vocab, encoder, shared_vocab
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60)
 #: Ids that close a block.
 BLOCK_IDS = 1 << 16
-#: Bytes of ids that are coded together.
-CODED_BYTES = 1 << 18
 #: Bytes of text whose ids one writing task should get, and the most tasks.
 TASK_BYTES = 32 << 20
 MAX_PARTS = 20_000
@@ -137,34 +134,30 @@ def _raw_words(kind: np.ndarray) -> np.ndarray:
     return raw
 
 
-def coded_documents(docs: DataFrame, vocab_path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, words: each whole text tokenised and coded."""
+def coded_documents(docs: DataFrame, vocab_path: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, words, _part: each whole text tokenised and coded,
+    and how many of ``bounds`` are at or below its id (null: 0).
+
+    The part is told by the task that codes, as a function of its own would
+    run in further workers, each with a store of ids of its own.
+    """
     vocab = shared_vocab(docs.sparkSession, vocab_path)
-    end = end_id.to_bytes(4, "little")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-
-        def coded(rows: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-            lengths = np.array([len(t) // 4 for t in texts], np.int64)
-            words, sizes = encode_ids(np.frombuffer(b"".join(texts), "<u4"), lengths)
-            data, ends = words.astype("<u8").tobytes(), 8 * np.cumsum(sizes)
-            blobs = [data[b - a:b] for a, b in zip((8 * sizes).tolist(), ends.tolist())]
-            return pa.record_batch([rows, pa.array(lengths), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "words"])
-
         for batch in batches:
-            first, texts, size = 0, [], 0
-            for i, text in enumerate(batch.column(1)):
-                texts.append(enc.encode(text.as_py()) + end)
-                size += len(texts[-1])
-                if size >= CODED_BYTES:
-                    yield coded(batch.column(0).slice(first, len(texts)), texts)
-                    first, texts, size = i + 1, [], 0
-            if texts:
-                yield coded(batch.column(0).slice(first, len(texts)), texts)
+            for rows, ids, lengths in enc.chunks(batch.column(0), batch.column(1), end_id):
+                words, sizes = encode_ids(ids, lengths)
+                data, ends = words.astype("<u8").tobytes(), 8 * np.cumsum(sizes)
+                blobs = [data[b - a:b] for a, b in zip((8 * sizes).tolist(), ends.tolist())]
+                part = np.zeros(len(rows), np.int32)
+                if len(bounds):
+                    known = rows.is_valid().to_numpy(zero_copy_only=False)
+                    part[known] = np.searchsorted(bounds, rows.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), side="right")
+                yield pa.record_batch([rows, pa.array(lengths), pa.array(blobs, pa.binary()), pa.array(part)], ["doc_id", "n_tokens", "words", "_part"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(code, f"doc_id {kind}, n_tokens long, words binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(code, f"doc_id {kind}, n_tokens long, words binary, _part int")
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocab_path: str | None = None) -> None:
@@ -177,14 +170,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocab_path: s
     parts = min(spread(size, TASK_BYTES), MAX_PARTS)
     bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = np.unique(np.array(bounds, np.int64))
-    coded = coded_documents(docs, vocab_path or default_vocab(), end_id)
+    coded = coded_documents(docs, vocab_path or default_vocab(), end_id, bounds)
     kind = coded.schema["doc_id"].dataType
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(np.where(known, np.searchsorted(bounds, ids.where(known, 0).to_numpy(np.int64), side="right"), 0))
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, part, block = [], 0, TaskContext.get().partitionId(), 0
 
@@ -210,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, vocab_path: s
         if held:
             yield closed()
 
-    ordered = coded.withColumn("_part", part_of("doc_id")).repartitionById(len(bounds) + 1, "_part").drop("_part").sortWithinPartitions("doc_id")
+    ordered = coded.repartitionById(len(bounds) + 1, "_part").drop("_part").sortWithinPartitions("doc_id")
     ordered.mapInArrow(blocks, f"part int, block long, doc_ids array<{kind.simpleString()}>, starts array<long>, lengths array<long>, words binary") \
         .write.option("compression", "none").parquet(path)
 
