@@ -229,6 +229,16 @@ def test_fingerprint_links_find_every_pair(spark):
     assert got == [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """Spark takes 64 keys a fingerprint for one row, and would send those of few fingerprints over the driver."""
+    fps = spark.range(2000).select(F.xxhash64(F.col("id") % 1000).alias("fp"))
+    links = simhash_dedup.fingerprint_links(fps.distinct())
+    before = links._jdf.queryExecution().executedPlan().toString()
+    links.collect()
+    for plan in (before, links._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def plain_repeats(rows, length):
     seen = {}
     for _, t in rows:

@@ -82,7 +82,8 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
                          F.col("fp").bitwiseAND(F.lit(_signed(masks[k] & ~(1 << b) & (2**64 - 1)))).alias("rest"))
                 for k, bits in enumerate(parts) for b in bits]
     keyed = fps.select("fp", F.explode(F.array(*variants)).alias("k")).select("fp", "k.bit", "k.rest")
-    left, right = keyed.alias("l"), keyed.alias("r")
+    # a merge join whatever Spark takes the size to be: it counts an exploded row once, not once for each of its 64 keys
+    left, right = keyed.alias("l"), keyed.hint("merge").alias("r")
     differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     apart = [F.bit_count(differ.bitwiseAND(F.lit(m))) for m in masks]
     lowest = F.lit(False)
