@@ -239,6 +239,21 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_pipeline_does_not_broadcast_the_keys_of_its_texts(spark, monkeypatch):
+    import corpus_pipeline
+    links, plans = simhash_dedup.fingerprint_links, []
+
+    def seen(fps, max_distance):
+        out = links(fps, max_distance)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "fingerprint_links", seen)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat((F.col("id") % 40).cast("string"), F.lit(str(k)))) for k in range(8)]).alias("text"))
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SMALL).collect()) == list(range(40))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def plain_repeats(rows, length):
     seen = {}
     for _, t in rows:
