@@ -172,6 +172,28 @@ def test_pairwise_tiled_equals_whole(spark):
     assert a == b
 
 
+def test_pairwise_similarity_has_every_pair(spark, tmp_path, monkeypatch):
+    """A row for each two tokens of a group, by blocks and tiles too; nulls and repeated ids as in the SQL."""
+    import duckdb
+    from tokensieve.catalog import vectorq
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=4).round(2).tolist(), 0 if i < 25 else 1) for i in range(40)]
+    rows += [rows[3], (40, None, 0), (41, None, 0), (42, [1.0, 0.0, 0.0, 0.0], 2), (43, [0.0] * 4, 0), (44, [1.0] * 4, None), (45, None, 3), (46, [1.0] * 4, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    ordered = lambda rs: sorted((tuple(x) for x in rs), key=lambda x: [(v is not None, v) for v in x])
+    want = ordered(con.execute(vectorq.SQL["pairwise_similarity"]).fetchall())
+    assert len(want) == 29 * 28 - 2 + 15 * 14 + 2
+    got = vectorq.q_pairwise_similarity(spark, str(tmp_path))
+    assert got.columns == ["group_id", "token_idx", "other_idx", "sim", "max_sim", "mean_sim"]
+    assert ordered(got.collect()) == want
+    monkeypatch.setattr(K, "PAIR_BLOCK", 4)
+    t = tb.tokens(spark, str(tmp_path))
+    tiled = K.pairwise_rows(t, K.pairwise_summary(t, ["group_id"], max_group=10, tile=8), ["group_id"], tile=8)
+    assert ordered(tiled.select("group_id", "token_idx", "other_idx", *[F.round(c, 6) for c in ("sim", "max_sim", "mean_sim")]).collect()) == want
+
+
 def test_c1_selection_properties(spark):
     t = tb.tokens(spark, SF_MID)
     cf = tb.configs(spark)
